@@ -97,3 +97,200 @@ def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.functions.parse import parse_entries
 
     return parse_entries(log_lines(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Jobs, runs, URLs, resolve requests and file names from customer / orders
+# ---------------------------------------------------------------------------
+# FIXED VALUES: adapter vocabulary for jobs and runs
+HOST = "https://dbc-1.cloud.example.com"
+VOLUME_ROOT = "/Volumes/main/logs/"
+NATION_VOLUME_ROOT = "/Volumes/main/nation/"
+SHARED_VOLUME_ROOT = "/Volumes/shared/jc/"
+DBFS_ROOT = "dbfs:/cluster-logs/"
+NATION_DBFS_ROOT = "dbfs:/nation-logs/"
+S3_ROOT = "s3://logs-bucket/"
+LOG_ROOT = "/mnt/logs/run-"
+ENVS = {0: "prod", 1: "staging", 2: "ondemand"}
+LIFE_CYCLE = {"F": "TERMINATED", "O": "RUNNING"}
+OTHER_LIFE_CYCLE = "PENDING"
+
+
+_LOG_CONF_TYPE = ("struct<volumes:struct<destination:string>,dbfs:struct<destination:string>,"
+                  "s3:struct<destination:string>>")
+
+
+def _s(c: Column) -> Column:
+    return c.cast("string")
+
+
+def _conf(volumes: Column | None = None, dbfs: Column | None = None, s3: Column | None = None) -> Column:
+    def dest(x: Column | None) -> Column:
+        return F.struct(x.alias("destination")) if x is not None else F.lit(None).cast("struct<destination:string>")
+
+    return F.struct(F.struct(dest(volumes).alias("volumes"), dest(dbfs).alias("dbfs"), dest(s3).alias("s3"))
+                    .alias("cluster_log_conf"))
+
+
+def jobs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One job per customer: job_id = c_custkey, name = c_name, two tasks and
+    an optional job cluster whose log configuration follows from the keys."""
+    from logloom.schema import CLUSTER_SPEC
+
+    c = read_table(spark, sf_dir, "customer")
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    none = F.lit(None).cast(CLUSTER_SPEC["new_cluster"].dataType.simpleString())
+    first = (
+        F.when(key % 5 == 0, none)
+        .when(key % 5 == 1, F.struct(F.lit(None).cast(_LOG_CONF_TYPE).alias("cluster_log_conf")))
+        .when(key % 5 == 2, _conf(volumes=F.concat(F.lit(VOLUME_ROOT), F.lower("c_mktsegment"), F.lit("/"))))
+        .when(key % 5 == 3, _conf(dbfs=F.concat(F.lit(DBFS_ROOT), _s(key))))
+        .otherwise(_conf(s3=F.concat(F.lit(S3_ROOT), _s(key), F.lit("//"))))
+    )
+    second = (
+        F.when(nation % 4 == 0, _conf(volumes=F.concat(F.lit(NATION_VOLUME_ROOT), _s(nation))))
+        .when(nation % 4 == 1, _conf(dbfs=F.concat(F.lit(NATION_DBFS_ROOT), _s(nation), F.lit("/"))))
+        .when(nation % 4 == 2, _conf(volumes=F.lit("")))
+        .otherwise(none)
+    )
+    shared = F.array(F.struct(_conf(volumes=F.concat(F.lit(SHARED_VOLUME_ROOT), _s(key % 10))).alias("new_cluster")))
+    empty = F.array().cast(f"array<{CLUSTER_SPEC.simpleString()}>")
+    return c.select(
+        key.alias("job_id"),
+        F.col("c_name").alias("name"),
+        F.array(F.struct(first.alias("new_cluster")), F.struct(second.alias("new_cluster"))).alias("tasks"),
+        F.when(key % 2 == 0, shared).otherwise(empty).alias("job_clusters"),
+    )
+
+
+def runs_raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per order: run_id = o_orderkey, job_id = o_custkey, times
+    from o_orderdate, and a cluster on the run, on a task, or nowhere."""
+    o = read_table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    start = F.unix_millis(F.col("o_orderdate").cast("timestamp")) + (k % 86400) * 1000
+    end = F.when(F.col("o_orderstatus") == "O", F.lit(None).cast("bigint")).otherwise(
+        start + (k * 7919 % 20000) * 1000 + k % 1000
+    )
+    state = _case(F.col("o_orderstatus"), LIFE_CYCLE, F.lit(OTHER_LIFE_CYCLE))
+    cid = F.concat(F.lit("0101-"), F.lpad(_s(k), 6, "0"))
+
+    def task(x: Column | None) -> Column:
+        ci = F.struct(x.alias("cluster_id")) if x is not None else F.lit(None).cast("struct<cluster_id:string>")
+        return F.struct(ci.alias("cluster_instance"))
+
+    k10 = k % 10
+    tasks = (
+        F.when(k10 == 7, F.array(task(None), task(F.concat(cid, F.lit("-t2")))))
+        .when(k10 == 8, F.array(task(F.lit("")), task(F.concat(cid, F.lit("-t2")))))
+        .when(k10 == 9, F.array().cast("array<struct<cluster_instance:struct<cluster_id:string>>>"))
+        .otherwise(F.array(task(F.concat(cid, F.lit("-t1")))))
+    )
+    own = F.when(k10 < 7, F.struct(F.concat(cid, F.lit("-ci")).alias("cluster_id")))
+    return o.select(
+        k.alias("run_id"),
+        F.col("o_custkey").alias("job_id"),
+        start.alias("start_time"),
+        end.alias("end_time"),
+        F.struct(state.alias("life_cycle_state")).alias("state"),
+        own.alias("cluster_instance"),
+        tasks.alias("tasks"),
+    )
+
+
+def urls_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workspace URLs (and non-URLs) in every supported shape, one per order."""
+    o = read_table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    k6 = k % 6
+    url = (
+        F.when(k6 == 0, F.concat(F.lit(HOST + "/jobs/"), _s(c), F.lit("/runs/"), _s(k)))
+        .when(k6 == 1, F.concat(F.lit(HOST + "/jobs/"), _s(c)))
+        .when(k6 == 2, F.concat(F.lit(HOST + "/?o=1#job/"), _s(c), F.lit("/run/"), _s(k)))
+        .when(k6 == 3, F.concat(F.lit(HOST.replace("https", "http") + "/#job/"), _s(c)))
+        .when(k6 == 4, F.concat(F.lit(HOST + "/clusters/"), _s(k)))
+        .otherwise(F.concat(F.lit("Customer#"), F.lpad(_s(c), 9, "0")))
+    )
+    return o.select(k.alias("url_id"), url.alias("url"))
+
+
+def requests_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolve requests, one per order: by name, by URL (with or without a
+    run), by name with an explicit run id, or for a job that does not exist."""
+    o = read_table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    name = F.concat(F.lit("Customer#"), F.lpad(_s(c), 9, "0"))
+    k5 = k % 5
+    job_input = (
+        F.when(k5 == 1, F.concat(F.lit(HOST + "/jobs/"), _s(c), F.lit("/runs/"), _s(k)))
+        .when(k5 == 2, F.concat(F.lit(HOST + "/#job/"), _s(c)))
+        .when(k5 == 4, F.concat(F.lit(HOST + "/jobs/"), _s(c + 100000)))
+        .otherwise(name)
+    )
+    return o.select(
+        k.alias("request_id"),
+        job_input.alias("job_input"),
+        F.when(k5 == 3, k).alias("run_id"),
+        _case(k % 3, ENVS).alias("env"),
+    )
+
+
+def listing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File paths of log trees, one per order (duplicates removed): driver and
+    executor files in every naming shape, plus names that must be ignored."""
+    o = read_table(spark, sf_dir, "orders")
+    k, c, d = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate")
+    # name parts first, as columns, so each is computed once per row
+    o = o.select(
+        k.alias("k"),
+        F.concat(F.lit(LOG_ROOT), _s(c % 50)).alias("root"),
+        F.date_format(d, "yyyy-MM-dd").alias("ymd"),
+        F.date_format(d, "yyyy").alias("year"),
+        F.lpad(_s(k % 24), 2, "0").alias("hh"),
+        F.lpad(_s(k % 60), 2, "0").alias("mm"),
+        F.when(k % 17 == 0, F.lit("app-bad")).otherwise(
+            F.concat(F.lit("app-"), F.date_format(d, "yyyyMMdd"), F.lit("000000-"), F.lpad(_s(c % 3), 4, "0"))
+        ).alias("app"),
+        F.when(k % 31 == 0, F.concat(F.lit("x"), _s(k % 5))).otherwise(_s(k % 13)).alias("execnum"),
+        F.floor(k / 3).alias("v"),
+    )
+    k, root, ymd, year, hh, mm, v = (F.col(x) for x in ("k", "root", "ymd", "year", "hh", "mm", "v"))
+    drv = [
+        F.lit("stderr"),
+        F.lit("stdout"),
+        F.concat(F.lit("stderr--"), ymd, F.lit("--"), hh, F.lit("-"), mm),
+        F.concat(F.lit("stdout--"), ymd, F.lit("--"), hh, mm),
+        F.lit("log4j-active.log"),
+        F.concat(F.lit("log4j-"), ymd, F.lit("-"), hh, F.lit(".log.gz")),
+        F.lit("stacktrace.log"),
+        F.concat(ymd, F.lit("-"), hh, F.lit(".stacktrace.log.gz")),
+        F.lit("stderr.gz"),
+        F.concat(F.lit("stderr--"), year, F.lit("-02-30--10-00")),
+        F.concat(F.lit("stdout--"), ymd, F.lit("--24-"), mm),
+        F.lit("notes.txt"),
+    ]
+    exe = [
+        F.lit("stderr"),
+        F.lit("stdout"),
+        F.concat(F.lit("stderr--"), ymd, F.lit("--"), hh),
+        F.concat(F.lit("stdout--"), ymd, F.lit("--"), hh, F.lit(".gz")),
+        F.lit("stderr.gz"),
+        F.concat(F.lit("stderr--"), ymd, F.lit("--"), hh, F.lit(".gz")),
+        F.concat(F.lit("stdout--"), year, F.lit("-13-01--05")),
+        F.lit("core.dump"),
+    ]
+
+    def pick(names: list[Column], idx: Column) -> Column:
+        out = None
+        for i, n in enumerate(names):
+            out = (F.when if out is None else out.when)(idx == i, n)
+        return out
+
+    app, execnum = F.col("app"), F.col("execnum")
+    path = (
+        F.when(k % 23 == 0, F.concat(root, F.lit("/eventlog/app/eventlog")))
+        .when(k % 29 == 0, F.concat(root, F.lit("/init_scripts/init.sh")))
+        .when(k % 3 == 0, F.concat(root, F.lit("/driver/"), pick(drv, v % 12)))
+        .otherwise(F.concat(root, F.lit("/executor/"), app, F.lit("/"), execnum, F.lit("/"), pick(exe, v % 8)))
+    )
+    return o.select(path.alias("path")).distinct()
