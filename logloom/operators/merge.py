@@ -81,7 +81,8 @@ def with_file_order(files: DataFrame, path_col: str = "path") -> DataFrame:
 # ------------------------------------------------------------------- W3-W5
 def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Column | None = None,
                     block_rows: int = DEFAULT_BLOCK_ROWS, num_partitions: int | None = None) -> DataFrame:
-    """Add ``ts_key`` (W4 fallback applied) and ``merge_ts`` (W5 running max).
+    """Add ``ts_key`` (W4 fallback applied) and ``merge_ts`` (W5 running max),
+    both as epoch microseconds (year 1 = file without any timestamp).
 
     ``order_col`` orders lines inside a file (a number or a struct);
     ``block`` groups consecutive lines into bounded blocks (default:
@@ -90,14 +91,14 @@ def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Colum
     """
     blk = block if block is not None else F.floor(F.col(order_col) / F.lit(block_rows))
     part_cols = FILE_COLS + ["_blk"]
-    e = entries.withColumn("_blk", blk)
+    e = entries.withColumn("_blk", blk).withColumn("_us", F.unix_micros("timestamp"))
     e = e.repartition(num_partitions, *part_cols) if num_partitions else e.repartition(*part_cols)
 
-    ts = F.col("timestamp")
+    us = F.col("_us")
     blocks = e.groupBy(*part_cols).agg(
-        F.max(ts).alias("_bmax"),
-        F.min_by(ts, F.when(ts.isNotNull(), F.col(order_col))).alias("_bfirst"),
-        F.max(ts.isNull()).alias("_bnull"),
+        F.max(us).alias("_bmax"),
+        F.min_by(us, F.when(us.isNotNull(), F.col(order_col))).alias("_bfirst"),
+        F.max(us.isNull()).alias("_bnull"),
     )
     w_file = Window.partitionBy(*FILE_COLS).orderBy("_blk")
     w_before = w_file.rowsBetween(Window.unboundedPreceding, -1)
@@ -114,22 +115,23 @@ def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Colum
 
     w_line = Window.partitionBy(*part_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding,
                                                                            Window.currentRow)
-    fallback = F.coalesce(F.col("_ffirst"), floor_ts())
+    floor = F.lit(FLOOR_MICROS)
+    fallback = F.coalesce(F.col("_ffirst"), floor)
     out = (
-        e.withColumn("_rmax", F.max(ts).over(w_line))
-        .withColumn("_rnull", F.max(ts.isNull()).over(w_line))
+        e.withColumn("_rmax", F.max(us).over(w_line))
+        .withColumn("_rnull", F.max(us.isNull()).over(w_line))
         .join(blocks, part_cols, "inner")
-        .withColumn("ts_key", F.coalesce(ts, fallback))
+        .withColumn("ts_key", F.coalesce(us, fallback))
         .withColumn(
             "merge_ts",
             F.greatest(
-                F.coalesce(F.col("_cmax"), floor_ts()),
-                F.coalesce(F.col("_rmax"), floor_ts()),
-                F.when(F.col("_cnull") | F.col("_rnull"), fallback).otherwise(floor_ts()),
+                F.coalesce(F.col("_cmax"), floor),
+                F.coalesce(F.col("_rmax"), floor),
+                F.when(F.col("_cnull") | F.col("_rnull"), fallback).otherwise(floor),
             ),
         )
     )
-    return out.drop("_blk", "_bmax", "_ffirst", "_cmax", "_cnull", "_rmax", "_rnull")
+    return out.drop("_blk", "_us", "_bmax", "_ffirst", "_cmax", "_cnull", "_rmax", "_rnull")
 
 
 def merge_sort_cols(order_col: str = "line_no") -> list[Column]:

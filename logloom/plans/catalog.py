@@ -8,7 +8,6 @@ Timestamps are returned as ISO strings (P7) so both engines agree on type.
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,13 +97,13 @@ def q_grep_filter(spark, sf_dir):
 def q_file_first_timestamp(spark, sf_dir):
     k = _keyed(spark, sf_dir).where(F.col("timestamp").isNull())
     return k.groupBy("run_key", "file_origin").agg(F.min("ts_key").alias("_f")).select(
-        "run_key", "file_origin", iso_timestamp("_f").alias("first_ts")
+        "run_key", "file_origin", iso_timestamp(F.timestamp_micros("_f")).alias("first_ts")
     )
 
 
 def q_merge_order(spark, sf_dir):
     ranked = rank_within(_keyed(spark, sf_dir), ["run_key"], merge_sort_cols()[1:], "merge_rank")
-    return ranked.select("run_key", "line_no", "file_origin", iso_timestamp("merge_ts").alias("merge_ts"),
+    return ranked.select("run_key", "line_no", "file_origin", iso_timestamp(F.timestamp_micros("merge_ts")).alias("merge_ts"),
                          "merge_rank")
 
 
@@ -228,5 +227,3 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         pass
     return out
 
-
-_ = _dt  # keep datetime import for parameter typing in callers

@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime as _dt
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from logloom.operators import filters as flt
 from logloom.operators import triage as tri
@@ -57,7 +58,7 @@ def query_logs(spark, bases, source: str = "all", stream: str = "all", include_l
 
     entries = scan_logs(spark, bases, source=source, stream=stream, include_log4j=include_log4j,
                         include_stacktrace=include_stacktrace)
-    return query_entries(entries, order_col="line_no", block=entries["block_start"], **options)
+    return query_entries(entries, order_col="line_no", block=F.col("block_start"), **options)
 
 
 def triage(entries: DataFrame, files: DataFrame | None = None, focus_after: bool = True) -> dict[str, DataFrame]:

@@ -19,11 +19,17 @@ _DRIVER_REL = r"^(.*)/driver/([^/]+)$"
 _EXEC_REL = r"^(.*)/executor/([^/]+)/([^/]+)/([^/]+)$"
 
 
-def normalize_path(path: Column | str) -> Column:
-    """Strip ``file:`` / ``file://`` and ``dbfs:`` prefixes (S10) so listings,
-    scan metadata and user-given roots compare as plain strings."""
+def normalize_path(path: Column | str, encoded: bool = False) -> Column:
+    """Plain path string: ``file:`` and ``dbfs:`` prefixes stripped (S10) and,
+    for URI-encoded input (scan metadata, file index), ``%XX`` decoded.
+
+    ``+`` is literal in a URI path, so it is protected before decoding.
+    """
     p = F.col(path) if isinstance(path, str) else path
-    return F.regexp_replace(F.regexp_replace(p, r"^file:(//)?", ""), r"^dbfs:", "")
+    if encoded:
+        p = F.url_decode(F.replace(p, F.lit("+"), F.lit("%2B")))
+    p = F.regexp_replace(p, r"^file:/+", "/")
+    return F.regexp_replace(p, r"^dbfs:", "")
 
 
 # Rule ids: which file-name family a path belongs to.
@@ -76,7 +82,8 @@ def file_rule(path: Column | str, include_log4j: bool = False, include_stacktrac
 
 
 def with_file_attributes(df: DataFrame, path_col: str = "path", include_log4j: bool = False,
-                         include_stacktrace: bool = False, keep_unknown: bool = False) -> DataFrame:
+                         include_stacktrace: bool = False, keep_unknown: bool = False,
+                         encoded: bool = False) -> DataFrame:
     """Add the file attributes of ``path_col``; rows that are not log files
     (or opt-in families not asked for) are dropped unless ``keep_unknown``.
 
@@ -89,7 +96,7 @@ def with_file_attributes(df: DataFrame, path_col: str = "path", include_log4j: b
         df = df.where(is_log_file(path_col, include_log4j, include_stacktrace))
     df = df.withColumn("_rule", file_rule(path_col, include_log4j, include_stacktrace))
     r = F.col("_rule")
-    p = normalize_path(path_col)
+    p = normalize_path(path_col, encoded)
     df = df.withColumns({
         "_lp": p,
         "_name": F.regexp_extract(p, r"/([^/]+)$", 1),
@@ -147,8 +154,9 @@ def list_files(spark: SparkSession, roots: str | list[str]) -> DataFrame:
     roots = [roots] if isinstance(roots, str) else list(roots)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     paths = reader.load(roots).inputFiles()
-    listing = spark.createDataFrame([(p,) for p in paths], "path string")
-    sizes = reader.load(roots).select(F.col("path").alias("_p"), F.col("length"))
+    listing = spark.createDataFrame([(p,) for p in paths], "uri string").select(
+        normalize_path("uri", encoded=True).alias("path"))
+    sizes = reader.load(roots).select(normalize_path("path").alias("_p"), F.col("length"))
     return listing.join(sizes, listing.path == sizes._p, "left").select(
         "path", F.coalesce(F.col("length"), F.lit(0)).cast("bigint").alias("length")
     )
