@@ -81,7 +81,8 @@ def since_filter(df: DataFrame, since: str | _dt.datetime | None, now: _dt.datet
     if since is None:
         return df
     ts = parse_since(since, now)
-    return df.where(F.col("timestamp").isNotNull() & (F.col("timestamp") >= F.lit(ts)))
+    # a null timestamp compares to null and is dropped: one reference only
+    return df.where(F.col("timestamp") >= F.lit(ts))
 
 
 # ----------------------------------------------------------------------- F5
@@ -111,11 +112,8 @@ def focus_filter(df: DataFrame, line: str = "line") -> DataFrame:
 def focus_report(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Removed and remaining line counts of the focus filter, per run."""
     by = ["run_key"] if by is None else by
-    noise = is_noise()
-    return df.groupBy(*by).agg(
-        F.count_if(noise).alias("removed"),
-        F.count_if(~noise).alias("remaining"),
-    )
+    agg = df.groupBy(*by).agg(F.count_if(is_noise()).alias("removed"), F.count(F.lit(1)).alias("_n"))
+    return agg.withColumn("remaining", F.col("_n") - F.col("removed")).drop("_n")
 
 
 # ----------------------------------------------------------------------- F6

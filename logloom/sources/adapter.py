@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.parse import split_lines
+
 # FIXED VALUES: adapter vocabulary
 APP_ID = "app-20240101000000-0000"
 LEVEL_WORD_BY_EVENT = {"error": "ERROR", "purchase": "WARN", "signup": "WARNING", "view": "INFO", "click": "DEBUG"}
@@ -63,7 +65,9 @@ def render_events(events: DataFrame) -> DataFrame:
         _case(eid % 11, MESSAGES_BY_EVENT_MOD_11, F.lit(DEFAULT_MESSAGE))
     )
     text = F.concat_ws(" ", stamp, _case(F.col("event_type"), LEVEL_WORD_BY_EVENT), F.concat(message, uid.cast("string")))
-    line = F.when(k8 == 5, F.when(eid % 2 == 0, F.lit(STACK_LINE)).otherwise(F.lit(TRACEBACK_LINE))).otherwise(text)
+    record = F.when(k8 == 5, F.when(eid % 2 == 0, F.lit(STACK_LINE)).otherwise(F.lit(TRACEBACK_LINE))).otherwise(text)
+    # Each rendered record goes through the same line split (P1) as file
+    # content, so ``line`` is a column of its own, like in a file scan.
     out = events.select(
         run_key.alias("run_key"),
         F.when(is_driver, F.lit("driver")).otherwise(F.lit("executor")).alias("source_type"),
@@ -71,7 +75,7 @@ def render_events(events: DataFrame) -> DataFrame:
         F.when(is_driver, F.lit(None).cast("string")).otherwise(F.lit(APP_ID)).alias("app_id"),
         stream.alias("stream"),
         eid.alias("line_no"),
-        line.alias("line"),
+        F.explode(split_lines(record)).alias("line"),
     )
     file_origin = F.when(
         F.col("source_type") == "driver",
