@@ -16,8 +16,9 @@ however large, is processed by a single task:
    max over the blocks of each file;
 3. a window inside each (file, block) finishes the running max.
 
-The per-block aggregate and the window read the same shuffle (Spark reuses
-the exchange), so lines are read and parsed once.
+The per-block statistics come from a narrow pre-pass (keys and timestamp
+only, aggregated map-side), so only one row per block and map task is
+shuffled for them; the lines themselves are shuffled once, by (file, block).
 """
 
 from __future__ import annotations
@@ -91,11 +92,13 @@ def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Colum
     """
     blk = block if block is not None else F.floor(F.col(order_col) / F.lit(block_rows))
     part_cols = FILE_COLS + ["_blk"]
-    e = entries.withColumn("_blk", blk).withColumn("_us", F.unix_micros("timestamp"))
-    e = e.repartition(num_partitions, *part_cols) if num_partitions else e.repartition(*part_cols)
+    base = entries.withColumn("_blk", blk).withColumn("_us", F.unix_micros("timestamp"))
+    e = base.repartition(num_partitions, *part_cols) if num_partitions else base.repartition(*part_cols)
 
+    # per-block stats: a narrow aggregate with map-side partial aggregation
+    # (one row per block and map task is shuffled)
     us = F.col("_us")
-    blocks = e.groupBy(*part_cols).agg(
+    blocks = base.groupBy(*part_cols).agg(
         F.max(us).alias("_bmax"),
         F.min_by(us, F.when(us.isNotNull(), F.col(order_col))).alias("_bfirst"),
         F.max(us.isNull()).alias("_bnull"),
