@@ -51,14 +51,21 @@ def _short_year(line: Column) -> Column:
     return F.when(F.year(ts) >= pivot, ts - F.expr("INTERVAL 100 YEARS")).otherwise(ts)
 
 
-def parse_timestamp(line: Column | str) -> Column:
-    """UTC timestamp of the first pattern that matches *and* converts."""
+# The bracketed stamp with its offset kept (``honor_offset=True``).
+_TS_ISO_BRACKET_OFFSET = r"\[([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3}[+\-][0-9]{4})\]"
+_FMT_ISO_OFFSET = "yyyy-MM-dd'T'HH:mm:ss.SSSZ"
+
+
+def parse_timestamp(line: Column | str, honor_offset: bool = False) -> Column:
+    """UTC timestamp of the first pattern that matches *and* converts.
+
+    The bracketed ISO stamp's offset is matched and ignored (its wall time
+    is taken as UTC) unless ``honor_offset`` converts it to UTC.
+    """
     line = _col(line)
-    return F.coalesce(
-        _short_year(line),
-        _try_parse(line, rules.TS_ISO_BRACKET, _FMT_ISO),
-        _try_parse(line, rules.TS_LOG4J, _FMT_LOG4J),
-    )
+    iso = (_try_parse(line, _TS_ISO_BRACKET_OFFSET, _FMT_ISO_OFFSET) if honor_offset
+           else _try_parse(line, rules.TS_ISO_BRACKET, _FMT_ISO))
+    return F.coalesce(_short_year(line), iso, _try_parse(line, rules.TS_LOG4J, _FMT_LOG4J))
 
 
 # ----------------------------------------------------------------------- P4
@@ -116,6 +123,7 @@ def level_name(level: Column | str) -> Column:
     return out
 
 
-def parse_entries(lines):
+def parse_entries(lines, honor_offset: bool = False):
     """Add ``timestamp`` and ``level`` parsed from ``line``."""
-    return lines.withColumn("timestamp", parse_timestamp("line")).withColumn("level", parse_level("line"))
+    return lines.withColumn("timestamp", parse_timestamp("line", honor_offset)).withColumn(
+        "level", parse_level("line"))

@@ -49,19 +49,22 @@ def query_entries(
 
 
 def query_logs(spark, bases, source: str = "all", stream: str = "all", include_log4j: bool = False,
-               include_stacktrace: bool = False, **options) -> DataFrame:
+               include_stacktrace: bool = False, strict_corrupt: bool = True, honor_offset: bool = False,
+               **options) -> DataFrame:
     """Read the log trees under ``bases`` and apply the viewer's options.
 
-    Source and stream filters prune files before they are read.
+    Source and stream filters prune files before they are read; a missing
+    run directory contributes no rows.
     """
     from logloom.sources.scan import scan_logs
 
     entries = scan_logs(spark, bases, source=source, stream=stream, include_log4j=include_log4j,
-                        include_stacktrace=include_stacktrace)
+                        include_stacktrace=include_stacktrace, strict_corrupt=strict_corrupt,
+                        honor_offset=honor_offset)
     return query_entries(entries, order_col="line_no", block=F.col("block_start"), **options)
 
 
-def triage(entries: DataFrame, files: DataFrame | None = None, focus_after: bool = True) -> dict[str, DataFrame]:
+def triage(entries: DataFrame, files: DataFrame | None = None) -> dict[str, DataFrame]:
     """The triage workflow as tables: errors by executor and source, root
     causes, first error, spread, timeline and suggested actions.
 

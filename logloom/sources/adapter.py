@@ -34,7 +34,15 @@ TRACEBACK_LINE = "Traceback (most recent call last):"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table, spread over the cluster's cores when its scan has
+    fewer partitions than cores (a small single-row-group file would
+    otherwise parse every line in one task). Large tables already scan in
+    many splits and are left alone: no extra shuffle at scale."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def _case(key: Column, mapping: dict, default=None) -> Column:

@@ -151,7 +151,11 @@ def list_files(spark: SparkSession, roots: str | list[str]) -> DataFrame:
     not read. Spark leaves zero-length files out of a scan, but they are
     files of the run, so the listing comes from the file index.
     """
-    roots = [roots] if isinstance(roots, str) else list(roots)
+    from logloom.sources.scan import existing_roots
+
+    roots = existing_roots(spark, [roots] if isinstance(roots, str) else list(roots))
+    if not roots:
+        return spark.createDataFrame([], "path string, length bigint")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     paths = reader.load(roots).inputFiles()
     listing = spark.createDataFrame([(p,) for p in paths], "uri string").select(

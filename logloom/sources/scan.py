@@ -45,11 +45,27 @@ def selection_predicate(path: Column, source: str = "all", stream: str = "all",
     return path.rlike("(?:" + ")|(?:".join(pats) + ")")
 
 
-def _read(spark: SparkSession, roots: list[str], gz: bool) -> DataFrame:
+def existing_roots(spark: SparkSession, roots: list[str]) -> list[str]:
+    """Run roots that exist (file-system metadata only). A run whose log
+    directory is missing yields no files instead of failing the job (S9)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for r in roots:
+        path = jvm.org.apache.hadoop.fs.Path(r)
+        if path.getFileSystem(conf).exists(path):
+            out.append(r)
+    return out
+
+
+def _read(spark: SparkSession, roots: list[str], gz: bool, whole: bool = True) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true")
-    if gz:
+    if not roots:
+        df = spark.createDataFrame([], "value string").withColumn("_metadata", F.struct(
+            F.lit("").alias("file_path"), F.lit("").alias("file_name"), F.lit(0).cast("bigint").alias("file_block_start")))
+    elif gz:
         reader = reader.option("pathGlobFilter", "*.gz").option("ignoreCorruptFiles", "true")
-        df = reader.text(roots, wholetext=True)
+        df = reader.text(roots, wholetext=whole)
     else:
         df = reader.text(roots)
     return df.select(
@@ -61,9 +77,15 @@ def _read(spark: SparkSession, roots: list[str], gz: bool) -> DataFrame:
 
 
 def raw_lines(spark: SparkSession, roots: str | list[str], source: str = "all", stream: str = "all",
-              include_log4j: bool = False, include_stacktrace: bool = False) -> DataFrame:
-    """Lines of the selected files with their order key, blank lines kept."""
-    roots = [roots] if isinstance(roots, str) else list(roots)
+              include_log4j: bool = False, include_stacktrace: bool = False,
+              strict_corrupt: bool = True) -> DataFrame:
+    """Lines of the selected files with their order key, blank lines kept.
+
+    ``strict_corrupt=False`` reads gzip files line by line too: no
+    whole-file row (no 2 GB limit per decompressed file), but a damaged
+    archive keeps the lines before the damage.
+    """
+    roots = existing_roots(spark, [roots] if isinstance(roots, str) else list(roots))
     sel = lambda df: df.where(selection_predicate(F.col("_uri"), source, stream,
                                                   include_log4j, include_stacktrace))
     # plain files: Hadoop line reader splits \n, \r, \r\n; the other
@@ -74,12 +96,20 @@ def raw_lines(spark: SparkSession, roots: str | list[str], source: str = "all",
         "_uri", "block_start", F.monotonically_increasing_id().alias("_row"),
         F.posexplode(split_lines("value", full=False)).alias("_pos", "line"),
     )
-    # gzip files: one row per file, split on every line break
-    packed = sel(_read(spark, roots, gz=True))
-    packed = packed.select(
-        "_uri", "block_start", F.lit(0).cast("bigint").alias("_row"),
-        F.posexplode(split_lines("value", full=True)).alias("_pos", "line"),
-    )
+    # gzip files: one row per file, split on every line break (strict), or
+    # line by line like plain files (one task per file either way)
+    if strict_corrupt:
+        packed = sel(_read(spark, roots, gz=True))
+        packed = packed.select(
+            "_uri", "block_start", F.lit(0).cast("bigint").alias("_row"),
+            F.posexplode(split_lines("value", full=True)).alias("_pos", "line"),
+        )
+    else:
+        packed = sel(_read(spark, roots, gz=True, whole=False))
+        packed = packed.select(
+            "_uri", "block_start", F.monotonically_increasing_id().alias("_row"),
+            F.posexplode(split_lines("value", full=False)).alias("_pos", "line"),
+        )
     lines = plain.unionByName(packed)
     lines = lines.withColumn("line_no", F.struct(F.col("block_start"), F.col("_row").alias("row"),
                                                   F.col("_pos").alias("pos")))
@@ -88,20 +118,21 @@ def raw_lines(spark: SparkSession, roots: str | list[str], source: str = "all",
 
 
 def scan_logs(spark: SparkSession, roots: str | list[str], source: str = "all", stream: str = "all",
-              include_log4j: bool = False, include_stacktrace: bool = False) -> DataFrame:
+              include_log4j: bool = False, include_stacktrace: bool = False, strict_corrupt: bool = True,
+              honor_offset: bool = False) -> DataFrame:
     """Parsed entries of every selected log file under the run roots.
 
     ``line_no`` is a struct (split start, row, piece) ordering lines inside a
     file; ``block_start`` bounds the blocks of the two-level merge.
     """
-    lines = raw_lines(spark, roots, source, stream, include_log4j, include_stacktrace)
-    return parse_entries(lines.where(is_non_blank("line")))
+    lines = raw_lines(spark, roots, source, stream, include_log4j, include_stacktrace, strict_corrupt)
+    return parse_entries(lines.where(is_non_blank("line")), honor_offset)
 
 
 def skipped_files(spark: SparkSession, files: DataFrame, roots: str | list[str]) -> DataFrame:
     """Non-empty gzip files that could not be read (S14): listed, but absent
     from the whole-file scan (damaged or not gzip at all)."""
-    roots = [roots] if isinstance(roots, str) else list(roots)
+    roots = existing_roots(spark, [roots] if isinstance(roots, str) else list(roots))
     read = _read(spark, roots, gz=True).select(normalize_path("_uri", encoded=True).alias("path")).distinct()
     gz = files.where(F.col("is_compressed") & (F.col("length") > 0))
     return gz.join(read, "path", "left_anti")

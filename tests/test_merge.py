@@ -127,3 +127,24 @@ def test_file_order(spark):
     assert got == ["/r/driver/stderr--2026-03-11--17-00", "/r/driver/stderr--2026-03-11--18-00", "/r/driver/stderr",
                    "/r/driver/stdout", "/r/executor/app-1/x/stderr", "/r/executor/app-1/2/stderr",
                    "/r/executor/app-1/10/stderr"]
+
+
+def test_hot_file_many_blocks(spark):
+    """One file with most of the rows, split into 40 blocks, plus small files."""
+    import random
+
+    rnd = random.Random(7)
+    hot = [None if rnd.random() < 0.2 else rnd.randint(0, 500) for _ in range(4000)]
+    files = [hot, [rnd.randint(0, 500) for _ in range(50)], [None, 3, None, 400]]
+    df = with_merge_keys(make(spark, files), block_rows=100, num_partitions=8)
+    got = [r.line for r in df.orderBy(*merge_sort_cols()).select("line").collect()]
+    assert got == expected(files)
+
+
+def test_rank_hot_group_spans_partitions(spark):
+    rows = [("hot", i) for i in range(3000)] + [("cold", i) for i in range(10)]
+    df = spark.createDataFrame(rows, "g string, k bigint")
+    ranked = rank_within(df, ["g"], [F.col("k")], "rk")
+    got = {(r.g, r.k): r.rk for r in ranked.collect()}
+    assert all(got[("hot", i)] == i + 1 for i in range(3000))
+    assert all(got[("cold", i)] == i + 1 for i in range(10))

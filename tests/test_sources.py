@@ -122,3 +122,31 @@ def test_follow_available_now(spark, tree, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 10  # 4 executors x 2 files + one driver error per run; damaged gz dropped
     assert os.path.isdir(str(tmp_path / "ckpt"))
+
+
+def test_missing_root_and_empty(spark, tree, tmp_path):
+    from logloom.plans.query import query_logs
+
+    missing = str(tmp_path / "no-such-run")
+    assert scan_logs(spark, [missing]).count() == 0
+    assert query_logs(spark, [missing, tree["c2"]], level="ERROR").count() == 1
+    assert discover(spark, [missing]).count() == 0
+
+
+def test_lenient_gzip_mode(spark, tree):
+    strict = scan_logs(spark, [tree["c1"]], source="executor:2")
+    lenient = scan_logs(spark, [tree["c1"]], source="executor:2", strict_corrupt=False)
+    # same lines from the intact files, in the same order
+    ok = F.col("file_origin").endswith("--18.gz")
+    assert [r.line for r in strict.where(ok).orderBy("line_no").collect()] == \
+        [r.line for r in lenient.where(ok).orderBy("line_no").collect()]
+    assert lenient.count() >= strict.count()
+
+
+def test_honor_offset(spark, lines):
+    from logloom.functions.parse import parse_timestamp
+
+    df = lines("[2026-03-11T21:01:07.016+0200] x")
+    a = df.select(F.date_format(parse_timestamp("line"), "HH:mm").alias("t")).first().t
+    b = df.select(F.date_format(parse_timestamp("line", honor_offset=True), "HH:mm").alias("t")).first().t
+    assert (a, b) == ("21:01", "19:01")
