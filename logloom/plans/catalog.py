@@ -27,7 +27,6 @@ STREAM = "stdout"
 LEVELS = "error, warning"
 SINCE = "2024-01-15T12:00:00"
 GREP = "OutOfMemory|Py4J"
-TAIL_RUN = "run-1"
 TAIL_N = 20
 TAIL_PER_RUN_N = 15
 SKIP_HEAD_N = 100
@@ -108,8 +107,7 @@ def q_merge_order(spark, sf_dir):
 
 
 def q_tail(spark, sf_dir):
-    e = _entries(spark, sf_dir).where(F.col("run_key") == TAIL_RUN)
-    out = query_entries(e, level="ERROR,WARN", focus=True, tail=TAIL_N, per_run=False, ordered=False,
+    out = query_entries(_entries(spark, sf_dir), level="ERROR,WARN", focus=True, tail=TAIL_N, ordered=False,
                         block=F.floor(F.col("line_no") / QUERY_BLOCK_ROWS))
     return out.select("run_key", "line_no", "line")
 

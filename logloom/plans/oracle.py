@@ -176,7 +176,7 @@ def log_oracles() -> dict[str, str]:
         "merge_order": _w(E, K) + f"SELECT run_key, line_no, file_origin, {iso('merge_ts')} AS merge_ts, "
         "merge_rank FROM ranked",
         "tail": _w(E, K) + "SELECT run_key, line_no, line FROM ("
-        + _tail_filter(f"run_key = {_q(C.TAIL_RUN)} AND {ok} AND level IN (40, 30)", C.TAIL_N, per_run=False) + ")",
+        + _tail_filter(f"{ok} AND level IN (40, 30)", C.TAIL_N) + ")",
         "tail_per_run": _w(E, K) + "SELECT run_key, line_no, line FROM ("
         + _tail_filter(ok, C.TAIL_PER_RUN_N) + ")",
         "skip_head": _w(E, K) + "SELECT run_key, line_no FROM ("
