@@ -81,7 +81,8 @@ def with_file_order(files: DataFrame, path_col: str = "path") -> DataFrame:
 
 # ------------------------------------------------------------------- W3-W5
 def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Column | None = None,
-                    block_rows: int = DEFAULT_BLOCK_ROWS, num_partitions: int | None = None) -> DataFrame:
+                    block_rows: int = DEFAULT_BLOCK_ROWS, num_partitions: int | None = None,
+                    stats_entries: DataFrame | None = None) -> DataFrame:
     """Add ``ts_key`` (W4 fallback applied) and ``merge_ts`` (W5 running max),
     both as epoch microseconds (year 1 = file without any timestamp).
 
@@ -89,16 +90,25 @@ def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Colum
     ``block`` groups consecutive lines into bounded blocks (default:
     ``line_no`` div ``block_rows``). Must run before any line-level filter:
     keys are defined on all lines of a file.
+
+    ``stats_entries`` are the lines the cross-block pre-pass reads (default:
+    all of ``entries``). A caller that knows which files can span more than
+    one block passes only those files' lines; every other file is finished
+    inside its single block.
     """
-    blk = block if block is not None else F.floor(F.col(order_col) / F.lit(block_rows))
+    def keyed(df: DataFrame) -> DataFrame:
+        blk = block if block is not None else F.floor(F.col(order_col) / F.lit(block_rows))
+        return df.withColumn("_blk", blk).withColumn("_us", F.unix_micros("timestamp"))
+
     part_cols = FILE_COLS + ["_blk"]
-    base = entries.withColumn("_blk", blk).withColumn("_us", F.unix_micros("timestamp"))
+    base = keyed(entries)
+    stats_src = base if stats_entries is None else keyed(stats_entries)
     e = base.repartition(num_partitions, *part_cols) if num_partitions else base.repartition(*part_cols)
 
     # per-block stats: a narrow aggregate with map-side partial aggregation
     # (one row per block and map task is shuffled)
     us = F.col("_us")
-    blocks = base.groupBy(*part_cols).agg(
+    blocks = stats_src.groupBy(*part_cols).agg(
         F.max(us).alias("_bmax"),
         F.min_by(us, F.when(us.isNotNull(), F.col(order_col))).alias("_bfirst"),
         F.max(us.isNull()).alias("_bnull"),
@@ -112,29 +122,32 @@ def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Colum
                                                                          Window.unboundedFollowing)),
         )
         .withColumn("_cmax", F.max("_bmax").over(w_before))
-        .withColumn("_cnull", F.coalesce(F.max("_bnull").over(w_before), F.lit(False)))
+        .withColumn("_cnull", F.max("_bnull").over(w_before))
         .select(*part_cols, "_ffirst", "_cmax", "_cnull")
     )
 
-    w_line = Window.partitionBy(*part_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding,
-                                                                           Window.currentRow)
+    w_block = Window.partitionBy(*part_cols).orderBy(order_col)
+    w_line = w_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_all = w_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     floor = F.lit(FLOOR_MICROS)
-    fallback = F.coalesce(F.col("_ffirst"), floor)
+    # a file absent from the stats is a single block: its own first stamp
+    fallback = F.coalesce(F.col("_ffirst"), F.col("_lfirst"), floor)
     out = (
         e.withColumn("_rmax", F.max(us).over(w_line))
         .withColumn("_rnull", F.max(us.isNull()).over(w_line))
-        .join(blocks, part_cols, "inner")
+        .withColumn("_lfirst", F.first(us, ignorenulls=True).over(w_all))
+        .join(blocks, part_cols, "left")
         .withColumn("ts_key", F.coalesce(us, fallback))
         .withColumn(
             "merge_ts",
             F.greatest(
                 F.coalesce(F.col("_cmax"), floor),
                 F.coalesce(F.col("_rmax"), floor),
-                F.when(F.col("_cnull") | F.col("_rnull"), fallback).otherwise(floor),
+                F.when(F.coalesce(F.col("_cnull"), F.lit(False)) | F.col("_rnull"), fallback).otherwise(floor),
             ),
         )
     )
-    return out.drop("_blk", "_us", "_bmax", "_ffirst", "_cmax", "_cnull", "_rmax", "_rnull")
+    return out.drop("_blk", "_us", "_bmax", "_ffirst", "_cmax", "_cnull", "_rmax", "_rnull", "_lfirst")
 
 
 def merge_sort_cols(order_col: str = "line_no") -> list[Column]:

@@ -33,10 +33,13 @@ def query_entries(
     now: _dt.datetime | None = None,
     order_col: str = "line_no",
     block=None,
+    stats_entries: DataFrame | None = None,
 ) -> DataFrame:
     """Apply the viewer's options to parsed entries."""
     df = flt.stream_filter(flt.source_filter(entries, source), stream)
-    keyed = with_merge_keys(df, order_col=order_col, block=block)
+    if stats_entries is not None:
+        stats_entries = flt.stream_filter(flt.source_filter(stats_entries, source), stream)
+    keyed = with_merge_keys(df, order_col=order_col, block=block, stats_entries=stats_entries)
     if focus:
         keyed = flt.focus_filter(keyed)
     keyed = flt.level_filter(keyed, level)
@@ -56,12 +59,13 @@ def query_logs(spark, bases, source: str = "all", stream: str = "all", include_l
     Source and stream filters prune files before they are read; a missing
     run directory contributes no rows.
     """
-    from logloom.sources.scan import scan_logs
+    from logloom.sources.scan import multi_block_lines, scan_logs
 
     entries = scan_logs(spark, bases, source=source, stream=stream, include_log4j=include_log4j,
                         include_stacktrace=include_stacktrace, strict_corrupt=strict_corrupt,
                         honor_offset=honor_offset)
-    return query_entries(entries, order_col="line_no", block=F.col("block_start"), **options)
+    return query_entries(entries, order_col="line_no", block=F.col("block_start"),
+                         stats_entries=multi_block_lines(spark, entries), **options)
 
 
 def triage(entries: DataFrame, files: DataFrame | None = None) -> dict[str, DataFrame]:

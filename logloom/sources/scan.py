@@ -20,7 +20,7 @@ from logloom.functions.parse import is_non_blank, parse_entries, split_lines
 from logloom.sources.files import _active_rules, _path_pattern, normalize_path, with_file_attributes
 
 ENTRY_FIELDS = ["run_key", "source_type", "source_detail", "app_id", "stream", "file_timestamp", "file_origin",
-                "line_no", "block_start", "line"]
+                "line_no", "block_start", "file_size", "is_compressed", "line"]
 
 
 def selection_predicate(path: Column, source: str = "all", stream: str = "all", include_log4j: bool = False,
@@ -62,7 +62,8 @@ def _read(spark: SparkSession, roots: list[str], gz: bool, whole: bool = True) -
     reader = spark.read.option("recursiveFileLookup", "true")
     if not roots:
         df = spark.createDataFrame([], "value string").withColumn("_metadata", F.struct(
-            F.lit("").alias("file_path"), F.lit("").alias("file_name"), F.lit(0).cast("bigint").alias("file_block_start")))
+            F.lit("").alias("file_path"), F.lit("").alias("file_name"), F.lit(0).cast("bigint").alias("file_block_start"),
+            F.lit(0).cast("bigint").alias("file_size")))
     elif gz:
         reader = reader.option("pathGlobFilter", "*.gz").option("ignoreCorruptFiles", "true")
         df = reader.text(roots, wholetext=whole)
@@ -73,6 +74,7 @@ def _read(spark: SparkSession, roots: list[str], gz: bool, whole: bool = True) -
         F.col("_metadata.file_path").alias("_uri"),
         F.col("_metadata.file_name").alias("_fname"),
         F.col("_metadata.file_block_start").alias("block_start"),
+        F.col("_metadata.file_size").alias("file_size"),
     )
 
 
@@ -93,7 +95,7 @@ def raw_lines(spark: SparkSession, roots: str | list[str], source: str = "all",
     # partition, piece).
     plain = sel(_read(spark, roots, gz=False).where(~F.col("_fname").endswith(".gz")))
     plain = plain.select(
-        "_uri", "block_start", F.monotonically_increasing_id().alias("_row"),
+        "_uri", "block_start", "file_size", F.monotonically_increasing_id().alias("_row"),
         F.posexplode(split_lines("value", full=False)).alias("_pos", "line"),
     )
     # gzip files: one row per file, split on every line break (strict), or
@@ -101,13 +103,13 @@ def raw_lines(spark: SparkSession, roots: str | list[str], source: str = "all",
     if strict_corrupt:
         packed = sel(_read(spark, roots, gz=True))
         packed = packed.select(
-            "_uri", "block_start", F.lit(0).cast("bigint").alias("_row"),
+            "_uri", "block_start", "file_size", F.lit(0).cast("bigint").alias("_row"),
             F.posexplode(split_lines("value", full=True)).alias("_pos", "line"),
         )
     else:
         packed = sel(_read(spark, roots, gz=True, whole=False))
         packed = packed.select(
-            "_uri", "block_start", F.monotonically_increasing_id().alias("_row"),
+            "_uri", "block_start", "file_size", F.monotonically_increasing_id().alias("_row"),
             F.posexplode(split_lines("value", full=False)).alias("_pos", "line"),
         )
     lines = plain.unionByName(packed)
@@ -129,6 +131,25 @@ def scan_logs(spark: SparkSession, roots: str | list[str], source: str = "all",
     return parse_entries(lines.where(is_non_blank("line")), honor_offset)
 
 
+def single_split_bytes(spark: SparkSession) -> int:
+    """Files up to this size are never split by the file source (the split
+    size is at least min(maxPartitionBytes, openCostInBytes))."""
+    def conf(key: str, default: str) -> int:
+        v = spark.conf.get(key, default).strip().lower()
+        units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+        v = v[:-1] if v.endswith("b") else v
+        return int(v[:-1]) * units[v[-1]] if v and v[-1] in units else int(v)
+
+    return min(conf("spark.sql.files.maxPartitionBytes", "128m"), conf("spark.sql.files.openCostInBytes", "4m"))
+
+
+def multi_block_lines(spark: SparkSession, entries: DataFrame) -> DataFrame:
+    """Lines of files that may span several splits: plain files above the
+    single-split size. The predicate is on file metadata, so the merge
+    pre-pass opens only these files."""
+    return entries.where(~F.col("is_compressed") & (F.col("file_size") > F.lit(single_split_bytes(spark))))
+
+
 def skipped_files(spark: SparkSession, files: DataFrame, roots: str | list[str]) -> DataFrame:
     """Non-empty gzip files that could not be read (S14): listed, but absent
     from the whole-file scan (damaged or not gzip at all)."""

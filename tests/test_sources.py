@@ -150,3 +150,53 @@ def test_honor_offset(spark, lines):
     a = df.select(F.date_format(parse_timestamp("line"), "HH:mm").alias("t")).first().t
     b = df.select(F.date_format(parse_timestamp("line", honor_offset=True), "HH:mm").alias("t")).first().t
     assert (a, b) == ("21:01", "19:01")
+
+
+def test_split_files_merge_like_heap(spark, tmp_path):
+    """Plain files cut into many splits: line order and the two-level merge
+    over real splits equal a heap merge of the files read in Python."""
+    import heapq
+    import random
+    import datetime as dt
+
+    from logloom.plans.query import query_logs
+    from logloom.functions.parse import parse_timestamp  # noqa: F401  (same parser as the scan)
+
+    rnd = random.Random(3)
+    root = str(tmp_path / "run")
+    names = {"driver/stderr": 0, f"executor/{logtree.APP}/0/stderr": 1, f"executor/{logtree.APP}/1/stderr": 2}
+    contents = {}
+    for rel in names:
+        lines = []
+        for i in range(1500 if rel == "driver/stderr" else 300):
+            if rnd.random() < 0.25:
+                lines.append(f"\tat frame {rel} {i}")
+            else:
+                m = rnd.randint(0, 600)
+                lines.append(f"26/03/11 {10 + m // 60:02d}:{m % 60:02d}:00 INFO {rel} {i}")
+        contents[rel] = lines
+        logtree._w(f"{root}/{rel}", "\n".join(lines) + "\n")
+
+    def key(line):
+        import re
+        m = re.search(r"(\d{2})/(\d{2})/(\d{2}) (\d{2}):(\d{2}):(\d{2})", line)
+        return None if not m else dt.datetime(2026, 3, 11, int(m.group(4)), int(m.group(5)))
+
+    its = []
+    for rel, idx in names.items():
+        ks = [key(x) for x in contents[rel]]
+        first = next((k for k in ks if k), dt.datetime.min)
+        its.append([((k or first, idx, i), x) for i, (k, x) in enumerate(zip(ks, contents[rel]))])
+    expected = [x for _, x in heapq.merge(*its, key=lambda p: p[0])]
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    try:
+        e = scan_logs(spark, [root])
+        assert e.select("file_origin", "block_start").distinct().count() > 10  # really split
+        got = [r.line for r in query_logs(spark, [root]).select("line").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == expected
