@@ -39,10 +39,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     otherwise parse every line in one task). Large tables already scan in
     many splits and are left alone: no extra shuffle at scale."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a Spark Connect session): leave as is
+        return df
+    return df.repartition(cores) if parts < cores else df
 
 
 def _case(key: Column, mapping: dict, default=None) -> Column:
