@@ -200,3 +200,19 @@ def test_split_files_merge_like_heap(spark, tmp_path):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert got == expected
+
+
+def test_cli_text_and_jsonl(spark, tree, tmp_path, capsys):
+    import json
+
+    from logloom.cli import main
+
+    assert main([tree["c1"], tree["c2"], "--level", "ERROR", "--tail", "2", "--source", "driver"]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert len(out) == 2 and all(x.startswith("[driver:stderr 2026-03-1") for x in out)
+    dest = str(tmp_path / "cli-out")
+    assert main([tree["c1"], "--format", "jsonl", "--focus", "--output", dest, "--triage", str(tmp_path / "t")]) == 0
+    rows = [json.loads(r.value) for r in spark.read.text(dest).collect()]
+    assert rows and all(set(r) == {"source_type", "source_detail", "stream", "timestamp", "level", "file", "line"}
+                        for r in rows)
+    assert spark.read.parquet(str(tmp_path / "t" / "root_cause_counts")).count() >= 1
