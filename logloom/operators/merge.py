@@ -94,8 +94,17 @@ def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Colum
     ``stats_entries`` are the lines the cross-block pre-pass reads (default:
     all of ``entries``). A caller that knows which files can span more than
     one block passes only those files' lines; every other file is finished
-    inside its single block.
+    inside its single block. Lines of a file scan (with ``block_start``,
+    ``file_size``, ``is_compressed``) get both automatically.
     """
+    scanned = {"block_start", "file_size", "is_compressed"} <= set(entries.columns)
+    if block is None and scanned:  # lines of a file scan: a block is a file split
+        block = F.col("block_start")
+    if stats_entries is None and scanned:
+        from logloom.sources.scan import multi_block_lines
+
+        stats_entries = multi_block_lines(entries.sparkSession, entries)
+
     def keyed(df: DataFrame) -> DataFrame:
         blk = block if block is not None else F.floor(F.col(order_col) / F.lit(block_rows))
         return df.withColumn("_blk", blk).withColumn("_us", F.unix_micros("timestamp"))

@@ -12,7 +12,6 @@ from __future__ import annotations
 import datetime as _dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from logloom.operators import filters as flt
 from logloom.operators import triage as tri
@@ -59,13 +58,13 @@ def query_logs(spark, bases, source: str = "all", stream: str = "all", include_l
     Source and stream filters prune files before they are read; a missing
     run directory contributes no rows.
     """
-    from logloom.sources.scan import multi_block_lines, scan_logs
+    from logloom.sources.scan import scan_logs
 
     entries = scan_logs(spark, bases, source=source, stream=stream, include_log4j=include_log4j,
                         include_stacktrace=include_stacktrace, strict_corrupt=strict_corrupt,
                         honor_offset=honor_offset)
-    return query_entries(entries, order_col="line_no", block=F.col("block_start"),
-                         stats_entries=multi_block_lines(spark, entries), **options)
+    # block = file split and the multi-split pre-pass are picked up by the merge
+    return query_entries(entries, order_col="line_no", **options)
 
 
 def triage(entries: DataFrame, files: DataFrame | None = None) -> dict[str, DataFrame]:
