@@ -175,6 +175,31 @@ def q_suggested_actions(spark, sf_dir):
     )
 
 
+# ------------------------------------------------- S11-S13, P1, P5, U1 on files
+def _tree(spark, sf_dir):
+    return adapter.materialize_log_tree(spark, sf_dir)
+
+
+def q_scan_tree(spark, sf_dir):
+    """Scan a real log tree written from events: every line back with its
+    file attributes, timestamp and level."""
+    from logloom.sources.scan import scan_logs
+
+    e = scan_logs(spark, _tree(spark, sf_dir))
+    return e.select(F.regexp_extract("run_key", "[^/]+$", 0).alias("run"), "source_type", "source_detail", "stream",
+                    "line", "level", F.when(F.col("timestamp").isNotNull(), iso_timestamp("timestamp")).alias("ts_iso"))
+
+
+def q_query_logs_tree(spark, sf_dir):
+    """The whole viewer pipeline over the files: scan, merge, focus,
+    ERROR/WARN, last lines per run."""
+    from logloom.plans.query import query_logs
+
+    out = query_logs(spark, _tree(spark, sf_dir), level="ERROR,WARN", focus=True, tail=TAIL_N, ordered=False)
+    return out.select(F.regexp_extract("run_key", "[^/]+$", 0).alias("run"), "source_type", "source_detail",
+                      "stream", "line")
+
+
 # ------------------------------------------------------------ flagship
 def q_flagship(spark, sf_dir):
     """parse -> focus -> ERROR,WARN -> merge order -> last 50 per run, ranked."""
@@ -212,6 +237,8 @@ LOG_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "error_timeline": q_error_timeline,
     "suggested_actions": q_suggested_actions,
     "flagship": q_flagship,
+    "scan_tree": q_scan_tree,
+    "query_logs_tree": q_query_logs_tree,
 }
 
 

@@ -226,6 +226,10 @@ FROM entries GROUP BY run_key""",
         "suggested_actions": _w(E, _classes(), f"actions(root_cause, action) AS (VALUES {actions})")
         + f"""SELECT k.run_key, k.root_cause, k.n_lines, coalesce(a.action, {_q(rules.UNCLEAR_ACTION)}) AS action
 FROM class_counts k LEFT JOIN actions a USING (root_cause)""",
+        "scan_tree": _w(E) + f"""SELECT run_key AS run, source_type, source_detail, stream, line, level,
+  CASE WHEN ts IS NULL THEN NULL ELSE {iso('ts')} END AS ts_iso FROM entries""",
+        "query_logs_tree": _w(E, K) + "SELECT run_key AS run, source_type, source_detail, stream, line FROM ("
+        + _tail_filter(f"{ok} AND level IN (40, 30)", C.TAIL_N) + ")",
         "flagship": _w(E, K) + f"""SELECT run_key, row_number() OVER (PARTITION BY run_key
     ORDER BY merge_ts, file_idx, line_no) AS merge_rank, line_no, {text} AS text
 FROM ({_tail_filter(f"{ok} AND level IN (40, 30)", 50)})""",

@@ -308,3 +308,65 @@ def listing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(root, F.lit("/executor/"), app, F.lit("/"), execnum, F.lit("/"), pick(exe, v % 8)))
     )
     return o.select(path.alias("path")).distinct()
+
+
+# ---------------------------------------------------------------------------
+# A real log tree written from events (for the file-scan path)
+# ---------------------------------------------------------------------------
+TREE_DIR = "logloom-trees"
+
+
+def _relative_path(df: DataFrame) -> Column:
+    """``run-N/driver/<stream>`` or ``run-N/executor/<app>/<N>/<stream>``."""
+    return F.when(
+        F.col("source_type") == "driver",
+        F.concat_ws("/", F.col("run_key"), F.lit("driver"), F.col("stream")),
+    ).otherwise(F.concat_ws("/", F.col("run_key"), F.lit("executor"), F.lit(APP_ID), F.col("source_detail"),
+                             F.col("stream")))
+
+
+def materialize_log_tree(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Write ``events`` as a log tree (one plain file per run, source and
+    stream, lines in event order) under the session's checkpoint folder and
+    return the run roots.
+
+    Spark writes the files (one task per file, rows sorted by line); the
+    driver only renames the part files into the log layout (metadata
+    operations). A finished tree for the same input is reused.
+    """
+    import hashlib
+    import os
+    import uuid
+
+    from logloom.session import ensure_checkpoint_dir
+
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    key = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{TREE_DIR}/{key}"
+    base_path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = base_path.getFileSystem(conf)
+    done = jvm.org.apache.hadoop.fs.Path(base + "/_DONE")
+    runs = sorted({f"run-{i}" for i in range(4)})
+    if not fs.exists(done):
+        tmp = f"{base}.tmp-{uuid.uuid4().hex[:8]}"
+        lines = log_lines(spark, sf_dir).withColumn("rel", _relative_path(log_lines(spark, sf_dir)))
+        (lines.select("rel", "line_no", "line")
+         .repartition("rel")
+         .sortWithinPartitions("rel", "line_no")
+         .select("rel", "line")
+         .write.partitionBy("rel").text(tmp))
+        tmp_path = jvm.org.apache.hadoop.fs.Path(tmp)
+        for status in fs.listStatus(tmp_path):
+            name = status.getPath().getName()
+            if not name.startswith("rel="):
+                continue
+            rel = jvm.java.net.URLDecoder.decode(name[4:], "UTF-8")
+            parts = [s for s in fs.listStatus(status.getPath()) if s.getPath().getName().startswith("part-")]
+            for i, part in enumerate(parts):  # one part file per leaf by construction
+                target = jvm.org.apache.hadoop.fs.Path(f"{base}/{rel}" + ("" if i == 0 else f".{i}"))
+                fs.mkdirs(target.getParent())
+                fs.rename(part.getPath(), target)
+        fs.delete(tmp_path, True)
+        fs.create(done).close()
+    return [f"{base}/{r}" for r in runs]
