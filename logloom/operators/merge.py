@@ -141,11 +141,15 @@ def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Colum
     floor = F.lit(FLOOR_MICROS)
     # a file absent from the stats is a single block: its own first stamp
     fallback = F.coalesce(F.col("_ffirst"), F.col("_lfirst"), floor)
+    # one projection, so the three share one Window operator (same spec)
+    windowed = e.select(
+        "*",
+        F.max(us).over(w_line).alias("_rmax"),
+        F.max(us.isNull()).over(w_line).alias("_rnull"),
+        F.first(us, ignorenulls=True).over(w_all).alias("_lfirst"),
+    )
     out = (
-        e.withColumn("_rmax", F.max(us).over(w_line))
-        .withColumn("_rnull", F.max(us.isNull()).over(w_line))
-        .withColumn("_lfirst", F.first(us, ignorenulls=True).over(w_all))
-        .join(blocks, part_cols, "left")
+        windowed.join(blocks, part_cols, "left")
         .withColumn("ts_key", F.coalesce(us, fallback))
         .withColumn(
             "merge_ts",
