@@ -37,10 +37,6 @@ FLOOR_MICROS = int((_dt.datetime(1, 1, 1, tzinfo=_dt.timezone.utc) - _EPOCH).tot
 MAX_MICROS = int((_dt.datetime(9999, 12, 31, 23, 59, 59, tzinfo=_dt.timezone.utc) - _EPOCH).total_seconds()) * 1_000_000
 
 
-def floor_ts() -> Column:
-    return F.timestamp_micros(F.lit(FLOOR_MICROS))
-
-
 def max_ts() -> Column:
     return F.timestamp_micros(F.lit(MAX_MICROS))
 
