@@ -48,8 +48,11 @@ def selection_predicate(path: Column, source: str = "all", stream: str = "all",
 def existing_roots(spark: SparkSession, roots: list[str]) -> list[str]:
     """Run roots that exist (file-system metadata only). A run whose log
     directory is missing yields no files instead of failing the job (S9)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:  # no JVM access (e.g. Spark Connect): let the reader decide
+        return list(roots)
     out = []
     for r in roots:
         path = jvm.org.apache.hadoop.fs.Path(r)
