@@ -23,7 +23,15 @@ def split_lines(text: Column | str, full: bool = True) -> Column:
     ``full=True`` splits on every separator (for whole-file text);
     ``full=False`` only on those the Hadoop line reader leaves in a line.
     """
-    return F.split(_col(text), rules.LINE_BREAKS if full else rules.EXTRA_LINE_BREAKS)
+    t = _col(text)
+    if full:
+        return F.split(t, rules.LINE_BREAKS)
+    # most lines hold none of these rare separators: test with plain
+    # substring searches and only run the regex split when one is present
+    present = None
+    for ch in rules.EXTRA_LINE_BREAKS.strip("[]"):
+        present = t.contains(ch) if present is None else present | t.contains(ch)
+    return F.when(present, F.split(t, rules.EXTRA_LINE_BREAKS)).otherwise(F.array(t))
 
 
 def is_non_blank(line: Column | str) -> Column:

@@ -78,7 +78,7 @@ def with_file_order(files: DataFrame, path_col: str = "path") -> DataFrame:
 # ------------------------------------------------------------------- W3-W5
 def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Column | None = None,
                     block_rows: int = DEFAULT_BLOCK_ROWS, num_partitions: int | None = None,
-                    stats_entries: DataFrame | None = None) -> DataFrame:
+                    stats_entries: DataFrame | None = None, within_block: Column | None = None) -> DataFrame:
     """Add ``ts_key`` (W4 fallback applied) and ``merge_ts`` (W5 running max),
     both as epoch microseconds (year 1 = file without any timestamp).
 
@@ -90,12 +90,17 @@ def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Colum
     ``stats_entries`` are the lines the cross-block pre-pass reads (default:
     all of ``entries``). A caller that knows which files can span more than
     one block passes only those files' lines; every other file is finished
-    inside its single block. Lines of a file scan (with ``block_start``,
-    ``file_size``, ``is_compressed``) get both automatically.
+    inside its single block. ``within_block`` orders lines inside one block
+    (default ``order_col``; a fixed-width number keeps the aggregates
+    hash-based). Lines of a file scan (with ``block_start``, ``file_size``,
+    ``is_compressed``) get all three automatically.
     """
     scanned = {"block_start", "file_size", "is_compressed"} <= set(entries.columns)
     if block is None and scanned:  # lines of a file scan: a block is a file split
         block = F.col("block_start")
+    if within_block is None and scanned:  # inside a split the line number alone orders lines
+        within_block = F.col(order_col)["row"]
+    inner = within_block if within_block is not None else F.col(order_col)
     if stats_entries is None and scanned:
         from logloom.sources.scan import multi_block_lines
 
@@ -115,7 +120,7 @@ def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Colum
     us = F.col("_us")
     blocks = stats_src.groupBy(*part_cols).agg(
         F.max(us).alias("_bmax"),
-        F.min_by(us, F.when(us.isNotNull(), F.col(order_col))).alias("_bfirst"),
+        F.min_by(us, F.when(us.isNotNull(), inner)).alias("_bfirst"),
         F.max(us.isNull()).alias("_bnull"),
     )
     w_file = Window.partitionBy(*FILE_COLS).orderBy("_blk")
@@ -131,7 +136,7 @@ def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Colum
         .select(*part_cols, "_ffirst", "_cmax", "_cnull")
     )
 
-    w_block = Window.partitionBy(*part_cols).orderBy(order_col)
+    w_block = Window.partitionBy(*part_cols).orderBy(inner)
     w_line = w_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     w_all = w_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     floor = F.lit(FLOOR_MICROS)

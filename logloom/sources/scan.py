@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.parse import is_non_blank, parse_entries, split_lines
+from logloom.operators.filters import source_filter, stream_filter
 from logloom.sources.files import _active_rules, _path_pattern, normalize_path, with_file_attributes
 
 ENTRY_FIELDS = ["run_key", "source_type", "source_detail", "app_id", "stream", "file_timestamp", "file_origin",
@@ -81,54 +82,116 @@ def _read(spark: SparkSession, roots: list[str], gz: bool, whole: bool = True) -
     )
 
 
+def _read_paths(spark: SparkSession, paths: list[str], gz: bool, whole: bool = True) -> DataFrame:
+    """Read an explicit list of files (the selected ones)."""
+    if not paths:
+        return _read(spark, [], gz)
+    reader = spark.read.option("ignoreCorruptFiles", "true") if gz else spark.read
+    df = reader.text(paths, wholetext=whole) if gz else reader.text(paths)
+    return df.select(
+        F.make_valid_utf8("value").alias("value"),
+        F.col("_metadata.file_path").alias("_uri"),
+        F.col("_metadata.file_name").alias("_fname"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.col("_metadata.file_size").alias("file_size"),
+    )
+
+
+def _lines(plain: DataFrame, packed: DataFrame, strict_corrupt: bool) -> DataFrame:
+    """Explode file content into lines and number them.
+
+    Plain files: the Hadoop line reader splits \\n, \\r, \\r\\n; the other
+    Python line breaks are split here. gzip files: one row per file split on
+    every line break (strict), or line by line like plain files. Lines are
+    numbered after the split with monotonically_increasing_id: inside a file
+    split (one partition) the number grows with the line, so (split start,
+    number) orders a file.
+    """
+    plain = plain.select("_uri", "block_start", "file_size", F.explode(split_lines("value", full=False)).alias("line"))
+    packed = packed.select("_uri", "block_start", "file_size",
+                           F.explode(split_lines("value", full=strict_corrupt)).alias("line"))
+    lines = plain.withColumn("_row", F.monotonically_increasing_id()).unionByName(
+        packed.withColumn("_row", F.monotonically_increasing_id()))
+    return lines.withColumn("line_no", F.struct(F.col("block_start"), F.col("_row").alias("row")))
+
+
 def raw_lines(spark: SparkSession, roots: str | list[str], source: str = "all", stream: str = "all",
               include_log4j: bool = False, include_stacktrace: bool = False,
               strict_corrupt: bool = True) -> DataFrame:
     """Lines of the selected files with their order key, blank lines kept.
 
+    Up to ``BROADCAST_FILE_LIMIT`` files, files are classified and selected
+    once per file, exactly the selected files are read, and their attributes
+    are attached by a broadcast join: no per-line work on paths. Above it,
+    selection is a predicate on ``_metadata.file_path`` (Spark prunes files
+    with it) and attributes are derived on each line.
+
     ``strict_corrupt=False`` reads gzip files line by line too: no
     whole-file row (no 2 GB limit per decompressed file), but a damaged
     archive keeps the lines before the damage.
     """
     roots = existing_roots(spark, [roots] if isinstance(roots, str) else list(roots))
-    sel = lambda df: df.where(selection_predicate(F.col("_uri"), source, stream,
-                                                  include_log4j, include_stacktrace))
-    # plain files: Hadoop line reader splits \n, \r, \r\n; the other
-    # Python line breaks are split here. Order: (split start, row in
-    # partition, piece).
+    files = selected_files(spark, roots, source, stream, include_log4j, include_stacktrace)
+    if files is not None:
+        chosen = files.select("_path", "is_compressed").collect()  # file names only, bounded by the limit
+        plain = _read_paths(spark, [r._path for r in chosen if not r.is_compressed], gz=False)
+        packed = _read_paths(spark, [r._path for r in chosen if r.is_compressed], gz=True, whole=strict_corrupt)
+        lines = _lines(plain, packed, strict_corrupt)
+        return lines.join(F.broadcast(files.drop("_path")), "_uri", "inner").select(*ENTRY_FIELDS)
+
+    def sel(df: DataFrame) -> DataFrame:
+        return df.where(selection_predicate(F.col("_uri"), source, stream, include_log4j, include_stacktrace))
+
     plain = sel(_read(spark, roots, gz=False).where(~F.col("_fname").endswith(".gz")))
-    plain = plain.select(
-        "_uri", "block_start", "file_size", F.monotonically_increasing_id().alias("_row"),
-        F.posexplode(split_lines("value", full=False)).alias("_pos", "line"),
-    )
-    # gzip files: one row per file, split on every line break (strict), or
-    # line by line like plain files (one task per file either way)
-    if strict_corrupt:
-        packed = sel(_read(spark, roots, gz=True))
-        packed = packed.select(
-            "_uri", "block_start", "file_size", F.lit(0).cast("bigint").alias("_row"),
-            F.posexplode(split_lines("value", full=True)).alias("_pos", "line"),
-        )
-    else:
-        packed = sel(_read(spark, roots, gz=True, whole=False))
-        packed = packed.select(
-            "_uri", "block_start", "file_size", F.monotonically_increasing_id().alias("_row"),
-            F.posexplode(split_lines("value", full=False)).alias("_pos", "line"),
-        )
-    lines = plain.unionByName(packed)
-    lines = lines.withColumn("line_no", F.struct(F.col("block_start"), F.col("_row").alias("row"),
-                                                  F.col("_pos").alias("pos")))
-    lines = with_file_attributes(lines, "_uri", include_log4j, include_stacktrace, encoded=True)
+    packed = sel(_read(spark, roots, gz=True, whole=strict_corrupt))
+    lines = with_file_attributes(_lines(plain, packed, strict_corrupt), "_uri", include_log4j, include_stacktrace,
+                                 encoded=True)
     return lines.withColumn("file_origin", normalize_path("_uri", encoded=True)).select(*ENTRY_FIELDS)
 
 
+# Up to this many files under the roots, files are classified and selected
+# once per file and their attributes broadcast (a few hundred bytes per
+# file); above it, selection and attributes are computed on each line
+# instead (no broadcast, no extra shuffle).
+BROADCAST_FILE_LIMIT = 200_000
+_ATTRS = ["run_key", "source_type", "app_id", "source_detail", "stream", "is_compressed", "file_timestamp"]
+
+
+def selected_files(spark: SparkSession, roots: list[str], source: str = "all", stream: str = "all",
+                   include_log4j: bool = False, include_stacktrace: bool = False) -> DataFrame | None:
+    """Per-file table of the selected log files, or None above the limit.
+
+    Built from a ``binaryFile`` listing of the roots (``_metadata.file_path``
+    only; contents are not read), so ``_uri`` has the exact spelling of a
+    text scan's ``_metadata.file_path``. The file count comes from Spark's
+    file index without a job.
+    """
+    if not roots:
+        return spark.createDataFrame([], "_uri string, _path string, run_key string, source_type string, "
+                                         "app_id string, source_detail string, stream string, is_compressed boolean, "
+                                         "file_timestamp timestamp, file_origin string")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+    if len(listing.inputFiles()) > BROADCAST_FILE_LIMIT:
+        return None
+    files = listing.select(F.col("_metadata.file_path").alias("_uri"))
+    files = with_file_attributes(files, "_uri", include_log4j, include_stacktrace, encoded=True)
+    files = source_filter(stream_filter(files, stream), source)
+    return files.select(
+        "_uri",
+        F.url_decode(F.replace(F.col("_uri"), F.lit("+"), F.lit("%2B"))).alias("_path"),
+        *_ATTRS,
+        normalize_path("_uri", encoded=True).alias("file_origin"),
+    )
+
+
 def scan_logs(spark: SparkSession, roots: str | list[str], source: str = "all", stream: str = "all",
               include_log4j: bool = False, include_stacktrace: bool = False, strict_corrupt: bool = True,
               honor_offset: bool = False) -> DataFrame:
     """Parsed entries of every selected log file under the run roots.
 
-    ``line_no`` is a struct (split start, row, piece) ordering lines inside a
-    file; ``block_start`` bounds the blocks of the two-level merge.
+    ``line_no`` is a struct (split start, line number in the split's
+    partition) ordering lines inside a file; ``block_start`` bounds the
+    blocks of the two-level merge.
     """
     lines = raw_lines(spark, roots, source, stream, include_log4j, include_stacktrace, strict_corrupt)
     return parse_entries(lines.where(is_non_blank("line")), honor_offset)

@@ -216,3 +216,15 @@ def test_cli_text_and_jsonl(spark, tree, tmp_path, capsys):
     assert rows and all(set(r) == {"source_type", "source_detail", "stream", "timestamp", "level", "file", "line"}
                         for r in rows)
     assert spark.read.parquet(str(tmp_path / "t" / "root_cause_counts")).count() >= 1
+
+
+def test_per_line_fallback_matches(spark, tree, monkeypatch):
+    """Above the file-count limit attributes are derived per line; the
+    result must be the same rows."""
+    import logloom.sources.scan as scan
+
+    cols = ["run_key", "source_type", "source_detail", "app_id", "stream", "file_origin", "line", "level"]
+    fast = sorted(tuple(r) for r in scan_logs(spark, list(tree.values()), include_log4j=True).select(*cols).collect())
+    monkeypatch.setattr(scan, "BROADCAST_FILE_LIMIT", 0)
+    slow = sorted(tuple(r) for r in scan_logs(spark, list(tree.values()), include_log4j=True).select(*cols).collect())
+    assert fast == slow and len(fast) > 40
