@@ -85,7 +85,7 @@ def main(argv: list[str] | None = None) -> int:
                     include_stacktrace=args.include_stacktrace)
     if args.triage:
         for name, t in triage(scan_logs(spark, roots, include_log4j=args.include_log4j,
-                                        include_stacktrace=args.include_stacktrace)).items():
+                                        include_stacktrace=args.include_stacktrace), materialize=True).items():
             t.write.mode("overwrite").parquet(f"{args.triage.rstrip('/')}/{name}")
     if args.output:
         write_entries(df, args.output, fmt=args.fmt, ordered=False)  # df is already in merged order

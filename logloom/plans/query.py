@@ -67,13 +67,21 @@ def query_logs(spark, bases, source: str = "all", stream: str = "all", include_l
     return query_entries(entries, order_col="line_no", **options)
 
 
-def triage(entries: DataFrame, files: DataFrame | None = None) -> dict[str, DataFrame]:
+def triage(entries: DataFrame, files: DataFrame | None = None, materialize: bool = False) -> dict[str, DataFrame]:
     """The triage workflow as tables: errors by executor and source, root
     causes, first error, spread, timeline and suggested actions.
 
     Classes are assigned before the focus filter (a shuffle-fetch error is
-    noise to the viewer but evidence to triage).
+    noise to the viewer but evidence to triage). With ``materialize`` the
+    merge-keyed entries are written once as a parquet table in the
+    checkpoint folder and all tables are computed from it (one scan and
+    parse instead of one per table).
     """
+    if materialize:
+        from logloom.session import write_and_read
+
+        keyed = with_merge_keys(entries)
+        entries = write_and_read(entries.sparkSession, keyed, "triage-entries")
     counts = tri.root_cause_counts(entries)
     return {
         "errors_per_executor": tri.errors_per_executor(entries),

@@ -62,3 +62,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="logloom-ckpt-")
     sc.setCheckpointDir(local)
     return local
+
+
+def write_and_read(spark: SparkSession, df, name: str = "table"):
+    """Write ``df`` as a parquet table in the session's checkpoint folder and
+    return it read back: several later queries then share one computation
+    (and read only the columns they need) instead of recomputing it."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).rstrip("/") or tempfile.mkdtemp(prefix="logloom-tables-")
+    path = f"{base}/logloom-tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -228,3 +228,16 @@ def test_per_line_fallback_matches(spark, tree, monkeypatch):
     monkeypatch.setattr(scan, "BROADCAST_FILE_LIMIT", 0)
     slow = sorted(tuple(r) for r in scan_logs(spark, list(tree.values()), include_log4j=True).select(*cols).collect())
     assert fast == slow and len(fast) > 40
+
+
+def test_triage_materialized_matches_lazy(spark, tree):
+    from logloom.plans.query import triage
+
+    lazy = triage(scan_logs(spark, list(tree.values())))
+    mat = triage(scan_logs(spark, list(tree.values())), materialize=True)
+    for name in lazy:
+        a = sorted(tuple(r) for r in lazy[name].collect())
+        b = sorted(tuple(r) for r in mat[name].collect())
+        assert a == b, name
+    assert sorted(lazy) == ["error_timeline", "errors_by_source", "errors_per_executor", "executor_spread",
+                            "first_error", "root_cause_counts", "suggested_actions"]
