@@ -3,10 +3,11 @@
 Plain files are read line by line with Spark's text source (splittable, so
 a large active file is spread over many tasks); gzip files are read whole
 (``wholetext``) so that a damaged archive is dropped entirely, like a
-failed download, while its neighbours are kept. File attributes come from
-each line's own ``_metadata.file_path`` (a narrow projection), so no join
-back to the file listing is needed. Source, stream and opt-in selections
-are predicates on the file path and prune files before they are opened.
+failed download, while its neighbours are kept. Files are classified and
+selected once per file; only the selected files are read and their
+attributes reach the lines through a broadcast join bounded by the file
+count (above the bound: path predicates prune files and attributes are
+derived per line).
 """
 
 from __future__ import annotations
@@ -136,8 +137,13 @@ def raw_lines(spark: SparkSession, roots: str | list[str], source: str = "all",
         chosen = files.select("_path", "is_compressed").collect()  # file names only, bounded by the limit
         plain = _read_paths(spark, [r._path for r in chosen if not r.is_compressed], gz=False)
         packed = _read_paths(spark, [r._path for r in chosen if r.is_compressed], gz=True, whole=strict_corrupt)
-        lines = _lines(plain, packed, strict_corrupt)
-        return lines.join(F.broadcast(files.drop("_path")), "_uri", "inner").select(*ENTRY_FIELDS)
+        # every classified gzip name ends in .gz: derived from the path, the
+        # flag stays a file-metadata predicate that Spark can prune with
+        lines = _lines(plain, packed, strict_corrupt).withColumn("is_compressed", F.col("_uri").endswith(".gz"))
+        # left join: every line comes from a selected file, and unlike an
+        # inner join it does not copy the file table's path regex onto
+        # every line (constraint propagation)
+        return lines.join(F.broadcast(files.drop("_path", "is_compressed")), "_uri", "left").select(*ENTRY_FIELDS)
 
     def sel(df: DataFrame) -> DataFrame:
         return df.where(selection_predicate(F.col("_uri"), source, stream, include_log4j, include_stacktrace))
@@ -154,7 +160,7 @@ def raw_lines(spark: SparkSession, roots: str | list[str], source: str = "all",
 # file); above it, selection and attributes are computed on each line
 # instead (no broadcast, no extra shuffle).
 BROADCAST_FILE_LIMIT = 200_000
-_ATTRS = ["run_key", "source_type", "app_id", "source_detail", "stream", "is_compressed", "file_timestamp"]
+_ATTRS = ["run_key", "source_type", "app_id", "source_detail", "stream", "file_timestamp"]
 
 
 def selected_files(spark: SparkSession, roots: list[str], source: str = "all", stream: str = "all",
@@ -167,8 +173,8 @@ def selected_files(spark: SparkSession, roots: list[str], source: str = "all", s
     file index without a job.
     """
     if not roots:
-        return spark.createDataFrame([], "_uri string, _path string, run_key string, source_type string, "
-                                         "app_id string, source_detail string, stream string, is_compressed boolean, "
+        return spark.createDataFrame([], "_uri string, _path string, is_compressed boolean, run_key string, "
+                                         "source_type string, app_id string, source_detail string, stream string, "
                                          "file_timestamp timestamp, file_origin string")
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
     if len(listing.inputFiles()) > BROADCAST_FILE_LIMIT:
@@ -179,6 +185,7 @@ def selected_files(spark: SparkSession, roots: list[str], source: str = "all", s
     return files.select(
         "_uri",
         F.url_decode(F.replace(F.col("_uri"), F.lit("+"), F.lit("%2B"))).alias("_path"),
+        "is_compressed",
         *_ATTRS,
         normalize_path("_uri", encoded=True).alias("file_origin"),
     )
@@ -211,8 +218,10 @@ def single_split_bytes(spark: SparkSession) -> int:
 
 def multi_block_lines(spark: SparkSession, entries: DataFrame) -> DataFrame:
     """Lines of files that may span several splits: plain files above the
-    single-split size. The predicate is on file metadata, so the merge
-    pre-pass opens only these files."""
+    single-split size. Lines of other files are dropped right after the
+    read, before any parsing, so the merge pre-pass parses only these
+    files. (The same scan is kept so that both passes see the same file
+    splits: split size depends on the total bytes scanned.)"""
     return entries.where(~F.col("is_compressed") & (F.col("file_size") > F.lit(single_split_bytes(spark))))
 
 
