@@ -3,7 +3,7 @@
     python -m logloom RUN_ROOT [RUN_ROOT ...] [--source S] [--stream S]
         [--level L] [--grep RE] [--since T] [--tail N] [--focus]
         [--include-log4j] [--include-stacktrace] [--format text|jsonl]
-        [--output DIR] [--triage DIR]
+        [--output DIR] [--triage DIR] [--follow CHECKPOINT [--available-now]]
 
     python -m logloom JOB_INPUT --jobs JOBS --runs RUNS [--run-id R] [--env E] ...
 
@@ -60,6 +60,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--format", "-f", dest="fmt", default="text", choices=["text", "jsonl"])
     p.add_argument("--output", "-o", help="write ordered part files here instead of stdout")
     p.add_argument("--triage", help="write the triage tables (parquet) under this folder")
+    p.add_argument("--follow", metavar="CHECKPOINT",
+                   help="follow new log files (streaming) into --output, with this checkpoint folder")
+    p.add_argument("--available-now", action="store_true", help="with --follow: process what exists, then stop")
     p.add_argument("--master", default=None)
     args = p.parse_args(argv)
 
@@ -80,6 +83,16 @@ def main(argv: list[str] | None = None) -> int:
     if not roots:
         print("No log sources found.", file=sys.stderr)
         return 0
+    if args.follow:
+        from logloom.streaming.follow import follow_logs, follow_to
+
+        if not args.output:
+            p.error("--follow needs --output")
+        stream = follow_logs(spark, roots, source=args.source, stream=args.stream, level=args.level, grep=args.grep,
+                             focus=args.focus, include_log4j=args.include_log4j,
+                             include_stacktrace=args.include_stacktrace)
+        follow_to(stream, args.output, args.follow, available_now=args.available_now).awaitTermination()
+        return 0
     df = query_logs(spark, roots, source=args.source, stream=args.stream, level=args.level, grep=args.grep,
                     since=args.since, tail=args.tail, focus=args.focus, include_log4j=args.include_log4j,
                     include_stacktrace=args.include_stacktrace)

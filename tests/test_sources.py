@@ -241,3 +241,11 @@ def test_triage_materialized_matches_lazy(spark, tree):
         assert a == b, name
     assert sorted(lazy) == ["error_timeline", "errors_by_source", "errors_per_executor", "executor_spread",
                             "first_error", "root_cause_counts", "suggested_actions"]
+
+
+def test_cli_follow(spark, tree, tmp_path):
+    from logloom.cli import main
+
+    out, ck = str(tmp_path / "follow-out"), str(tmp_path / "follow-ck")
+    assert main([tree["c1"], "--level", "ERROR", "--follow", ck, "--available-now", "--output", out]) == 0
+    assert spark.read.parquet(out).count() == 9  # 4 executors x 2 files + the driver error
