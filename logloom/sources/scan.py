@@ -48,19 +48,39 @@ def selection_predicate(path: Column, source: str = "all", stream: str = "all",
 
 
 def existing_roots(spark: SparkSession, roots: list[str]) -> list[str]:
-    """Run roots that exist (file-system metadata only). A run whose log
-    directory is missing yields no files instead of failing the job (S9)."""
+    """Run roots that exist, de-duplicated, without roots nested in another
+    root (their files would be read twice). A run whose log directory is
+    missing yields no files instead of failing the job (S9).
+
+    File-system metadata only: one ``listStatus`` per parent directory
+    shared by several roots (a fleet of runs under one job folder is one
+    call), ``exists`` for the others.
+    """
+    clean = sorted({r.rstrip("/") for r in roots if r and r.strip("/")})
+    outer = [r for r in clean if not any(r.startswith(o + "/") for o in clean if o != r)]
     try:
         jvm = spark.sparkContext._jvm
         conf = spark.sparkContext._jsc.hadoopConfiguration()
     except Exception:  # no JVM access (e.g. Spark Connect): let the reader decide
-        return list(roots)
+        return outer
+    by_parent: dict[str, list[str]] = {}
+    for r in outer:
+        by_parent.setdefault(r.rsplit("/", 1)[0], []).append(r)
     out = []
-    for r in roots:
-        path = jvm.org.apache.hadoop.fs.Path(r)
-        if path.getFileSystem(conf).exists(path):
-            out.append(r)
-    return out
+    for parent, group in by_parent.items():
+        if len(group) == 1 or not parent:
+            for r in group:
+                path = jvm.org.apache.hadoop.fs.Path(r)
+                if path.getFileSystem(conf).exists(path):
+                    out.append(r)
+            continue
+        ppath = jvm.org.apache.hadoop.fs.Path(parent)
+        fs = ppath.getFileSystem(conf)
+        if not fs.exists(ppath):
+            continue
+        names = {st.getPath().getName() for st in fs.listStatus(ppath) if st.isDirectory()}
+        out += [r for r in group if r.rsplit("/", 1)[1] in names]
+    return sorted(out)
 
 
 def _read(spark: SparkSession, roots: list[str], gz: bool, whole: bool = True) -> DataFrame:
@@ -179,7 +199,7 @@ def selected_files(spark: SparkSession, roots: list[str], source: str = "all", s
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
     if len(listing.inputFiles()) > BROADCAST_FILE_LIMIT:
         return None
-    files = listing.select(F.col("_metadata.file_path").alias("_uri"))
+    files = listing.select(F.col("_metadata.file_path").alias("_uri")).dropDuplicates(["_uri"])
     files = with_file_attributes(files, "_uri", include_log4j, include_stacktrace, encoded=True)
     files = source_filter(stream_filter(files, stream), source)
     return files.select(

@@ -249,3 +249,13 @@ def test_cli_follow(spark, tree, tmp_path):
     out, ck = str(tmp_path / "follow-out"), str(tmp_path / "follow-ck")
     assert main([tree["c1"], "--level", "ERROR", "--follow", ck, "--available-now", "--output", out]) == 0
     assert spark.read.parquet(out).count() == 9  # 4 executors x 2 files + the driver error
+
+
+def test_duplicate_and_nested_roots(spark, tree):
+    from logloom.sources.scan import existing_roots
+
+    base = scan_logs(spark, [tree["c1"]]).count()
+    assert scan_logs(spark, [tree["c1"], tree["c1"] + "/"]).count() == base
+    parent = tree["c1"].rsplit("/", 1)[0]
+    assert existing_roots(spark, [tree["c1"], parent, tree["c2"]]) == [parent]
+    assert existing_roots(spark, [tree["c1"], tree["c2"], parent + "/nope"]) == sorted([tree["c1"], tree["c2"]])
