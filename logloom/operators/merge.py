@@ -224,8 +224,10 @@ def tail(entries: DataFrame, n: int | None, per_run: bool = True, order_col: str
     keyed = entries if "merge_ts" in entries.columns else with_merge_keys(entries, order_col=order_col)
     cols = merge_sort_cols(order_col)
     if not per_run:
-        if n > 0:
+        if 0 < n <= WINDOW_GROUP_LIMIT:  # top-n per partition, n rows reach the final task
             return keyed.orderBy(*[c.desc() for c in cols]).limit(n)
+        if n > 0:
+            return rank_within(keyed, [], cols, "_pos", descending=True).where(F.col("_pos") <= n).drop("_pos")
         return rank_within(keyed, [], cols, "_pos").where(F.col("_pos") > -n).drop("_pos")
     if 0 < n <= WINDOW_GROUP_LIMIT:
         w = Window.partitionBy("run_key").orderBy(*[c.desc() for c in cols[1:]])

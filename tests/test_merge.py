@@ -100,6 +100,7 @@ def test_tail_variants(spark):
     assert lines_of(tail(df, -3)) == order[3:]
     assert lines_of(tail(df, -3, per_run=False)) == order[3:]
     assert lines_of(tail(df, 1500)) == order
+    assert lines_of(tail(df, 1500, per_run=False)) == order
 
 
 def test_tail_per_run(spark):
