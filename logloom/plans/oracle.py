@@ -47,7 +47,8 @@ ENTRIES_CTE = f"""raw_lines AS (
     CASE WHEN user_id % 5 = 0 THEN NULL ELSE {_q(A.APP_ID)} END AS app_id,
     CASE WHEN event_id % 3 = 0 THEN 'stdout' ELSE 'stderr' END AS stream,
     event_id AS line_no,
-    {_LINE} AS line
+    {_LINE} AS line,
+    ts AS event_ts
   FROM events
 ),
 entries AS (
@@ -64,24 +65,46 @@ entries AS (
   FROM raw_lines
 )"""
 
-KEYED_CTE = """file_first AS (
+def keyed_cte(src: str = "entries", rot: str = "NULL") -> str:
+    """Merge keys over ``src``: file first stamp, running max, file order
+    (``rot`` is the file's rotation time, NULL for active files)."""
+    return f"""file_first AS (
   SELECT run_key, file_origin, arg_min(ts, line_no) FILTER (WHERE ts IS NOT NULL) AS first_ts
-  FROM entries GROUP BY run_key, file_origin
+  FROM {src} GROUP BY run_key, file_origin
 ),
 keyed0 AS (
   SELECT e.*, coalesce(e.ts, f.first_ts, TIMESTAMP '0001-01-01 00:00:00') AS ts_key,
-    CASE WHEN e.source_type = 'executor' AND regexp_matches(e.source_detail, '^[0-9]{1,18}$')
-         THEN CAST(e.source_detail AS BIGINT) ELSE 0 END AS exec_num
-  FROM entries e JOIN file_first f USING (run_key, file_origin)
+    CASE WHEN e.source_type = 'executor' AND regexp_matches(e.source_detail, '^[0-9]{{1,18}}$')
+         THEN CAST(e.source_detail AS BIGINT) ELSE 0 END AS exec_num,
+    {rot} AS rot
+  FROM {src} e JOIN file_first f USING (run_key, file_origin)
 ),
 keyed AS (
   SELECT *,
     max(ts_key) OVER (PARTITION BY run_key, file_origin ORDER BY line_no
                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS merge_ts,
     dense_rank() OVER (PARTITION BY run_key ORDER BY source_type = 'executor', exec_num,
-                       coalesce(app_id, ''), source_detail, stream, file_origin) AS file_idx
+                       coalesce(app_id, ''), source_detail, stream,
+                       coalesce(rot, TIMESTAMP '9999-12-31 23:59:59'), file_origin) AS file_idx
   FROM keyed0
+),"""
+
+
+# The log tree written by the file-scan queries: one file per run, source,
+# stream and rotation period (hours from the number of events).
+HOURLY_CTE = f"""period AS (
+  SELECT least({A.MAX_ROTATION_HOURS}, greatest(1, {A.ROTATION_NUMERATOR} // count(*))) AS h FROM events
 ),
+entries_hourly AS (
+  SELECT e.* REPLACE (e.file_origin || '--' || strftime(make_timestamp(rs * 1000000), '%Y-%m-%d--%H')
+                      || CASE WHEN e.source_type = 'driver' THEN '-00' ELSE '' END AS file_origin),
+         make_timestamp(rs * 1000000) AS rot_start
+  FROM (SELECT *, ((epoch_us(event_ts) // 1000000) // (3600 * (SELECT h FROM period))) * 3600 * (SELECT h FROM period)
+               AS rs FROM entries) e
+)"""
+
+KEYED_CTE = keyed_cte() + """
+
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY run_key ORDER BY merge_ts, file_idx, line_no) AS merge_rank
   FROM keyed
@@ -228,7 +251,8 @@ FROM entries GROUP BY run_key""",
 FROM class_counts k LEFT JOIN actions a USING (root_cause)""",
         "scan_tree": _w(E) + f"""SELECT run_key AS run, source_type, source_detail, stream, line, level,
   CASE WHEN ts IS NULL THEN NULL ELSE {iso('ts')} END AS ts_iso FROM entries""",
-        "query_logs_tree": _w(E, K) + "SELECT run_key AS run, source_type, source_detail, stream, line FROM ("
+        "query_logs_tree": _w(E, HOURLY_CTE, keyed_cte("entries_hourly", "rot_start").rstrip(","))
+        + "SELECT run_key AS run, source_type, source_detail, stream, line FROM ("
         + _tail_filter(f"{ok} AND level IN (40, 30)", C.TAIL_N) + ")",
         "flagship": _w(E, K) + f"""SELECT run_key, row_number() OVER (PARTITION BY run_key
     ORDER BY merge_ts, file_idx, line_no) AS merge_rank, line_no, {text} AS text

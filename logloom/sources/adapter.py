@@ -54,7 +54,7 @@ def _case(key: Column, mapping: dict, default=None) -> Column:
     return out if default is None else out.otherwise(default)
 
 
-def render_events(events: DataFrame) -> DataFrame:
+def render_events(events: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """events -> raw log lines with file attributes (no parsing yet).
 
     Output: run_key, source_type, source_detail, app_id, stream, file_origin,
@@ -86,6 +86,7 @@ def render_events(events: DataFrame) -> DataFrame:
         stream.alias("stream"),
         eid.alias("line_no"),
         F.explode(split_lines(record)).alias("line"),
+        *[F.col(c) for c in extra],
     )
     file_origin = F.when(
         F.col("source_type") == "driver",
@@ -313,22 +314,44 @@ def listing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # A real log tree written from events (for the file-scan path)
 # ---------------------------------------------------------------------------
-TREE_DIR = "logloom-trees"
+TREE_DIR = "logloom-trees-rotated"
 
 
-def _relative_path(df: DataFrame) -> Column:
-    """``run-N/driver/<stream>`` or ``run-N/executor/<app>/<N>/<stream>``."""
+# Rotation period of the written tree: about 4e9 / n_events hours, between
+# one hour and 31 days, so that file count grows with the data (hourly
+# files at ~1e12 lines, one file per stream for small tables).
+ROTATION_NUMERATOR = 4_000_000_000
+MAX_ROTATION_HOURS = 744
+
+
+def rotation_hours(n_events: int) -> int:
+    return min(MAX_ROTATION_HOURS, max(1, ROTATION_NUMERATOR // max(n_events, 1)))
+
+
+def rotation_start(ts: Column, hours: int) -> Column:
+    """Start of the rotation period holding ``ts`` (UTC hours since epoch,
+    floored to a multiple of the period)."""
+    secs = F.unix_seconds(ts.cast("timestamp"))
+    return F.timestamp_seconds(F.floor(secs / F.lit(3600 * hours)) * F.lit(3600 * hours))
+
+
+def _relative_path(df: DataFrame, hours: int) -> Column:
+    """Rotated files named by the start of their period:
+    ``run-N/driver/<stream>--<yyyy-MM-dd>--<HH>-00`` or
+    ``run-N/executor/<app>/<N>/<stream>--<yyyy-MM-dd>--<HH>``."""
+    start = rotation_start(F.col("ts"), hours)
+    stamp = F.date_format(start, "yyyy-MM-dd--HH")
     return F.when(
         F.col("source_type") == "driver",
-        F.concat_ws("/", F.col("run_key"), F.lit("driver"), F.col("stream")),
-    ).otherwise(F.concat_ws("/", F.col("run_key"), F.lit("executor"), F.lit(APP_ID), F.col("source_detail"),
-                             F.col("stream")))
+        F.concat(F.col("run_key"), F.lit("/driver/"), F.col("stream"), F.lit("--"), stamp, F.lit("-00")),
+    ).otherwise(F.concat(F.col("run_key"), F.lit(f"/executor/{APP_ID}/"), F.col("source_detail"), F.lit("/"),
+                         F.col("stream"), F.lit("--"), stamp))
 
 
 def materialize_log_tree(spark: SparkSession, sf_dir: str) -> list[str]:
-    """Write ``events`` as a log tree (one plain file per run, source and
-    stream, lines in event order) under the session's checkpoint folder and
-    return the run roots.
+    """Write ``events`` as a log tree (rotated plain files per run, source
+    and stream, see ``rotation_hours``; lines in event order) under the
+    session's checkpoint folder and return the run roots.
 
     Spark writes the files (one task per file, rows sorted by line); the
     driver only renames the part files into the log layout (metadata
@@ -350,7 +373,10 @@ def materialize_log_tree(spark: SparkSession, sf_dir: str) -> list[str]:
     runs = sorted({f"run-{i}" for i in range(4)})
     if not fs.exists(done):
         tmp = f"{base}.tmp-{uuid.uuid4().hex[:8]}"
-        lines = log_lines(spark, sf_dir).withColumn("rel", _relative_path(log_lines(spark, sf_dir)))
+        events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+        hours = rotation_hours(events.count())  # a parquet row count (footer metadata)
+        rendered = render_events(events, extra=("ts",))
+        lines = rendered.withColumn("rel", _relative_path(rendered, hours))
         (lines.select("rel", "line_no", "line")
          .repartition("rel")
          .sortWithinPartitions("rel", "line_no")
