@@ -89,7 +89,7 @@ def main(argv: list[str] | None = None) -> int:
         if not args.output:
             p.error("--follow needs --output")
         stream = follow_logs(spark, roots, source=args.source, stream=args.stream, level=args.level, grep=args.grep,
-                             focus=args.focus, include_log4j=args.include_log4j,
+                             focus=args.focus, since=args.since, include_log4j=args.include_log4j,
                              include_stacktrace=args.include_stacktrace)
         follow_to(stream, args.output, args.follow, available_now=args.available_now).awaitTermination()
         return 0

@@ -75,6 +75,19 @@ def parse_since(since: str | _dt.datetime, now: _dt.datetime | None = None) -> _
     return dt.replace(tzinfo=_dt.timezone.utc) if dt.tzinfo is None else dt.astimezone(_dt.timezone.utc)
 
 
+def since_column(since: str | _dt.datetime) -> Column:
+    """``since`` as a column: a relative ``2h`` / ``30m`` is evaluated at
+    query time (``current_timestamp()`` minus the interval, so each
+    micro-batch of a stream uses its own now); anything else is a literal."""
+    if isinstance(since, str):
+        m = _RELATIVE.match(since)
+        if m:
+            amount = F.lit(int(m.group(1)))
+            delta = F.make_interval(hours=amount) if m.group(2) == "h" else F.make_interval(mins=amount)
+            return F.current_timestamp() - delta
+    return F.lit(parse_since(since))
+
+
 # ----------------------------------------------------------------------- F4
 def since_filter(df: DataFrame, since: str | _dt.datetime | None, now: _dt.datetime | None = None) -> DataFrame:
     """Lines with their own timestamp at or after ``since``."""

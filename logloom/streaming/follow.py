@@ -39,6 +39,7 @@ def _glob(roots: list[str]) -> str:
 
 def follow_logs(spark: SparkSession, roots: str | list[str], source: str = "all", stream: str = "all",
                 level: str | list[str] | None = None, grep: str | None = None, focus: bool = False,
+                since: str | None = None,
                 include_log4j: bool = False, include_stacktrace: bool = False,
                 max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming DataFrame of parsed, filtered lines of new log files.
@@ -63,6 +64,8 @@ def follow_logs(spark: SparkSession, roots: str | list[str], source: str = "all"
     if focus:
         entries = flt.focus_filter(entries)
     entries = flt.level_filter(entries, level)
+    if since is not None:  # relative values are re-evaluated in every micro-batch
+        entries = entries.where(F.col("timestamp") >= flt.since_column(since))
     return flt.grep_filter(entries, grep)
 
 

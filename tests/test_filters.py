@@ -101,3 +101,15 @@ def test_focus_report(spark, lines):
     df = lines(*NOISE, *KEEP).selectExpr("'r' AS run_key", "line")
     r = flt.focus_report(df).first()
     assert (r.removed, r.remaining) == (len(NOISE), len(KEEP))
+
+
+def test_since_column(spark, entries):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    assert ids(entries.where(F.col("timestamp") >= flt.since_column("2026-03-11T21:30:00"))) == [1, 2]
+    # relative: evaluated at query time (the fixture times are far in the past)
+    assert ids(entries.where(F.col("timestamp") >= flt.since_column("2h"))) == []
+    long_ago = int((dt.datetime.now(tz=dt.timezone.utc) - dt.datetime(2026, 3, 11, tzinfo=dt.timezone.utc)).total_seconds() // 3600) + 1
+    assert ids(entries.where(F.col("timestamp") >= flt.since_column(f"{long_ago}h"))) == [0, 1, 2]

@@ -259,3 +259,13 @@ def test_duplicate_and_nested_roots(spark, tree):
     parent = tree["c1"].rsplit("/", 1)[0]
     assert existing_roots(spark, [tree["c1"], parent, tree["c2"]]) == [parent]
     assert existing_roots(spark, [tree["c1"], tree["c2"], parent + "/nope"]) == sorted([tree["c1"], tree["c2"]])
+
+
+def test_follow_since(spark, tree, tmp_path):
+    from logloom.streaming.follow import follow_logs, follow_to
+
+    q = follow_to(follow_logs(spark, [tree["c1"]], since="2026-03-11T19:00:00"), str(tmp_path / "o"),
+                  str(tmp_path / "c"), available_now=True)
+    q.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "o"))
+    assert got.count() > 0 and got.where("timestamp < '2026-03-11 19:00:00'").count() == 0
