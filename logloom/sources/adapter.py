@@ -383,16 +383,20 @@ def materialize_log_tree(spark: SparkSession, sf_dir: str) -> list[str]:
          .select("rel", "line")
          .write.partitionBy("rel").text(tmp))
         tmp_path = jvm.org.apache.hadoop.fs.Path(tmp)
-        for status in fs.listStatus(tmp_path):
-            name = status.getPath().getName()
-            if not name.startswith("rel="):
-                continue
-            rel = jvm.java.net.URLDecoder.decode(name[4:], "UTF-8")
-            parts = [s for s in fs.listStatus(status.getPath()) if s.getPath().getName().startswith("part-")]
+
+        def place(status) -> None:  # metadata calls only; run from a thread pool
+            rel = jvm.java.net.URLDecoder.decode(status.getPath().getName()[4:], "UTF-8")
+            parts = [x for x in fs.listStatus(status.getPath()) if x.getPath().getName().startswith("part-")]
             for i, part in enumerate(parts):  # one part file per leaf by construction
                 target = jvm.org.apache.hadoop.fs.Path(f"{base}/{rel}" + ("" if i == 0 else f".{i}"))
                 fs.mkdirs(target.getParent())
                 fs.rename(part.getPath(), target)
+
+        from concurrent.futures import ThreadPoolExecutor
+
+        leaves = [st for st in fs.listStatus(tmp_path) if st.getPath().getName().startswith("rel=")]
+        with ThreadPoolExecutor(max_workers=16) as pool:
+            list(pool.map(place, leaves))
         fs.delete(tmp_path, True)
         fs.create(done).close()
     return [f"{base}/{r}" for r in runs]
