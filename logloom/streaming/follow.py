@@ -57,9 +57,11 @@ def follow_logs(spark: SparkSession, roots: str | list[str], source: str = "all"
         F.col("_metadata.file_path").alias("_uri"),
     )
     raw = raw.where(selection_predicate(F.col("_uri"), source, stream, include_log4j, include_stacktrace))
-    lines = raw.select("_uri", F.posexplode(split_lines("value", full=True)).alias("line_no", "line"))
-    lines = with_file_attributes(lines, "_uri", include_log4j, include_stacktrace, keep_unknown=True, encoded=True)
-    lines = lines.withColumn("file_origin", normalize_path("_uri", encoded=True)).drop("_uri")
+    # one row per file here: classify before the lines are exploded
+    files = with_file_attributes(raw, "_uri", include_log4j, include_stacktrace, keep_unknown=True, encoded=True)
+    files = files.withColumn("file_origin", normalize_path("_uri", encoded=True)).drop("_uri")
+    keep = [c for c in files.columns if c != "value"]
+    lines = files.select(*keep, F.posexplode(split_lines("value", full=True)).alias("line_no", "line"))
     entries = parse_entries(lines.where(is_non_blank("line")))
     if focus:
         entries = flt.focus_filter(entries)
