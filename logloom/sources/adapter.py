@@ -372,6 +372,8 @@ def materialize_log_tree(spark: SparkSession, sf_dir: str) -> list[str]:
     done = jvm.org.apache.hadoop.fs.Path(base + "/_DONE")
     runs = sorted({f"run-{i}" for i in range(4)})
     if not fs.exists(done):
+        if fs.exists(base_path):  # an unfinished earlier attempt: start over
+            fs.delete(base_path, True)
         tmp = f"{base}.tmp-{uuid.uuid4().hex[:8]}"
         events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
         hours = rotation_hours(events.count())  # a parquet row count (footer metadata)
