@@ -269,3 +269,17 @@ def test_follow_since(spark, tree, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "o"))
     assert got.count() > 0 and got.where("timestamp < '2026-03-11 19:00:00'").count() == 0
+
+
+@pytest.mark.parametrize("source,stream", [("executor:10", "all"), ("driver", "stdout"), ("executor", "stderr"),
+                                           ("foo", "all")])
+def test_fallback_matches_with_selections(spark, tree, monkeypatch, source, stream):
+    import logloom.sources.scan as scan
+
+    def rows():
+        df = scan_logs(spark, list(tree.values()), source=source, stream=stream, include_stacktrace=True)
+        return sorted(tuple(r) for r in df.select("file_origin", "line", "source_detail", "stream").collect())
+
+    fast = rows()
+    monkeypatch.setattr(scan, "BROADCAST_FILE_LIMIT", 0)
+    assert rows() == fast
