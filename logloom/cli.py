@@ -36,7 +36,7 @@ def _resolve(spark, args) -> list[str]:
         spark, args.jobs)
     runs = spark.read.schema(RUNS_RAW).json(args.runs) if args.runs.endswith((".json", ".jsonl")) else _table(
         spark, args.runs)
-    resolved = resolve_runs(reqs, jobs, runs)
+    resolved = resolve_runs(reqs, jobs, runs, all_clusters=args.all_clusters)
     roots = []
     # one row per input argument: a handful of rows by construction
     for r in resolved.orderBy("request_id").toLocalIterator():
@@ -53,6 +53,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("inputs", nargs="+", help="run log roots, or job names / URLs with --jobs and --runs")
     p.add_argument("--jobs"), p.add_argument("--runs")
     p.add_argument("--run-id", "-r"), p.add_argument("--env", "-e", default="prod")
+    p.add_argument("--all-clusters", action="store_true", help="read every cluster a run's tasks ran on")
     p.add_argument("--source", "-s", default="all"), p.add_argument("--stream", default="all")
     p.add_argument("--level", "-l"), p.add_argument("--grep", "-g"), p.add_argument("--since")
     p.add_argument("--tail", "-n", type=int), p.add_argument("--focus", action="store_true")

@@ -90,6 +90,14 @@ def cluster_id(cluster_instance: Column | str = "cluster_instance", tasks: Colum
     return F.when(_truthy(own), own).otherwise(first_task)
 
 
+def all_cluster_ids(cluster_instance: Column | str = "cluster_instance", tasks: Column | str = "tasks") -> Column:
+    """Every distinct cluster of a run: its own, then its tasks' (in task
+    order), empty ids dropped."""
+    own = F.array(_col(cluster_instance)["cluster_id"])
+    ids = F.transform(F.coalesce(_col(tasks), F.array()), lambda t: t["cluster_instance"]["cluster_id"])
+    return F.array_distinct(F.filter(F.concat(own, ids), lambda x: _truthy(x)))
+
+
 def no_cluster_error(run_id: Column | str, state: Column | str = "state") -> Column:
     life = F.coalesce(_col(state)["life_cycle_state"], F.lit("UNKNOWN"))
     return F.concat(F.lit("Run "), _col(run_id).cast("string"), F.lit(" has no cluster instance (state: "), life,

@@ -43,14 +43,16 @@ RESOLVED = ["request_id", "job_id", "job_name", "run_id", "cluster_id", "env", "
             "end_time", "error"]
 
 
-def resolve_runs(requests: DataFrame, jobs: DataFrame, runs_raw: DataFrame) -> DataFrame:
+def resolve_runs(requests: DataFrame, jobs: DataFrame, runs_raw: DataFrame, all_clusters: bool = False) -> DataFrame:
     """Resolve (job name or URL, optional run id, env) to a run's log path.
 
     ``requests``: request_id, job_input, run_id (override, nullable), env.
     URLs give the job id (and maybe a run id); names are looked up. An
     explicit run id wins over the URL's; without one (or with 0) the job's
     latest run is used. The first failing step fills ``error`` and leaves
-    the other outputs null.
+    the other outputs null. With ``all_clusters`` a run whose tasks ran on
+    several clusters gives one row per cluster (its own cluster first),
+    instead of only the first cluster's log folder.
     """
     url = J.is_url("job_input")
     parsed = J.parse_job_url("job_input")
@@ -87,6 +89,9 @@ def resolve_runs(requests: DataFrame, jobs: DataFrame, runs_raw: DataFrame) -> D
         F.when(F.col("_cid").isNull(), J.no_cluster_error(F.col("_r.run_id"), F.col("_r.state"))),
     )
     ok = error.isNull()
+    if all_clusters:
+        clusters = J.all_cluster_ids(F.col("_r.cluster_instance"), F.col("_r.tasks"))
+        req = req.withColumn("_cid", F.explode_outer(F.when(F.size(clusters) > 0, clusters)))
     return req.select(
         "request_id",
         F.when(ok, F.col("_jid")).alias("job_id"),

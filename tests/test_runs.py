@@ -99,3 +99,17 @@ def test_resolve(spark, runs):
     assert got[5].error.startswith("Job 2 uses S3 log destination")
     assert got[6].error.startswith("Could not parse URL")
     assert got[7].run_id == 11 and got[7].error is None
+
+
+def test_resolve_all_clusters(spark):
+    jobs = spark.createDataFrame([(1, "job-a", [conf(v="/V")], [])], JOBS)
+    runs = spark.createDataFrame([run(20, 1, 10, 20, own="c-own", tasks=["c-own", "c-t1", "", "c-t2"]),
+                                  run(21, 1, 5, 6, tasks=[])], RUNS_RAW)
+    req = spark.createDataFrame([(1, "job-a", 20, "prod"), (2, "job-a", 21, "prod")],
+                                "request_id bigint, job_input string, run_id bigint, env string")
+    one = R.resolve_runs(req, jobs, runs).orderBy("request_id").collect()
+    assert one[0].base_path == "/V/c-own" and one[1].error.startswith("Run 21 has no cluster instance")
+    many = R.resolve_runs(req, jobs, runs, all_clusters=True).where("request_id = 1").collect()
+    assert sorted(r.base_path for r in many) == ["/V/c-own", "/V/c-t1", "/V/c-t2"]
+    err = R.resolve_runs(req, jobs, runs, all_clusters=True).where("request_id = 2").collect()
+    assert len(err) == 1 and err[0].error.startswith("Run 21 has no cluster instance")
