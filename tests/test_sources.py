@@ -283,3 +283,25 @@ def test_fallback_matches_with_selections(spark, tree, monkeypatch, source, stre
     fast = rows()
     monkeypatch.setattr(scan, "BROADCAST_FILE_LIMIT", 0)
     assert rows() == fast
+
+
+def test_cli_resolves_job_name(spark, tree, tmp_path, capsys):
+    from logloom.cli import main
+    from logloom.schema import JOBS, RUNS_RAW
+
+    dest = tree["c1"].rsplit("/", 1)[0]  # <root>/job ; cluster dir c1
+    conf = {"new_cluster": {"cluster_log_conf": {"volumes": {"destination": dest + "/"}, "dbfs": None, "s3": None}}}
+    jobs = spark.createDataFrame([(7, "nightly", [conf], [])], JOBS)
+    runs = spark.createDataFrame([(70, 7, 1000, 2000, {"life_cycle_state": "TERMINATED"}, {"cluster_id": "c1"}, []),
+                                  (71, 7, 500, 600, {"life_cycle_state": "TERMINATED"}, {"cluster_id": "c2"}, [])],
+                                 RUNS_RAW)
+    jp, rp = str(tmp_path / "jobs.json"), str(tmp_path / "runs.json")
+    jobs.write.json(jp)
+    runs.write.json(rp)
+    assert main(["nightly", "--jobs", jp, "--runs", rp, "--level", "ERROR", "--tail", "1"]) == 0
+    out = capsys.readouterr()
+    assert "Run: c1 | Job: nightly" in out.err  # latest run (start 1000) is on cluster c1
+    assert out.out.splitlines() == ["[driver:stderr 2026-03-11T21:01:15] 26/03/11 21:01:15 ERROR "
+                                    "TransportChannelHandler: Connection to /10.0.0.1:4048 has been quiet"]
+    assert main(["nightly", "--jobs", jp, "--runs", rp, "--run-id", "71", "--level", "ERROR"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["[driver:stderr 2026-03-12T01:00:00] 26/03/12 01:00:00 ERROR Main: failed"]
