@@ -35,9 +35,24 @@ def _json_value(c: Column) -> Column:
 JSON_KEYS = ["source_type", "source_detail", "stream", "timestamp", "level", "file", "line"]
 
 
+# Control characters whose backslash-u00XX escape contains a letter; Spark's JSON
+# writer prints the hex in upper case, Python's json.dumps in lower case.
+_UPPER_HEX_ESCAPES = ["0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"]
+
+
+def _lower_hex_escapes(j: Column) -> Column:
+    r"""``\u001B`` -> ``\u001b`` for real escapes only (an even run of
+    backslashes before it); applied only to lines that contain one."""
+    fixed = j
+    for code in _UPPER_HEX_ESCAPES:
+        fixed = F.regexp_replace(fixed, r"(?<!\\)((?:\\\\)*)\\u00" + code, r"$1\\u00" + code.lower())
+    return F.when(j.rlike(r"\\u00[01][A-F]"), fixed).otherwise(j)
+
+
 def jsonl_line() -> Column:
-    """One JSON object per entry, keys in fixed order, nulls kept, written
-    with ``", "`` and ``": "`` separators like Python's ``json.dumps``."""
+    r"""One JSON object per entry, keys in fixed order, nulls kept, written
+    byte for byte like Python's ``json.dumps(..., ensure_ascii=False)``
+    (``", "`` / ``": "`` separators, lower-case ``\u00xx`` escapes)."""
     values = {
         "source_type": F.col("source_type"),
         "source_detail": F.col("source_detail"),
@@ -51,7 +66,7 @@ def jsonl_line() -> Column:
     for i, k in enumerate(JSON_KEYS):
         parts += [F.lit(("" if i == 0 else ", ") + f'"{k}": '), _json_value(values[k].cast("string"))]
     parts.append(F.lit("}"))
-    return F.concat(*parts)
+    return _lower_hex_escapes(F.concat(*parts))
 
 
 # ----------------------------------------------------------------------- K3

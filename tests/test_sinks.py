@@ -36,6 +36,17 @@ def test_jsonl(entries):
     assert a["line"] == 'WARN "quoted" \x1b tab\there'
     assert b["timestamp"] is None and b["level"] is None and "timestamp" in b
     assert rows[1].startswith('{"source_type": "driver", "source_detail": "", ')
+    # byte-identical to Python's json.dumps (separators and lower-case escapes)
+    assert rows[0] == json.dumps(a, ensure_ascii=False) and rows[1] == json.dumps(b, ensure_ascii=False)
+
+
+def test_jsonl_escapes_keep_literal_backslashes(spark):
+    rows = [("r", "driver", "", None, "stderr", None, "/r/d", 0, None, None, "lit \\u001B text \x1f ctl \x0b"),
+            ("r", "driver", "", None, "stderr", None, "/r/d", 1, None, None, "\\\x1b odd")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = [r.j for r in df.select(jsonl_line().alias("j")).orderBy("j").collect()]
+    for o in out:
+        assert o == json.dumps(json.loads(o), ensure_ascii=False)
 
 
 def test_write_ordered(spark, entries, tmp_path):
