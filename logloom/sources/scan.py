@@ -154,16 +154,24 @@ def raw_lines(spark: SparkSession, roots: str | list[str], source: str = "all",
     roots = existing_roots(spark, [roots] if isinstance(roots, str) else list(roots))
     files = selected_files(spark, roots, source, stream, include_log4j, include_stacktrace)
     if files is not None:
-        chosen = files.select("_path", "is_compressed").collect()  # file names only, bounded by the limit
+        chosen = files.select("_path", "is_compressed", "_size").collect()  # names only, bounded by the limit
+        # gzip files are read whole unless so large that the decompressed
+        # text could pass Spark's 2 GB value limit: those go line by line
+        gz = [r for r in chosen if r.is_compressed]
+        whole = [r._path for r in gz if strict_corrupt and r._size <= WHOLE_GZIP_MAX_BYTES]
+        by_line = [r._path for r in gz if not (strict_corrupt and r._size <= WHOLE_GZIP_MAX_BYTES)]
         plain = _read_paths(spark, [r._path for r in chosen if not r.is_compressed], gz=False)
-        packed = _read_paths(spark, [r._path for r in chosen if r.is_compressed], gz=True, whole=strict_corrupt)
+        if by_line:
+            plain = plain.unionByName(_read_paths(spark, by_line, gz=True, whole=False))
+        packed = _read_paths(spark, whole, gz=True, whole=True)
         # every classified gzip name ends in .gz: derived from the path, the
         # flag stays a file-metadata predicate that Spark can prune with
-        lines = _lines(plain, packed, strict_corrupt).withColumn("is_compressed", F.col("_uri").endswith(".gz"))
+        lines = _lines(plain, packed, True).withColumn("is_compressed", F.col("_uri").endswith(".gz"))
         # left join: every line comes from a selected file, and unlike an
         # inner join it does not copy the file table's path regex onto
         # every line (constraint propagation)
-        return lines.join(F.broadcast(files.drop("_path", "is_compressed")), "_uri", "left").select(*ENTRY_FIELDS)
+        return lines.join(F.broadcast(files.drop("_path", "is_compressed", "_size")), "_uri", "left").select(
+            *ENTRY_FIELDS)
 
     def sel(df: DataFrame) -> DataFrame:
         return df.where(selection_predicate(F.col("_uri"), source, stream, include_log4j, include_stacktrace))
@@ -180,6 +188,9 @@ def raw_lines(spark: SparkSession, roots: str | list[str], source: str = "all",
 # file); above it, selection and attributes are computed on each line
 # instead (no broadcast, no extra shuffle).
 BROADCAST_FILE_LIMIT = 200_000
+# gzip files up to this compressed size are read whole (a damaged one is
+# dropped entirely); larger ones line by line (no 2 GB limit per value).
+WHOLE_GZIP_MAX_BYTES = 256 << 20
 _ATTRS = ["run_key", "source_type", "app_id", "source_detail", "stream", "file_timestamp"]
 
 
@@ -193,18 +204,20 @@ def selected_files(spark: SparkSession, roots: list[str], source: str = "all", s
     file index without a job.
     """
     if not roots:
-        return spark.createDataFrame([], "_uri string, _path string, is_compressed boolean, run_key string, "
+        return spark.createDataFrame([], "_uri string, _path string, _size bigint, is_compressed boolean, run_key string, "
                                          "source_type string, app_id string, source_detail string, stream string, "
                                          "file_timestamp timestamp, file_origin string")
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
     if len(listing.inputFiles()) > BROADCAST_FILE_LIMIT:
         return None
-    files = listing.select(F.col("_metadata.file_path").alias("_uri")).dropDuplicates(["_uri"])
+    files = listing.select(F.col("_metadata.file_path").alias("_uri"),
+                           F.col("_metadata.file_size").alias("_size")).dropDuplicates(["_uri"])
     files = with_file_attributes(files, "_uri", include_log4j, include_stacktrace, encoded=True)
     files = source_filter(stream_filter(files, stream), source)
     return files.select(
         "_uri",
         F.url_decode(F.replace(F.col("_uri"), F.lit("+"), F.lit("%2B"))).alias("_path"),
+        "_size",
         "is_compressed",
         *_ATTRS,
         normalize_path("_uri", encoded=True).alias("file_origin"),
@@ -247,8 +260,12 @@ def multi_block_lines(spark: SparkSession, entries: DataFrame) -> DataFrame:
 
 def skipped_files(spark: SparkSession, files: DataFrame, roots: str | list[str]) -> DataFrame:
     """Non-empty gzip files that could not be read (S14): listed, but absent
-    from the whole-file scan (damaged or not gzip at all)."""
+    from the whole-file scan (damaged or not gzip at all). Covers the gzip
+    files that are read whole (up to ``WHOLE_GZIP_MAX_BYTES``); the size
+    predicate is on file metadata, so larger ones are never opened here."""
     roots = existing_roots(spark, [roots] if isinstance(roots, str) else list(roots))
-    read = _read(spark, roots, gz=True).select(normalize_path("_uri", encoded=True).alias("path")).distinct()
-    gz = files.where(F.col("is_compressed") & (F.col("length") > 0))
+    small = F.col("file_size") <= F.lit(WHOLE_GZIP_MAX_BYTES)
+    read = _read(spark, roots, gz=True).where(small).select(
+        normalize_path("_uri", encoded=True).alias("path")).distinct()
+    gz = files.where(F.col("is_compressed") & (F.col("length") > 0) & (F.col("length") <= WHOLE_GZIP_MAX_BYTES))
     return gz.join(read, "path", "left_anti")

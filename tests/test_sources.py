@@ -305,3 +305,17 @@ def test_cli_resolves_job_name(spark, tree, tmp_path, capsys):
                                     "TransportChannelHandler: Connection to /10.0.0.1:4048 has been quiet"]
     assert main(["nightly", "--jobs", jp, "--runs", rp, "--run-id", "71", "--level", "ERROR"]) == 0
     assert capsys.readouterr().out.splitlines() == ["[driver:stderr 2026-03-12T01:00:00] 26/03/12 01:00:00 ERROR Main: failed"]
+
+
+def test_large_gzip_read_line_by_line(spark, tree, monkeypatch):
+    """Above the whole-file size gzip files are read line by line: same
+    lines for intact files, the damaged one keeps the lines before damage."""
+    import logloom.sources.scan as scan
+
+    whole = scan_logs(spark, [tree["c1"]], source="executor:2")
+    monkeypatch.setattr(scan, "WHOLE_GZIP_MAX_BYTES", 0)
+    by_line = scan_logs(spark, [tree["c1"]], source="executor:2")
+    ok = F.col("file_origin").endswith("--18.gz")
+    assert [r.line for r in whole.where(ok).orderBy("line_no").collect()] == \
+        [r.line for r in by_line.where(ok).orderBy("line_no").collect()]
+    assert by_line.count() >= whole.count()
