@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime as _dt
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from logloom.operators import filters as flt
 from logloom.operators import triage as tri
@@ -33,12 +34,14 @@ def query_entries(
     order_col: str = "line_no",
     block=None,
     stats_entries: DataFrame | None = None,
+    num_partitions: int | None = None,
 ) -> DataFrame:
     """Apply the viewer's options to parsed entries."""
     df = flt.stream_filter(flt.source_filter(entries, source), stream)
     if stats_entries is not None:
         stats_entries = flt.stream_filter(flt.source_filter(stats_entries, source), stream)
-    keyed = with_merge_keys(df, order_col=order_col, block=block, stats_entries=stats_entries)
+    keyed = with_merge_keys(df, order_col=order_col, block=block, stats_entries=stats_entries,
+                            num_partitions=num_partitions)
     if focus:
         keyed = flt.focus_filter(keyed)
     keyed = flt.level_filter(keyed, level)
@@ -64,9 +67,34 @@ def query_logs(spark, bases, source: str = "all", stream: str = "all", include_l
                         include_stacktrace=include_stacktrace, strict_corrupt=strict_corrupt,
                         honor_offset=honor_offset)
     # block = file split and the multi-split pre-pass are picked up by the merge
+    options.setdefault("num_partitions", merge_partitions(spark, bases, source, stream, include_log4j,
+                                                          include_stacktrace))
     return query_entries(entries, order_col="line_no", **options)
 
 
+# Parsed rows are about three times the bytes of their text (file and run
+# strings travel with every line); aim at 128 MB per merge partition.
+ROW_BYTES_PER_TEXT_BYTE = 3
+TARGET_PARTITION_BYTES = 128 << 20
+
+
+def merge_partitions(spark, bases, source: str = "all", stream: str = "all", include_log4j: bool = False,
+                     include_stacktrace: bool = False) -> int | None:
+    """Partition count of the merge shuffle sized from the selected files'
+    bytes (file-listing metadata, a small job), never below the session's
+    ``spark.sql.shuffle.partitions``; None when the files are not listed
+    one by one (above the broadcast file limit)."""
+    from logloom.sources.scan import existing_roots, selected_files
+
+    roots = existing_roots(spark, [bases] if isinstance(bases, str) else list(bases))
+    files = selected_files(spark, roots, source, stream, include_log4j, include_stacktrace)
+    if files is None:
+        return None
+    total = files.agg(F.sum("_size").alias("b")).first()["b"] or 0
+    default = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(default, -(-total * ROW_BYTES_PER_TEXT_BYTE // TARGET_PARTITION_BYTES))
+
+
 def triage(entries: DataFrame, files: DataFrame | None = None, materialize: bool = False) -> dict[str, DataFrame]:
     """The triage workflow as tables: errors by executor and source, root
     causes, first error, spread, timeline and suggested actions.

@@ -319,3 +319,20 @@ def test_large_gzip_read_line_by_line(spark, tree, monkeypatch):
     assert [r.line for r in whole.where(ok).orderBy("line_no").collect()] == \
         [r.line for r in by_line.where(ok).orderBy("line_no").collect()]
     assert by_line.count() >= whole.count()
+
+
+def test_merge_partitions_follow_input_bytes(spark, tree, monkeypatch):
+    import logloom.plans.query as q
+
+    default = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert q.merge_partitions(spark, [tree["c1"]]) == default  # tiny input: the session setting
+    monkeypatch.setattr(q, "TARGET_PARTITION_BYTES", 64)
+    n = q.merge_partitions(spark, [tree["c1"]])
+    assert n > default
+    assert query_logs_count(spark, tree) == query_logs_count(spark, tree, num_partitions=n)
+
+
+def query_logs_count(spark, tree, **kw):
+    from logloom.plans.query import query_logs
+
+    return [r.line for r in query_logs(spark, [tree["c1"]], level="ERROR", **kw).collect()]
