@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontam, line_dedup, packing, simhash, toxicity
+from logloom.llm import decontam, line_dedup, packing, simhash, suffix_array, suffix_tree, toxicity
 
 
 def tokenizer_path() -> str:
@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_array.remove_repeats(table(spark, sf_dir, "documents"), length=400, keep="none")
+    return out.select("doc_id", "n_bytes", suffix_array.removed().alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
@@ -38,6 +44,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_tree.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_words", suffix_array.removed().alias("n_removed"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contaminated_words(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
@@ -47,7 +59,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_line_dedup, op5_simhash, op6_packing, op10_decontamination)}
+    return {f.__name__: f for f in (
+        op1_suffix_array, op2_toxicity, op3_line_dedup, op5_simhash, op6_packing, op8_suffix_tree,
+        op10_decontamination)}
 
 
 def all_oracles() -> dict[str, str]:
