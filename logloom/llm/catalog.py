@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontam, line_dedup, packing, simhash, suffix_array, suffix_tree, toxicity
+from logloom.llm import decontam, line_dedup, packing, pivots, simhash, suffix_array, suffix_tree, toxicity
 
 
 def tokenizer_path() -> str:
@@ -44,6 +44,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_dedup(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_tree.remove_repeats(table(spark, sf_dir, "documents"), length=50)
     return out.select("doc_id", "n_words", suffix_array.removed().alias("n_removed"),
@@ -60,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict:
     return {f.__name__: f for f in (
-        op1_suffix_array, op2_toxicity, op3_line_dedup, op5_simhash, op6_packing, op8_suffix_tree,
+        op1_suffix_array, op2_toxicity, op3_line_dedup, op5_simhash, op6_packing, op7_embeddings, op8_suffix_tree,
         op10_decontamination)}
 
 
