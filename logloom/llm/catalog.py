@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontam, line_dedup, packing, pivots, simhash, suffix_array, suffix_tree, toxicity
+from logloom.llm import decontam, line_dedup, packing, pii, pivots, simhash, suffix_array, suffix_tree, toxicity
 
 
 def tokenizer_path() -> str:
@@ -54,6 +54,12 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[pii.count_of(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+                      F.sha2(pii.joined(True), 256).alias("base_sha256"), pii.joined(False).alias("spans"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contaminated_words(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
@@ -64,7 +70,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict:
     return {f.__name__: f for f in (
-        op1_suffix_array, op2_toxicity, op3_line_dedup, op5_simhash, op6_packing, op7_embeddings, op8_suffix_tree,
+        op1_suffix_array, op2_toxicity, op3_line_dedup, op5_simhash, op6_packing, op7_embeddings, op8_suffix_tree, op9_pii,
         op10_decontamination)}
 
 
