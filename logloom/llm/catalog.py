@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontam, line_dedup, packing, pii, pivots, simhash, suffix_array, suffix_tree, toxicity
+from logloom.llm import decontam, licenses, line_dedup, packing, pii, pivots, simhash, suffix_array, suffix_tree, toxicity
 
 
 def tokenizer_path() -> str:
@@ -34,6 +34,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word",
+                      F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_dedup(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -70,7 +76,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict:
     return {f.__name__: f for f in (
-        op1_suffix_array, op2_toxicity, op3_line_dedup, op5_simhash, op6_packing, op7_embeddings, op8_suffix_tree, op9_pii,
+        op1_suffix_array, op2_toxicity, op3_line_dedup, op4_licenses, op5_simhash, op6_packing, op7_embeddings, op8_suffix_tree, op9_pii,
         op10_decontamination)}
 
 
