@@ -195,8 +195,9 @@ def fingerprint_edges(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, rid, fp, component_id) for every document; the component's id
-    is the smallest doc_id reachable by links."""
+    """(doc_id, rid, fp, group, component_id) for every document; the
+    component's id is the smallest doc_id reachable by links, ``group`` its
+    least fingerprint."""
     fps = materialise(fingerprints(docs, shingle), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     labels = connected_components(fingerprint_edges(distinct.select("fp"), radius))
@@ -205,5 +206,5 @@ def near_dedup(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     linked = named.where(F.col("label").isNotNull())
     ids = materialise(linked.groupBy("label").agg(F.min("least").alias("component_id")), "component_ids")
     classes = named.join(ids, "label", "left").select(
-        "fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(materialise(classes, "class_ids"), "fp").select("doc_id", "rid", "fp", "component_id")
+        "fp", F.coalesce("label", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
+    return fps.join(materialise(classes, "class_ids"), "fp").select("doc_id", "rid", "fp", "group", "component_id")
