@@ -82,7 +82,7 @@ def main(argv: list[str] | None = None) -> int:
 
     roots = _resolve(spark, args) if args.jobs and args.runs else list(args.inputs)
     if not roots:
-        print("No log sources found.", file=sys.stderr)
+        print("nothing to read", file=sys.stderr)
         return 0
     if args.follow:
         from logloom.streaming.follow import follow_logs, follow_to

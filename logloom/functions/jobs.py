@@ -75,8 +75,8 @@ def destination_error(job_id: Column | str, dest: Column | str) -> Column:
     d = _col(dest)
     jid = _col(job_id).cast("string")
     return (
-        F.when(d["kind"].isNull(), F.concat(F.lit("Job "), jid, F.lit(" has no cluster_log_conf configured")))
-        .when(d["kind"] == "s3", F.concat(F.lit("Job "), jid, F.lit(" uses S3 log destination ("),
+        F.when(d["kind"].isNull(), F.concat(F.lit("job "), jid, F.lit(": log delivery is not set up")))
+        .when(d["kind"] == "s3", F.concat(F.lit("job "), jid, F.lit(": logs are delivered to S3, which is not read ("),
                                            d["destination"], F.lit(")")))
     )
 
@@ -100,7 +100,7 @@ def all_cluster_ids(cluster_instance: Column | str = "cluster_instance", tasks:
 
 def no_cluster_error(run_id: Column | str, state: Column | str = "state") -> Column:
     life = F.coalesce(_col(state)["life_cycle_state"], F.lit("UNKNOWN"))
-    return F.concat(F.lit("Run "), _col(run_id).cast("string"), F.lit(" has no cluster instance (state: "), life,
+    return F.concat(F.lit("run "), _col(run_id).cast("string"), F.lit(": no cluster is known (state "), life,
                     F.lit(")"))
 
 

@@ -8,7 +8,6 @@ and grep act on lines: apply them after merge keys are defined.
 from __future__ import annotations
 
 import datetime as _dt
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,48 +53,29 @@ def level_filter(df: DataFrame, levels: str | list[str] | None) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- P15
-_RELATIVE = re.compile(r"^(\d+)(h|m)$")
-
-
-def parse_since(since: str | _dt.datetime, now: _dt.datetime | None = None) -> _dt.datetime:
-    """``2h`` / ``30m`` relative to now (UTC), else an ISO date-time.
-
-    A naive value is taken as UTC, an aware one is converted to UTC.
-    """
-    if isinstance(since, _dt.datetime):
-        dt = since
-    else:
-        m = _RELATIVE.match(since)
-        if m:
-            now = now or _dt.datetime.now(tz=_dt.timezone.utc)
-            amount = int(m.group(1))
-            delta = _dt.timedelta(hours=amount) if m.group(2) == "h" else _dt.timedelta(minutes=amount)
-            return now - delta
-        dt = _dt.datetime.fromisoformat(since)
-    return dt.replace(tzinfo=_dt.timezone.utc) if dt.tzinfo is None else dt.astimezone(_dt.timezone.utc)
-
-
-def since_column(since: str | _dt.datetime) -> Column:
-    """``since`` as a column: a relative ``2h`` / ``30m`` is evaluated at
-    query time (``current_timestamp()`` minus the interval, so each
-    micro-batch of a stream uses its own now); anything else is a literal."""
+# unit of a relative ``since`` -> seconds
+SINCE_UNITS = {"h": 3600, "m": 60}
+
+
+def since_column(since: str | _dt.datetime, now: _dt.datetime | None = None) -> Column:
+    """``since`` as a timestamp column. ``2h`` / ``30m`` count back from
+    ``now``, by default the query's own ``current_timestamp()`` (in a stream:
+    each micro-batch's). Anything else is an ISO date-time or a datetime; one
+    without an offset is UTC."""
     if isinstance(since, str):
-        m = _RELATIVE.match(since)
-        if m:
-            amount = F.lit(int(m.group(1)))
-            delta = F.make_interval(hours=amount) if m.group(2) == "h" else F.make_interval(mins=amount)
-            return F.current_timestamp() - delta
-    return F.lit(parse_since(since))
+        count, unit = since[:-1], since[-1:]
+        if unit in SINCE_UNITS and count.isascii() and count.isdigit():
+            base = F.current_timestamp() if now is None else F.lit(now)
+            return F.timestamp_micros(F.unix_micros(base) - F.lit(int(count) * SINCE_UNITS[unit] * 1_000_000))
+        since = _dt.datetime.fromisoformat(since)
+    return F.lit(since if since.tzinfo else since.replace(tzinfo=_dt.timezone.utc))
 
 
 # ----------------------------------------------------------------------- F4
 def since_filter(df: DataFrame, since: str | _dt.datetime | None, now: _dt.datetime | None = None) -> DataFrame:
     """Lines with their own timestamp at or after ``since``."""
-    if since is None:
-        return df
-    ts = parse_since(since, now)
-    # a null timestamp compares to null and is dropped: one reference only
-    return df.where(F.col("timestamp") >= F.lit(ts))
+    # a null timestamp compares to null and is dropped
+    return df if since is None else df.where(F.col("timestamp") >= since_column(since, now))
 
 
 # ----------------------------------------------------------------------- F5

@@ -77,15 +77,15 @@ def resolve_runs(requests: DataFrame, jobs: DataFrame, runs_raw: DataFrame, all_
     jid_s = F.col("_jid").cast("string")
     error = F.coalesce(
         F.when(F.col("_is_url") & F.col("_p").isNull(),
-               F.concat(F.lit("Could not parse URL: "), F.col("job_input"))),
+               F.concat(F.lit("not a job URL: "), F.col("job_input"))),
         F.when(~F.col("_is_url") & F.col("_jid").isNull(),
-               F.concat(F.lit("Job '"), F.col("job_input"), F.lit("' not found"))),
-        F.when(F.col("_jj").isNull(), F.concat(F.lit("Job "), jid_s, F.lit(" not found"))),
+               F.concat(F.lit("no job is named "), F.col("job_input"))),
+        F.when(F.col("_jj").isNull(), F.concat(F.lit("no job has id "), jid_s)),
         J.destination_error(F.col("_jid"), F.col("_dest")),
         F.when(F.col("_has_run") & F.col("_run").isNull(),
-               F.concat(F.lit("Run "), F.col("_want").cast("string"), F.lit(" not found"))),
+               F.concat(F.lit("no run has id "), F.col("_want").cast("string"))),
         F.when(~F.col("_has_run") & F.col("_latest").isNull(),
-               F.concat(F.lit("No runs found for job "), jid_s)),
+               F.concat(F.lit("never run: job "), jid_s)),
         F.when(F.col("_cid").isNull(), J.no_cluster_error(F.col("_r.run_id"), F.col("_r.state"))),
     )
     ok = error.isNull()

@@ -143,8 +143,8 @@ def _jobs_cte() -> str:
 
 
 def _dest_error(jid: str) -> str:
-    return (f"CASE WHEN kind IS NULL THEN 'Job ' || CAST({jid} AS VARCHAR) || ' has no cluster_log_conf configured' "
-            f"WHEN kind = 's3' THEN 'Job ' || CAST({jid} AS VARCHAR) || ' uses S3 log destination (' || "
+    return (f"CASE WHEN kind IS NULL THEN 'job ' || CAST({jid} AS VARCHAR) || ': log delivery is not set up' "
+            f"WHEN kind = 's3' THEN 'job ' || CAST({jid} AS VARCHAR) || ': logs are delivered to S3, which is not read (' || "
             "destination || ')' END")
 
 
@@ -223,8 +223,8 @@ def run_oracles() -> dict[str, str]:
         "run_header": f"WITH {_runs_cte()} SELECT run_id, {_header('start_time', 'end_time')} AS header FROM runs",
         "log_destination": f"WITH {_jobs_cte()} SELECT job_id, destination, kind, {_dest_error('job_id')} AS error "
         "FROM jobs",
-        "cluster_id": f"WITH {_runs_cte()} SELECT run_id, cluster_id, CASE WHEN cluster_id IS NULL THEN 'Run ' || "
-        "CAST(run_id AS VARCHAR) || ' has no cluster instance (state: ' || state || ')' END AS error FROM runs",
+        "cluster_id": f"WITH {_runs_cte()} SELECT run_id, cluster_id, CASE WHEN cluster_id IS NULL THEN 'run ' || "
+        "CAST(run_id AS VARCHAR) || ': no cluster is known (state ' || state || ')' END AS error FROM runs",
         "resolve_runs": f"""WITH {_requests_cte()}, {_jobs_cte()}, {_runs_cte()},
 p AS (SELECT *, {ri_url} AS is_url, {ri_job} AS url_job, {ri_run} AS url_run FROM requests),
 byname AS (SELECT name, min(job_id) AS job_id FROM jobs GROUP BY name),
@@ -243,13 +243,13 @@ r4 AS (SELECT r3.*, ru.run_id AS ru_id, la.run_id AS la_id,
        FROM r3 LEFT JOIN runs ru ON r3.has_run AND ru.run_id = r3.want
                LEFT JOIN latest la ON NOT r3.has_run AND la.job_id = r3.jid),
 r5 AS (SELECT *, coalesce(
-         CASE WHEN is_url AND url_job IS NULL THEN 'Could not parse URL: ' || job_input END,
-         CASE WHEN NOT is_url AND jid IS NULL THEN 'Job ''' || job_input || ''' not found' END,
-         CASE WHEN jj IS NULL THEN 'Job ' || CAST(jid AS VARCHAR) || ' not found' END,
+         CASE WHEN is_url AND url_job IS NULL THEN 'not a job URL: ' || job_input END,
+         CASE WHEN NOT is_url AND jid IS NULL THEN 'no job is named ' || job_input END,
+         CASE WHEN jj IS NULL THEN 'no job has id ' || CAST(jid AS VARCHAR) END,
          {_dest_error('jid')},
-         CASE WHEN has_run AND ru_id IS NULL THEN 'Run ' || CAST(want AS VARCHAR) || ' not found' END,
-         CASE WHEN NOT has_run AND la_id IS NULL THEN 'No runs found for job ' || CAST(jid AS VARCHAR) END,
-         CASE WHEN cid IS NULL THEN 'Run ' || CAST(rid AS VARCHAR) || ' has no cluster instance (state: ' ||
+         CASE WHEN has_run AND ru_id IS NULL THEN 'no run has id ' || CAST(want AS VARCHAR) END,
+         CASE WHEN NOT has_run AND la_id IS NULL THEN 'never run: job ' || CAST(jid AS VARCHAR) END,
+         CASE WHEN cid IS NULL THEN 'run ' || CAST(rid AS VARCHAR) || ': no cluster is known (state ' ||
               rstate || ')' END) AS error FROM r4)
 SELECT request_id,
   CASE WHEN error IS NULL THEN jid END AS job_id,

@@ -67,32 +67,22 @@ def query_logs(spark, bases, source: str = "all", stream: str = "all", include_l
                         include_stacktrace=include_stacktrace, strict_corrupt=strict_corrupt,
                         honor_offset=honor_offset)
     # block = file split and the multi-split pre-pass are picked up by the merge
-    options.setdefault("num_partitions", merge_partitions(spark, bases, source, stream, include_log4j,
-                                                          include_stacktrace))
     return query_entries(entries, order_col="line_no", **options)
 
 
-# Parsed rows are about three times the bytes of their text (file and run
-# strings travel with every line); aim at 128 MB per merge partition.
-ROW_BYTES_PER_TEXT_BYTE = 3
-TARGET_PARTITION_BYTES = 128 << 20
+def query_logs_report(spark, bases, include_log4j: bool = False, include_stacktrace: bool = False,
+                      strict_corrupt: bool = True, **options) -> tuple[DataFrame, DataFrame]:
+    """(entries, skipped): :func:`query_logs` and the files it had to leave
+    out (path, run, source, stream, length), each a DataFrame of its own."""
+    from logloom.sources.files import discover
+    from logloom.sources.scan import skipped_files
 
-
-def merge_partitions(spark, bases, source: str = "all", stream: str = "all", include_log4j: bool = False,
-                     include_stacktrace: bool = False) -> int | None:
-    """Partition count of the merge shuffle sized from the selected files'
-    bytes (file-listing metadata, a small job), never below the session's
-    ``spark.sql.shuffle.partitions``; None when the files are not listed
-    one by one (above the broadcast file limit)."""
-    from logloom.sources.scan import existing_roots, selected_files
-
-    roots = existing_roots(spark, [bases] if isinstance(bases, str) else list(bases))
-    files = selected_files(spark, roots, source, stream, include_log4j, include_stacktrace)
-    if files is None:
-        return None
-    total = files.agg(F.sum("_size").alias("b")).first()["b"] or 0
-    default = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(default, -(-total * ROW_BYTES_PER_TEXT_BYTE // TARGET_PARTITION_BYTES))
+    entries = query_logs(spark, bases, include_log4j=include_log4j, include_stacktrace=include_stacktrace,
+                         strict_corrupt=strict_corrupt, **options)
+    files = discover(spark, bases, include_log4j, include_stacktrace)
+    files = flt.stream_filter(flt.source_filter(files, options.get("source", "all")), options.get("stream", "all"))
+    skipped = skipped_files(spark, files, bases, strict_corrupt)
+    return entries, skipped.select("path", "run_key", "source_type", "source_detail", "stream", "length")
 
 
 def triage(entries: DataFrame, files: DataFrame | None = None, materialize: bool = False) -> dict[str, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,21 +50,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
     On a cluster the folder named in ``spark.checkpoint.dir`` is shared
-    storage and is used as is. Only when it is unset (local runs, tests) do
-    we pick a fresh scratch folder.
+    storage and is used as is; without one this is an error, since other
+    machines do not see a folder of the driver's own. Only a local master
+    (tests, the bench) gets a fresh scratch folder.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the server's spark.checkpoint.dir applies
-        return spark.conf.get("spark.checkpoint.dir", "")
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    local = tempfile.mkdtemp(prefix="logloom-ckpt-")
-    sc.setCheckpointDir(local)
-    return local
+        sc = None
+    current = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not current:
+        if sc is None or not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="logloom-ckpt-")
+    if sc and not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return current
 
 
 def write_and_read(spark: SparkSession, df, name: str = "table"):
@@ -72,7 +74,6 @@ def write_and_read(spark: SparkSession, df, name: str = "table"):
     (and read only the columns they need) instead of recomputing it."""
     import uuid
 
-    base = ensure_checkpoint_dir(spark).rstrip("/") or tempfile.mkdtemp(prefix="logloom-tables-")
-    path = f"{base}/logloom-tables/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logloom-tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.parquet(path)

@@ -144,34 +144,38 @@ def classify_files(paths: DataFrame, path_col: str = "path", include_log4j: bool
 
 
 def list_files(spark: SparkSession, roots: str | list[str]) -> DataFrame:
-    """All files under the run roots, zero-length ones included.
+    """All files under the run roots, zero-length ones included: path, length
+    (S1, S9). Sizes come from a scan's file metadata; no file body is read.
 
-    The listing is Spark's own parallel file index (the same one a scan of
-    these roots uses); only path names and sizes are kept, file bodies are
-    not read. Spark leaves zero-length files out of a scan, but they are
-    files of the run, so the listing comes from the file index.
+    Spark leaves zero-length files out of a scan, but they are files of the
+    run, so names come from the scan's file index, which the driver holds for
+    any scan of these roots. Scans themselves never need this listing.
     """
-    from logloom.sources.scan import existing_roots
+    from logloom.sources.scan import existing_roots, literal_paths
 
     roots = existing_roots(spark, [roots] if isinstance(roots, str) else list(roots))
     if not roots:
         return spark.createDataFrame([], "path string, length bigint")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    paths = reader.load(roots).inputFiles()
-    listing = spark.createDataFrame([(p,) for p in paths], "uri string").select(
-        normalize_path("uri", encoded=True).alias("path"))
-    sizes = reader.load(roots).select(normalize_path("path").alias("_p"), F.col("length"))
-    return listing.join(sizes, listing.path == sizes._p, "left").select(
-        "path", F.coalesce(F.col("length"), F.lit(0)).cast("bigint").alias("length")
-    )
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "ignoreMissingFiles", "true").load(literal_paths(roots))
+    names = spark.createDataFrame([(p,) for p in scan.inputFiles()], "value string")
+    listing = names.select(normalize_path("value", encoded=True).alias("path")).distinct()
+    sizes = scan.select(normalize_path("_metadata.file_path", encoded=True).alias("path"),
+                        F.col("_metadata.file_size").alias("length"))
+    return listing.join(sizes, "path", "left").select("path", F.coalesce("length", F.lit(0)).cast("bigint").alias("length"))
 
 
 def discover(spark: SparkSession, roots: str | list[str], include_log4j: bool = False,
              include_stacktrace: bool = False) -> DataFrame:
-    """Files table of the runs under ``roots``: classified, with file_idx."""
+    """Files table of the runs under ``roots``: classified, with file_idx.
+    Files at any other depth below a root (a ``driver/`` folder inside another
+    folder, say) are no log files of the run."""
+    from logloom.sources.scan import plain_root
+
+    roots = [roots] if isinstance(roots, str) else list(roots)
     files = classify_files(list_files(spark, roots), include_log4j=include_log4j,
                            include_stacktrace=include_stacktrace)
-    return with_file_order(files)
+    return with_file_order(files.where(F.col("run_key").isin(sorted({plain_root(r) for r in roots}))))
 
 
 # ------------------------------------------------------------------- G1, G2

@@ -1,50 +1,48 @@
 """Reading log trees into entries.
 
-Plain files are read line by line with Spark's text source (splittable, so
-a large active file is spread over many tasks); gzip files are read whole
-(``wholetext``) so that a damaged archive is dropped entirely, like a
-failed download, while its neighbours are kept. Files are classified and
-selected once per file; only the selected files are read and their
-attributes reach the lines through a broadcast join bounded by the file
-count (above the bound: path predicates prune files and attributes are
-derived per line).
+One read path for any number and size of files: the run roots are read with
+Spark's text source and every choice (exact depth below a given root, source,
+stream, opt-in families) is a predicate on ``_metadata.file_path``, which
+prunes files before they are opened. File attributes are derived from the
+same path, so no file list passes through the driver and nothing is
+broadcast or joined.
+
+Plain files are read line by line (splittable); gzip files whole
+(``wholetext``), so that a damaged archive is dropped entirely, like a failed
+download, while its neighbours are kept. ``strict_corrupt=False`` reads gzip
+files line by line too. Files that are gone or unreadable when the query runs
+are left out; :func:`skipped_files` reports them.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.parse import is_non_blank, parse_entries, split_lines
 from logloom.operators.filters import source_filter, stream_filter
-from logloom.sources.files import _active_rules, _path_pattern, normalize_path, with_file_attributes
+from logloom.sources.files import normalize_path, with_file_attributes
 
 ENTRY_FIELDS = ["run_key", "source_type", "source_detail", "app_id", "stream", "file_timestamp", "file_origin",
                 "line_no", "block_start", "file_size", "is_compressed", "line"]
 
 
-def selection_predicate(path: Column, source: str = "all", stream: str = "all", include_log4j: bool = False,
-                        include_stacktrace: bool = False) -> Column:
-    """One regex over the raw file path selecting the files a query reads
-    (F1, F2, S3, S4 applied before the scan)."""
-    pats = []
-    for rid, st, pat, *_ in _active_rules(include_log4j, include_stacktrace):
-        if stream != "all" and st != stream:
-            continue
-        if source == "driver" and rid > 10 or source.startswith("executor") and rid < 10:
-            continue
-        if source not in ("all", "driver") and not source.startswith("executor"):
-            continue
-        full = _path_pattern(rid, pat)
-        if source.startswith("executor:"):
-            detail = re.escape(source.split(":")[1])
-            full = full.replace("/[^/]+/", "/" + detail + "/", 1)
-        pats.append(full)
-    if not pats:
-        return F.lit(False)
-    return path.rlike("(?:" + ")|(?:".join(pats) + ")")
+def plain_root(root: str) -> str:
+    """A root in the spelling of ``run_key``: no ``file:`` or ``dbfs:`` prefix,
+    no trailing slash."""
+    return re.sub(r"^dbfs:", "", re.sub(r"^file:/+", "/", root)).rstrip("/")
+
+
+def select_files(df: DataFrame, roots: list[str], source: str = "all", stream: str = "all",
+                 include_log4j: bool = False, include_stacktrace: bool = False) -> DataFrame:
+    """Keep the log files of the given runs that a query reads, with their
+    attributes (F1, F2, S1-S8): ``df`` has the scan's path in ``_uri``. A file
+    belongs to a run only at its exact depth below the run's root."""
+    df = with_file_attributes(df, "_uri", include_log4j, include_stacktrace, encoded=True)
+    df = df.where(F.col("run_key").isin(sorted({plain_root(r) for r in roots})) if roots else F.lit(False))
+    return source_filter(stream_filter(df, stream), source)
 
 
 def existing_roots(spark: SparkSession, roots: list[str]) -> list[str]:
@@ -56,8 +54,17 @@ def existing_roots(spark: SparkSession, roots: list[str]) -> list[str]:
     shared by several roots (a fleet of runs under one job folder is one
     call), ``exists`` for the others.
     """
-    clean = sorted({r.rstrip("/") for r in roots if r and r.strip("/")})
-    outer = [r for r in clean if not any(r.startswith(o + "/") for o in clean if o != r)]
+    clean = {r.rstrip("/") for r in roots if r and r.strip("/")}
+
+    def nested(root: str) -> bool:
+        parent = root.rpartition("/")[0]
+        while parent:
+            if parent in clean:
+                return True
+            parent = parent.rpartition("/")[0]
+        return False
+
+    outer = sorted(r for r in clean if not nested(r))
     try:
         jvm = spark.sparkContext._jvm
         conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -83,36 +90,27 @@ def existing_roots(spark: SparkSession, roots: list[str]) -> list[str]:
     return sorted(out)
 
 
+def literal_paths(roots: list[str]) -> list[str]:
+    """Roots as reader paths: their names are no globs."""
+    return [re.sub(r"([{}\[\]*?\\])", r"\\\1", r) for r in roots]
+
+
 def _read(spark: SparkSession, roots: list[str], gz: bool, whole: bool = True) -> DataFrame:
-    reader = spark.read.option("recursiveFileLookup", "true")
+    """Text of the files under ``roots`` with their path; a file that is gone
+    or cannot be read gives no rows (or, line by line, those before the damage)."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option(
+        "ignoreCorruptFiles", "true")
     if not roots:
         df = spark.createDataFrame([], "value string").withColumn("_metadata", F.struct(
             F.lit("").alias("file_path"), F.lit("").alias("file_name"), F.lit(0).cast("bigint").alias("file_block_start"),
             F.lit(0).cast("bigint").alias("file_size")))
     elif gz:
-        reader = reader.option("pathGlobFilter", "*.gz").option("ignoreCorruptFiles", "true")
-        df = reader.text(roots, wholetext=whole)
+        df = reader.option("pathGlobFilter", "*.gz").text(literal_paths(roots), wholetext=whole)
     else:
-        df = reader.text(roots)
-    return df.select(
-        F.make_valid_utf8("value").alias("value"),
-        F.col("_metadata.file_path").alias("_uri"),
-        F.col("_metadata.file_name").alias("_fname"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.col("_metadata.file_size").alias("file_size"),
-    )
-
-
-def _read_paths(spark: SparkSession, paths: list[str], gz: bool, whole: bool = True) -> DataFrame:
-    """Read an explicit list of files (the selected ones)."""
-    if not paths:
-        return _read(spark, [], gz)
-    reader = spark.read.option("ignoreCorruptFiles", "true") if gz else spark.read
-    df = reader.text(paths, wholetext=whole) if gz else reader.text(paths)
+        df = reader.text(literal_paths(roots)).where(~F.col("_metadata.file_name").endswith(".gz"))
     return df.select(
         F.make_valid_utf8("value").alias("value"),
         F.col("_metadata.file_path").alias("_uri"),
-        F.col("_metadata.file_name").alias("_fname"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.col("_metadata.file_size").alias("file_size"),
     )
@@ -128,102 +126,36 @@ def _lines(plain: DataFrame, packed: DataFrame, strict_corrupt: bool) -> DataFra
     split (one partition) the number grows with the line, so (split start,
     number) orders a file.
     """
-    plain = plain.select("_uri", "block_start", "file_size", F.explode(split_lines("value", full=False)).alias("line"))
-    packed = packed.select("_uri", "block_start", "file_size",
-                           F.explode(split_lines("value", full=strict_corrupt)).alias("line"))
+    keep = [*_ATTRS, "_uri", "block_start", "file_size"]
+    plain = plain.select(*keep, F.explode(split_lines("value", full=False)).alias("line"))
+    packed = packed.select(*keep, F.explode(split_lines("value", full=strict_corrupt)).alias("line"))
     lines = plain.withColumn("_row", F.monotonically_increasing_id()).unionByName(
         packed.withColumn("_row", F.monotonically_increasing_id()))
     return lines.withColumn("line_no", F.struct(F.col("block_start"), F.col("_row").alias("row")))
 
 
+_ATTRS = ["run_key", "source_type", "app_id", "source_detail", "stream", "file_timestamp", "is_compressed"]
+
+
 def raw_lines(spark: SparkSession, roots: str | list[str], source: str = "all", stream: str = "all",
               include_log4j: bool = False, include_stacktrace: bool = False,
               strict_corrupt: bool = True) -> DataFrame:
     """Lines of the selected files with their order key, blank lines kept.
 
-    Up to ``BROADCAST_FILE_LIMIT`` files, files are classified and selected
-    once per file, exactly the selected files are read, and their attributes
-    are attached by a broadcast join: no per-line work on paths. Above it,
-    selection is a predicate on ``_metadata.file_path`` (Spark prunes files
-    with it) and attributes are derived on each line.
-
-    ``strict_corrupt=False`` reads gzip files line by line too: no
-    whole-file row (no 2 GB limit per decompressed file), but a damaged
-    archive keeps the lines before the damage.
+    ``strict_corrupt`` alone decides how gzip files are read, at any size:
+    whole (a damaged archive is dropped; one whose text passes Spark's 2 GB
+    value limit is an error), or line by line (no limit; a damaged archive
+    keeps the lines before the damage).
     """
-    roots = existing_roots(spark, [roots] if isinstance(roots, str) else list(roots))
-    files = selected_files(spark, roots, source, stream, include_log4j, include_stacktrace)
-    if files is not None:
-        chosen = files.select("_path", "is_compressed", "_size").collect()  # names only, bounded by the limit
-        # gzip files are read whole unless so large that the decompressed
-        # text could pass Spark's 2 GB value limit: those go line by line
-        gz = [r for r in chosen if r.is_compressed]
-        whole = [r._path for r in gz if strict_corrupt and r._size <= WHOLE_GZIP_MAX_BYTES]
-        by_line = [r._path for r in gz if not (strict_corrupt and r._size <= WHOLE_GZIP_MAX_BYTES)]
-        plain = _read_paths(spark, [r._path for r in chosen if not r.is_compressed], gz=False)
-        if by_line:
-            plain = plain.unionByName(_read_paths(spark, by_line, gz=True, whole=False))
-        packed = _read_paths(spark, whole, gz=True, whole=True)
-        # every classified gzip name ends in .gz: derived from the path, the
-        # flag stays a file-metadata predicate that Spark can prune with
-        lines = _lines(plain, packed, True).withColumn("is_compressed", F.col("_uri").endswith(".gz"))
-        # left join: every line comes from a selected file, and unlike an
-        # inner join it does not copy the file table's path regex onto
-        # every line (constraint propagation)
-        return lines.join(F.broadcast(files.drop("_path", "is_compressed", "_size")), "_uri", "left").select(
-            *ENTRY_FIELDS)
-
-    def sel(df: DataFrame) -> DataFrame:
-        return df.where(selection_predicate(F.col("_uri"), source, stream, include_log4j, include_stacktrace))
-
-    plain = sel(_read(spark, roots, gz=False).where(~F.col("_fname").endswith(".gz")))
-    packed = sel(_read(spark, roots, gz=True, whole=strict_corrupt))
-    lines = with_file_attributes(_lines(plain, packed, strict_corrupt), "_uri", include_log4j, include_stacktrace,
-                                 encoded=True)
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    there = existing_roots(spark, roots)
+    options = (roots, source, stream, include_log4j, include_stacktrace)
+    plain = select_files(_read(spark, there, gz=False), *options)
+    packed = select_files(_read(spark, there, gz=True, whole=strict_corrupt), *options)
+    lines = _lines(plain, packed, strict_corrupt)
     return lines.withColumn("file_origin", normalize_path("_uri", encoded=True)).select(*ENTRY_FIELDS)
 
 
-# Up to this many files under the roots, files are classified and selected
-# once per file and their attributes broadcast (a few hundred bytes per
-# file); above it, selection and attributes are computed on each line
-# instead (no broadcast, no extra shuffle).
-BROADCAST_FILE_LIMIT = 200_000
-# gzip files up to this compressed size are read whole (a damaged one is
-# dropped entirely); larger ones line by line (no 2 GB limit per value).
-WHOLE_GZIP_MAX_BYTES = 256 << 20
-_ATTRS = ["run_key", "source_type", "app_id", "source_detail", "stream", "file_timestamp"]
-
-
-def selected_files(spark: SparkSession, roots: list[str], source: str = "all", stream: str = "all",
-                   include_log4j: bool = False, include_stacktrace: bool = False) -> DataFrame | None:
-    """Per-file table of the selected log files, or None above the limit.
-
-    Built from a ``binaryFile`` listing of the roots (``_metadata.file_path``
-    only; contents are not read), so ``_uri`` has the exact spelling of a
-    text scan's ``_metadata.file_path``. The file count comes from Spark's
-    file index without a job.
-    """
-    if not roots:
-        return spark.createDataFrame([], "_uri string, _path string, _size bigint, is_compressed boolean, run_key string, "
-                                         "source_type string, app_id string, source_detail string, stream string, "
-                                         "file_timestamp timestamp, file_origin string")
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
-    if len(listing.inputFiles()) > BROADCAST_FILE_LIMIT:
-        return None
-    files = listing.select(F.col("_metadata.file_path").alias("_uri"),
-                           F.col("_metadata.file_size").alias("_size")).dropDuplicates(["_uri"])
-    files = with_file_attributes(files, "_uri", include_log4j, include_stacktrace, encoded=True)
-    files = source_filter(stream_filter(files, stream), source)
-    return files.select(
-        "_uri",
-        F.url_decode(F.replace(F.col("_uri"), F.lit("+"), F.lit("%2B"))).alias("_path"),
-        "_size",
-        "is_compressed",
-        *_ATTRS,
-        normalize_path("_uri", encoded=True).alias("file_origin"),
-    )
-
-
 def scan_logs(spark: SparkSession, roots: str | list[str], source: str = "all", stream: str = "all",
               include_log4j: bool = False, include_stacktrace: bool = False, strict_corrupt: bool = True,
               honor_offset: bool = False) -> DataFrame:
@@ -258,14 +190,15 @@ def multi_block_lines(spark: SparkSession, entries: DataFrame) -> DataFrame:
     return entries.where(~F.col("is_compressed") & (F.col("file_size") > F.lit(single_split_bytes(spark))))
 
 
-def skipped_files(spark: SparkSession, files: DataFrame, roots: str | list[str]) -> DataFrame:
-    """Non-empty gzip files that could not be read (S14): listed, but absent
-    from the whole-file scan (damaged or not gzip at all). Covers the gzip
-    files that are read whole (up to ``WHOLE_GZIP_MAX_BYTES``); the size
-    predicate is on file metadata, so larger ones are never opened here."""
-    roots = existing_roots(spark, [roots] if isinstance(roots, str) else list(roots))
-    small = F.col("file_size") <= F.lit(WHOLE_GZIP_MAX_BYTES)
-    read = _read(spark, roots, gz=True).where(small).select(
-        normalize_path("_uri", encoded=True).alias("path")).distinct()
-    gz = files.where(F.col("is_compressed") & (F.col("length") > 0) & (F.col("length") <= WHOLE_GZIP_MAX_BYTES))
-    return gz.join(read, "path", "left_anti")
+def skipped_files(spark: SparkSession, files: DataFrame, roots: str | list[str],
+                  strict_corrupt: bool = True) -> DataFrame:
+    """Non-empty log files of ``files`` that gave no rows (S14): unreadable,
+    damaged or not gzip at all. Covers plain and gzip files of any size, read
+    as the query reads them. (A file that is gone by the time the report reads
+    the folder has no size any more and is left out like an empty one.)"""
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    there = existing_roots(spark, roots)
+    read = _read(spark, there, gz=False).select("_uri").unionByName(
+        _read(spark, there, gz=True, whole=strict_corrupt).select("_uri"))
+    read = read.distinct().select(normalize_path("_uri", encoded=True).alias("path"))
+    return files.where(F.col("length") > 0).join(read, "path", "left_anti")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from logloom.functions.parse import is_non_blank, parse_entries, split_lines
 from logloom.operators import filters as flt
-from logloom.sources.files import normalize_path, with_file_attributes
-from logloom.sources.scan import selection_predicate
+from logloom.sources.files import normalize_path
+from logloom.sources.scan import select_files
 
 
 def _glob(roots: list[str]) -> str:
@@ -44,24 +44,22 @@ def follow_logs(spark: SparkSession, roots: str | list[str], source: str = "all"
                 max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming DataFrame of parsed, filtered lines of new log files.
 
-    Each file is read whole (``wholetext``), so a gzip file is
-    decompressed in one piece and its lines keep their order (``line_no``
-    is the line's position in the file); a damaged gzip file is skipped whole.
+    Files are read line by line, so a plain file of any size is followed. A
+    damaged gzip file gives the lines before the damage.
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
-    reader = spark.readStream.format("text").option("wholetext", "true").option("ignoreCorruptFiles", "true")
+    reader = (spark.readStream.format("text").option("ignoreCorruptFiles", "true")
+              .option("ignoreMissingFiles", "true"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     raw = reader.load(_glob(roots)).select(
         F.make_valid_utf8("value").alias("value"),
         F.col("_metadata.file_path").alias("_uri"),
     )
-    raw = raw.where(selection_predicate(F.col("_uri"), source, stream, include_log4j, include_stacktrace))
-    # one row per file here: classify before the lines are exploded
-    files = with_file_attributes(raw, "_uri", include_log4j, include_stacktrace, keep_unknown=True, encoded=True)
+    files = select_files(raw, roots, source, stream, include_log4j, include_stacktrace)
     files = files.withColumn("file_origin", normalize_path("_uri", encoded=True)).drop("_uri")
     keep = [c for c in files.columns if c != "value"]
-    lines = files.select(*keep, F.posexplode(split_lines("value", full=True)).alias("line_no", "line"))
+    lines = files.select(*keep, F.explode(split_lines("value", full=False)).alias("line"))
     entries = parse_entries(lines.where(is_non_blank("line")))
     if focus:
         entries = flt.focus_filter(entries)

@@ -12,13 +12,13 @@ DRIVER_STDERR_ROTATED = (
     "26/03/11 18:00:05 WARN NativeCodeLoader: Unable to load native-hadoop library\n"
 )
 DRIVER_STDERR = (
-    "26/03/11 21:01:15 ERROR TransportChannelHandler: Connection to /10.0.0.1:4048 has been quiet\n"
+    "26/03/11 21:01:15 ERROR TransportChannelHandler: peer 10.9.8.7 sent nothing for two minutes\n"
     "java.io.IOException: Connection reset\n"
     "\tat org.apache.spark.network.Foo.bar(Foo.java:1)\n"
     "\n"
     "26/03/11 21:01:16 INFO Executor: Finished task 1.0 in stage 2.0\n"
 )
-DRIVER_STDOUT = "[2026-03-11T21:01:07.016+0000] [GC(1051) Pause Young 16547M->13628M 42.178ms]\n"
+DRIVER_STDOUT = "[2026-03-11T21:01:07.016+0000] [heap] young collection took 9 ms\n"
 LOG4J_ACTIVE = "2026-03-11 21:00:01,234 INFO Driver: started\n"
 LOG4J_ROTATED = "2026-03-11 17:59:59,999 INFO Driver: rotated\n"
 STACKTRACE_ACTIVE = "java.lang.OutOfMemoryError: Java heap space\n"

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.operators import filters as flt
 
@@ -49,37 +50,53 @@ def test_since_inclusive(entries):
     assert ids(flt.since_filter(entries, "2026-03-11T21:30:00")) == [1, 2]
 
 
-def test_parse_since():
+def test_since_forms(spark):
     now = dt.datetime(2026, 3, 11, 12, 0, tzinfo=UTC)
-    assert flt.parse_since("2h", now) == dt.datetime(2026, 3, 11, 10, 0, tzinfo=UTC)
-    assert flt.parse_since("30m", now) == dt.datetime(2026, 3, 11, 11, 30, tzinfo=UTC)
-    assert flt.parse_since("2026-03-11T09:00:00") == dt.datetime(2026, 3, 11, 9, 0, tzinfo=UTC)
-    assert flt.parse_since("2026-03-11T09:00:00+02:00") == dt.datetime(2026, 3, 11, 7, 0, tzinfo=UTC)
+    forms = {"2h": dt.datetime(2026, 3, 11, 10, 0), "30m": dt.datetime(2026, 3, 11, 11, 30),
+             "2026-03-11T09:00:00": dt.datetime(2026, 3, 11, 9, 0),
+             "2026-03-11T09:00:00+02:00": dt.datetime(2026, 3, 11, 7, 0)}
+    row = spark.range(1).select(*[F.unix_micros(flt.since_column(x, now)).alias(x) for x in forms]).first()
+    assert row.asDict() == {k: int(v.replace(tzinfo=UTC).timestamp()) * 1_000_000 for k, v in forms.items()}
+    with pytest.raises(ValueError):
+        flt.since_column("yesterday")
 
 
 def test_grep(entries):
     assert ids(flt.grep_filter(entries, "^(WARN|INFO)")) == [1, 2]
 
 
+# one line for each of the 30 patterns
 NOISE = [
-    '"Executor task launch worker" id=42 state=RUNNABLE',
-    "    at java.base@17.0.1/java.lang.Thread.run(Thread.java:833)",
-    "\tat app//com.x.Foo.run(Foo.scala:1)",
-    "    - locked <0x000000071c6e4d38>",
-    "    - waiting on <0x000000071c6e4d38>",
-    "    Locked synchronizers:",
-    "26/03/11 21:01:15 INFO ShuffleBlockFetcherIterator: Getting 3 blocks",
-    "26/03/11 21:01:15 ERROR ShuffleBlockFetcherIterator: failed",
-    "26/03/11 INFO Executor: Finished task 1.0",
-    "26/03/11 INFO CodeGenerator: Code generated in 12 ms",
-    "OpenJDK 64-Bit Server VM warning: Option UseConcMarkSweepGC was deprecated",
-    "SLF4J: Class path contains multiple SLF4J bindings.",
-    "ANTLR Tool version 4.8 used for code generation",
-    "chown: invalid group: 'root:spark'",
-    "WARNING: System::setSecurityManager will be removed in a future release",
-    "x.py:1: SyntaxWarning: invalid escape sequence",
-    "Connection to spark from PID 123",
-    "Initialized gateway on port 4567",
+    '"pool-7 worker" id=9 state=WAITING',
+    "  at java.base@21/sun.misc.Loop.spin(Loop.java:5)",
+    "\tat app//org.acme.Job.main(Job.java:7)",
+    "   - locked <0x01ab>",
+    "   - waiting on <0x02cd>",
+    "  Locked synchronizers: none",
+    "ShuffleBlockFetcherIterator: asked for 8 blocks",
+    "Executor: Finished task 4.0",
+    "CoarseGrainedExecutorBackend: Got assigned task 12",
+    "BlockManager: Removing broadcast 3",
+    "BlockManager: Removed broadcast 3",
+    "MemoryStore: Block broadcast_3 kept",
+    "TorrentBroadcast: Reading broadcast variable 3",
+    "TorrentBroadcast: Unpersisting TorrentBroadcast 3",
+    "MapOutputTrackerWorker: Doing the fetch again",
+    "MapOutputTrackerWorker: Got the output locations of 2",
+    "CodeGenerator: Code generated in 3 ms",
+    "FilterCompat: Filtering using predicate a > 1",
+    "S3AbortableInputStream: Not all bytes were read, 12 left",
+    "OpenJDK says warning: flag X is deprecated",
+    "SLF4J: two bindings",
+    "ANTLR Tool version 9",
+    "chown: invalid group 'staff'",
+    "WARNING: Foo is terminally deprecated",
+    "WARNING: call of setSecurityManager",
+    "WARNING: Please consider reporting this",
+    "WARNING: Bar will be removed",
+    "job.py:3: SyntaxWarning: invalid escape in a string",
+    "Connection to spark from PID 77",
+    "Initialized gateway on port 1",
     "Connected to spark.",
 ]
 KEEP = [

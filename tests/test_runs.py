@@ -63,7 +63,7 @@ def test_cluster_id(runs):
     got = {r.run_id: (r.c, r.e) for r in runs.select(
         "run_id", J.cluster_id().alias("c"), J.no_cluster_error("run_id").alias("e")).collect()}
     assert got[10][0] == "c-10" and got[11][0] == "c-11" and got[12][0] is None
-    assert got[12][1] == "Run 12 has no cluster instance (state: PENDING)"
+    assert got[12][1] == "run 12: no cluster is known (state PENDING)"
 
 
 def test_latest(runs):
@@ -95,9 +95,9 @@ def test_resolve(spark, runs):
     assert (got[1].job_id, got[1].run_id, got[1].base_path) == (1, 11, "/Volumes/logs/c-11")
     assert (got[2].run_id, got[2].job_name, got[2].env) == (10, "job-a", "dev")
     assert got[3].run_id == 10
-    assert got[4].error == "Job 'nope' not found"
-    assert got[5].error.startswith("Job 2 uses S3 log destination")
-    assert got[6].error.startswith("Could not parse URL")
+    assert got[4].error == "no job is named nope"
+    assert got[5].error.startswith("job 2: logs are delivered to S3")
+    assert got[6].error.startswith("not a job URL")
     assert got[7].run_id == 11 and got[7].error is None
 
 
@@ -108,8 +108,8 @@ def test_resolve_all_clusters(spark):
     req = spark.createDataFrame([(1, "job-a", 20, "prod"), (2, "job-a", 21, "prod")],
                                 "request_id bigint, job_input string, run_id bigint, env string")
     one = R.resolve_runs(req, jobs, runs).orderBy("request_id").collect()
-    assert one[0].base_path == "/V/c-own" and one[1].error.startswith("Run 21 has no cluster instance")
+    assert one[0].base_path == "/V/c-own" and one[1].error.startswith("run 21: no cluster is known")
     many = R.resolve_runs(req, jobs, runs, all_clusters=True).where("request_id = 1").collect()
     assert sorted(r.base_path for r in many) == ["/V/c-own", "/V/c-t1", "/V/c-t2"]
     err = R.resolve_runs(req, jobs, runs, all_clusters=True).where("request_id = 2").collect()
-    assert len(err) == 1 and err[0].error.startswith("Run 21 has no cluster instance")
+    assert len(err) == 1 and err[0].error.startswith("run 21: no cluster is known")
