@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import with_row_key
 
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 4500, 20_000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1200, 3500, 20_000
 # tokens the chain is fitted on, rounds of fitting, clean documents of the logistic layer
 FIT_TOKENS, FIT_ROUNDS, LAYER_CLEAN = 100_000, 60, 1500
 PIECE = 128
@@ -162,25 +162,36 @@ def _copies(ids: list[np.ndarray]) -> np.ndarray:
 def _toxic_features(words: list[bytes], ids: list[np.ndarray], toxic: np.ndarray) -> tuple[list, list, np.ndarray]:
     """Features met in 3 documents or more, each word's of them, and which are
     significantly toxic (binomial bound, corrected for the number tested)."""
-    index: dict[tuple[str, str], int] = {}
-    of_word = np.array([[index.setdefault(f, len(index)) for f in word_features(w)] for w in words])
+    names: list[tuple[str, str]] = []
+    index: dict[str, dict[str, int]] = {kind: {} for kind in ("word", *PARTS)}
+
+    def number_of(kind: str, string: str) -> int:
+        found = index[kind].get(string)
+        if found is None:
+            found = index[kind][string] = len(names)
+            names.append((kind, string))
+        return found
+
+    of_word = np.empty((len(words), 1 + len(PARTS)), np.int32)
+    for i, w in enumerate(words):
+        of_word[i] = [number_of(*f) for f in word_features(w)]
+    del index
     group = 2 * _copies(ids) + toxic
     seen = [np.unique(x) for x in ids]
     pairs = np.unique(np.repeat(group, [len(x) for x in seen]) * len(words) + np.concatenate(seen))
     of_group, of_pair = np.divmod(pairs, len(words))
-    met = np.unique((of_group[:, None] * len(index) + of_word[of_pair]).reshape(-1))
-    of_group, feature = np.divmod(met, len(index))
-    n = np.bincount(feature, minlength=len(index))
-    bad = np.bincount(feature[of_group % 2 == 1], minlength=len(index))
+    met = np.unique((of_group[:, None] * len(names) + of_word[of_pair]).reshape(-1))
+    of_group, feature = np.divmod(met, len(names))
+    n = np.bincount(feature, minlength=len(names))
+    bad = np.bincount(feature[of_group % 2 == 1], minlength=len(names))
     share, precision = np.mean(np.unique(group) % 2), bad / np.maximum(n, 1)
     p = np.clip(precision, 1e-9, 1 - 1e-9)
     bound = n * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))
     tested = max(1, int((n >= 3).sum()))
     strong = (precision >= PRECISION) & (bound >= np.log(20 * tested)) & (n >= 3)
     kept = np.flatnonzero(n >= 3)
-    number = np.full(len(index), -1)
+    number = np.full(len(names), -1)
     number[kept] = np.arange(len(kept))
-    names = list(index)
     features = [x[x >= 0] for x in number[of_word]]
     return [names[i] for i in kept], features, strong[kept]
 
@@ -194,7 +205,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     for text, label in zip(texts, toxic):
         words = tokens(text)
         if words:
-            ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words]))
+            ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32))
             labels.append(label)
     labels = np.array(labels, int)
     nothing = Model({}, 0.0, np.zeros((2, 2)), None, prior)
