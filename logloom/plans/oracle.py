@@ -91,16 +91,14 @@ keyed AS (
 
 
 # The log tree written by the file-scan queries: one file per run, source,
-# stream and rotation period (hours from the number of events).
-HOURLY_CTE = f"""period AS (
-  SELECT least({A.MAX_ROTATION_HOURS}, greatest(1, {A.ROTATION_NUMERATOR} // count(*))) AS h FROM events
-),
-entries_hourly AS (
-  SELECT e.* REPLACE (e.file_origin || '--' || strftime(make_timestamp(rs * 1000000), '%Y-%m-%d--%H')
-                      || CASE WHEN e.source_type = 'driver' THEN '-00' ELSE '' END AS file_origin),
-         make_timestamp(rs * 1000000) AS rot_start
-  FROM (SELECT *, ((epoch_us(event_ts) // 1000000) // (3600 * (SELECT h FROM period))) * 3600 * (SELECT h FROM period)
-               AS rs FROM entries) e
+# stream and day; the lines of its one damaged archive are lost.
+TREE_CTE = f"""entries_tree AS (
+  SELECT * REPLACE (file_origin || '--' || strftime(event_ts, '%Y-%m-%d') || '--00'
+                    || CASE WHEN source_type = 'driver' THEN '-00' ELSE '' END AS file_origin),
+         date_trunc('day', event_ts) AS rot_start
+  FROM entries
+  WHERE NOT (source_type = 'executor' AND day(event_ts) = {A.DAMAGED_DAY} AND run_key = '{A.DAMAGED_RUN}'
+             AND source_detail = '{A.DAMAGED_SOURCE}' AND stream = '{A.DAMAGED_STREAM}')
 )"""
 
 KEYED_CTE = keyed_cte() + """
@@ -249,9 +247,9 @@ FROM entries GROUP BY run_key""",
         "suggested_actions": _w(E, _classes(), f"actions(root_cause, action) AS (VALUES {actions})")
         + f"""SELECT k.run_key, k.root_cause, k.n_lines, coalesce(a.action, {_q(rules.UNCLEAR_ACTION)}) AS action
 FROM class_counts k LEFT JOIN actions a USING (root_cause)""",
-        "scan_tree": _w(E) + f"""SELECT run_key AS run, source_type, source_detail, stream, line, level,
-  CASE WHEN ts IS NULL THEN NULL ELSE {iso('ts')} END AS ts_iso FROM entries""",
-        "query_logs_tree": _w(E, HOURLY_CTE, keyed_cte("entries_hourly", "rot_start").rstrip(","))
+        "scan_tree": _w(E, TREE_CTE) + f"""SELECT run_key AS run, source_type, source_detail, stream, line, level,
+  CASE WHEN ts IS NULL THEN NULL ELSE {iso('ts')} END AS ts_iso FROM entries_tree""",
+        "query_logs_tree": _w(E, TREE_CTE, keyed_cte("entries_tree", "rot_start").rstrip(","))
         + "SELECT run_key AS run, source_type, source_detail, stream, line FROM ("
         + _tail_filter(f"{ok} AND level IN (40, 30)", C.TAIL_N) + ")",
         "flagship": _w(E, K) + f"""SELECT run_key, row_number() OVER (PARTITION BY run_key

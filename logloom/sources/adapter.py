@@ -314,91 +314,65 @@ def listing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # A real log tree written from events (for the file-scan path)
 # ---------------------------------------------------------------------------
-TREE_DIR = "logloom-trees-rotated"
-
-
-# Rotation period of the written tree: about 4e9 / n_events hours, between
-# one hour and 31 days, so that file count grows with the data (hourly
-# files at ~1e12 lines, one file per stream for small tables).
-ROTATION_NUMERATOR = 4_000_000_000
-MAX_ROTATION_HOURS = 744
-
-
-def rotation_hours(n_events: int) -> int:
-    return min(MAX_ROTATION_HOURS, max(1, ROTATION_NUMERATOR // max(n_events, 1)))
-
-
-def rotation_start(ts: Column, hours: int) -> Column:
-    """Start of the rotation period holding ``ts`` (UTC hours since epoch,
-    floored to a multiple of the period)."""
-    secs = F.unix_seconds(ts.cast("timestamp"))
-    return F.timestamp_seconds(F.floor(secs / F.lit(3600 * hours)) * F.lit(3600 * hours))
-
-
-def _relative_path(df: DataFrame, hours: int) -> Column:
-    """Rotated files named by the start of their period:
-    ``run-N/driver/<stream>--<yyyy-MM-dd>--<HH>-00`` or
-    ``run-N/executor/<app>/<N>/<stream>--<yyyy-MM-dd>--<HH>``."""
-    start = rotation_start(F.col("ts"), hours)
-    stamp = F.date_format(start, "yyyy-MM-dd--HH")
-    return F.when(
-        F.col("source_type") == "driver",
-        F.concat(F.col("run_key"), F.lit("/driver/"), F.col("stream"), F.lit("--"), stamp, F.lit("-00")),
-    ).otherwise(F.concat(F.col("run_key"), F.lit(f"/executor/{APP_ID}/"), F.col("source_detail"), F.lit("/"),
-                         F.col("stream"), F.lit("--"), stamp))
+TREE_DIR = "logloom-trees"
+N_RUNS = 4
+# Executor files of every GZ_EVERY-th day are gzipped; on DAMAGED_DAY one
+# file of that name holds plain text, so it is no archive and is dropped whole.
+GZ_EVERY = 4
+DAMAGED_DAY, DAMAGED_RUN, DAMAGED_SOURCE, DAMAGED_STREAM = 8, "run-0", "0", "stderr"
+
+
+def tree_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered lines with their file (``rel``) in a tree that rotates daily,
+    whatever the amount of data, and how it is to be written (``packed``)."""
+    events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    lines = render_events(events, extra=("ts",))
+    stamp = F.concat(F.lit("--"), F.date_format("ts", "yyyy-MM-dd"), F.lit("--00"))
+    executor = F.col("source_type") == "executor"
+    named_gz = executor & (F.dayofmonth("ts") % GZ_EVERY == 0)
+    damaged = (named_gz & (F.dayofmonth("ts") == DAMAGED_DAY) & (F.col("run_key") == DAMAGED_RUN)
+               & (F.col("source_detail") == DAMAGED_SOURCE) & (F.col("stream") == DAMAGED_STREAM))
+    driver_file = F.concat(F.col("run_key"), F.lit("/driver/"), F.col("stream"), stamp, F.lit("-00"))
+    executor_file = F.concat(F.col("run_key"), F.lit(f"/executor/{APP_ID}/"), F.col("source_detail"), F.lit("/"),
+                             F.col("stream"), stamp, F.when(named_gz, ".gz").otherwise(""))
+    return lines.select("line_no", "line", F.when(executor, executor_file).otherwise(driver_file).alias("rel"),
+                        (named_gz & ~damaged).alias("packed"))
 
 
 def materialize_log_tree(spark: SparkSession, sf_dir: str) -> list[str]:
-    """Write ``events`` as a log tree (rotated plain files per run, source
-    and stream, see ``rotation_hours``; lines in event order) under the
+    """Write ``events`` as a log tree (daily files per run, source and stream,
+    plain and gzipped, lines in event order) under a new folder of the
     session's checkpoint folder and return the run roots.
 
-    Spark writes the files (one task per file, rows sorted by line); the
-    driver only renames the part files into the log layout (metadata
-    operations). A finished tree for the same input is reused.
+    Spark writes one file per leaf folder; a log file must bear its own name,
+    so each is then moved up from its folder (a rename per file, as many as
+    there are rotated files). Every call reads ``events`` and writes anew.
     """
-    import hashlib
-    import os
     import uuid
+    from concurrent.futures import ThreadPoolExecutor
 
     from logloom.session import ensure_checkpoint_dir
 
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    key = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{TREE_DIR}/{key}"
-    base_path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = base_path.getFileSystem(conf)
-    done = jvm.org.apache.hadoop.fs.Path(base + "/_DONE")
-    runs = sorted({f"run-{i}" for i in range(4)})
-    if not fs.exists(done):
-        if fs.exists(base_path):  # an unfinished earlier attempt: start over
-            fs.delete(base_path, True)
-        tmp = f"{base}.tmp-{uuid.uuid4().hex[:8]}"
-        events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-        hours = rotation_hours(events.count())  # a parquet row count (footer metadata)
-        rendered = render_events(events, extra=("ts",))
-        lines = rendered.withColumn("rel", _relative_path(rendered, hours))
-        (lines.select("rel", "line_no", "line")
-         .repartition("rel")
-         .sortWithinPartitions("rel", "line_no")
-         .select("rel", "line")
-         .write.partitionBy("rel").text(tmp))
-        tmp_path = jvm.org.apache.hadoop.fs.Path(tmp)
-
-        def place(status) -> None:  # metadata calls only; run from a thread pool
-            rel = jvm.java.net.URLDecoder.decode(status.getPath().getName()[4:], "UTF-8")
-            parts = [x for x in fs.listStatus(status.getPath()) if x.getPath().getName().startswith("part-")]
-            for i, part in enumerate(parts):  # one part file per leaf by construction
-                target = jvm.org.apache.hadoop.fs.Path(f"{base}/{rel}" + ("" if i == 0 else f".{i}"))
-                fs.mkdirs(target.getParent())
-                fs.rename(part.getPath(), target)
-
-        from concurrent.futures import ThreadPoolExecutor
-
-        leaves = [st for st in fs.listStatus(tmp_path) if st.getPath().getName().startswith("rel=")]
-        with ThreadPoolExecutor(max_workers=16) as pool:
-            list(pool.map(place, leaves))
-        fs.delete(tmp_path, True)
-        fs.create(done).close()
-    return [f"{base}/{r}" for r in runs]
+    hadoop_path = jvm.org.apache.hadoop.fs.Path
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{TREE_DIR}/{uuid.uuid4().hex[:12]}"
+    fs = hadoop_path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    lines = tree_lines(spark, sf_dir).repartition("rel").sortWithinPartitions("rel", "line_no")
+    for packed, codec in ((False, "none"), (True, "gzip")):
+        # all lines of a file are in one task, and without a record limit in one part file
+        (lines.where(F.col("packed") == packed).select("rel", "line").write.partitionBy("rel")
+         .option("compression", codec).option("maxRecordsPerFile", "0").text(f"{base}/tmp-{codec}"))
+
+    def place(leaf) -> None:  # metadata calls only
+        rel = jvm.java.net.URLDecoder.decode(leaf.getName()[4:], "UTF-8")
+        parts = [x.getPath() for x in fs.listStatus(leaf) if x.getPath().getName().startswith("part-")]
+        target = hadoop_path(f"{base}/{rel}")
+        fs.mkdirs(target.getParent())
+        if len(parts) != 1 or not fs.rename(parts[0], target):
+            raise OSError(f"log file {rel} was not written as one part")
+
+    leaves = [x.getPath() for codec in ("none", "gzip") if fs.exists(hadoop_path(f"{base}/tmp-{codec}"))
+              for x in fs.listStatus(hadoop_path(f"{base}/tmp-{codec}")) if x.getPath().getName().startswith("rel=")]
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        list(pool.map(place, leaves))
+    return [f"{base}/run-{i}" for i in range(N_RUNS)]
