@@ -76,6 +76,14 @@ def with_file_order(files: DataFrame, path_col: str = "path") -> DataFrame:
 
 
 # ------------------------------------------------------------------- W3-W5
+def first_stamps(entries: DataFrame, order_col: str = "line_no") -> DataFrame:
+    """W4 of every file: (run_key, file_origin, first_us), its first known
+    timestamp in microseconds, or year 1; partly aggregated before the shuffle."""
+    us = F.unix_micros("timestamp")
+    first = F.min_by(us, F.when(us.isNotNull(), F.col(order_col)))
+    return entries.groupBy(*FILE_COLS).agg(F.coalesce(first, F.lit(FLOOR_MICROS)).alias("first_us"))
+
+
 def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Column | None = None,
                     block_rows: int = DEFAULT_BLOCK_ROWS, num_partitions: int | None = None,
                     stats_entries: DataFrame | None = None, within_block: Column | None = None) -> DataFrame:

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.parse import iso_timestamp, is_non_blank, level_name, split_lines
 from logloom.operators import filters as flt
 from logloom.operators import triage as tri
-from logloom.operators.merge import merge_sort_cols, rank_within, with_merge_keys
+from logloom.operators.merge import first_stamps, merge_sort_cols, rank_within, with_merge_keys
 from logloom.plans.query import query_entries
 from logloom.sinks.output import jsonl_line, text_line
 from logloom.sources import adapter
@@ -94,10 +94,8 @@ def q_grep_filter(spark, sf_dir):
 
 # ------------------------------------------------------------- W4/W5, O1-O2
 def q_file_first_timestamp(spark, sf_dir):
-    k = _keyed(spark, sf_dir).where(F.col("timestamp").isNull())
-    return k.groupBy("run_key", "file_origin").agg(F.min("ts_key").alias("_f")).select(
-        "run_key", "file_origin", iso_timestamp(F.timestamp_micros("_f")).alias("first_ts")
-    )
+    return first_stamps(_entries(spark, sf_dir)).select(
+        "run_key", "file_origin", iso_timestamp(F.timestamp_micros("first_us")).alias("first_ts"))
 
 
 def q_merge_order(spark, sf_dir):
@@ -205,8 +203,9 @@ def q_flagship(spark, sf_dir):
     """parse -> focus -> ERROR,WARN -> merge order -> last 50 per run, ranked."""
     out = query_entries(_entries(spark, sf_dir), focus=True, level="ERROR,WARN", tail=50, ordered=False,
                         block=F.floor(F.col("line_no") / QUERY_BLOCK_ROWS))
-    ranked = rank_within(out, ["run_key"], merge_sort_cols()[1:], "merge_rank")
-    return ranked.select("run_key", "merge_rank", "line_no", text_line().alias("text"))
+    # the tail left 50 rows of a run at most
+    ranked = out.withColumn("merge_rank", F.row_number().over(Window.partitionBy("run_key").orderBy(*merge_sort_cols()[1:])))
+    return ranked.select("run_key", F.col("merge_rank").cast("bigint").alias("merge_rank"), "line_no", text_line().alias("text"))
 
 
 LOG_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -243,12 +242,7 @@ LOG_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = dict(LOG_QUERIES)
-    try:
-        from logloom.plans.catalog_runs import RUN_QUERIES
-
-        out.update(RUN_QUERIES)
-    except ImportError:  # pragma: no cover - during bootstrap
-        pass
-    return out
+    from logloom.plans.catalog_runs import RUN_QUERIES
+    from logloom.plans.catalog_tree import TREE_QUERIES
 
+    return {**LOG_QUERIES, **RUN_QUERIES, **TREE_QUERIES}

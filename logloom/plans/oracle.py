@@ -192,8 +192,9 @@ def log_oracles() -> dict[str, str]:
         "focus_report": _w(E) + f"SELECT run_key, count(*) FILTER (WHERE {_noise()}) AS removed, "
         f"count(*) FILTER (WHERE {ok}) AS remaining FROM entries GROUP BY run_key",
         "grep_filter": _w(E) + f"SELECT line_no, line FROM entries WHERE regexp_matches(line, {_q(C.GREP)})",
-        "file_first_timestamp": _w(E, K) + f"SELECT run_key, file_origin, {iso('min(ts_key)')} AS first_ts "
-        "FROM keyed WHERE ts IS NULL GROUP BY run_key, file_origin",
+        "file_first_timestamp": _w(E) + f"""SELECT run_key, file_origin,
+  coalesce({iso("arg_min(ts, line_no) FILTER (WHERE ts IS NOT NULL)")}, '0001-01-01T00:00:00+00:00') AS first_ts
+FROM entries GROUP BY run_key, file_origin""",
         "merge_order": _w(E, K) + f"SELECT run_key, line_no, file_origin, {iso('merge_ts')} AS merge_ts, "
         "merge_rank FROM ranked",
         "tail": _w(E, K) + "SELECT run_key, line_no, line FROM ("
@@ -259,11 +260,7 @@ FROM ({_tail_filter(f"{ok} AND level IN (40, 30)", 50)})""",
 
 
 def all_oracles() -> dict[str, str]:
-    out = log_oracles()
-    try:
-        from logloom.plans.oracle_runs import run_oracles
-
-        out.update(run_oracles())
-    except ImportError:  # pragma: no cover - during bootstrap
-        pass
-    return out
+    from logloom.plans.oracle_runs import listing_cte, run_oracles
+    from logloom.plans.oracle_tree import tree_oracles
+
+    return {**log_oracles(), **run_oracles(), **tree_oracles(f"WITH {listing_cte()} SELECT path FROM listing")}
