@@ -51,7 +51,7 @@ def test_base_matches_equal_plain_patterns(docs):
 def test_long_runs_are_linear(docs):
     texts = ["a" * 200_000, "1" * 100_000, "1." * 60_000, "x@" + "a." * 60_000, "+" + "1" * 50_000, "a@b.c" * 5_000]
     rows = sorted(pii.find_personal_data(docs(*texts)).collect(), key=lambda r: r.doc_id)
-    assert [len(base_of(r)) for r in rows[:5]] == [0, 0, 0, 1, 0]
+    assert [len(base_of(r)) for r in rows[:5]] == [0, 0, 15_000, 1, 0]
     assert base_of(rows[3]) == brute(texts[3])
     assert len(base_of(rows[5])) == len(brute(texts[5]))
 
