@@ -23,6 +23,7 @@ the number of sequences as it is; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,8 +36,8 @@ from logloom.llm.common import materialise, with_row_key
 
 SALTS = 64
 # words whose ids a worker remembers (about 200 bytes each), in two generations
-CACHE_WORDS = 250_000
-DOCS_AT_ONCE = 128
+CACHE_WORDS = 500_000
+DOCS_AT_ONCE = 256
 # separators of str.split that the tokenizer does not take as white space
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -58,25 +59,40 @@ class WordEncoder:
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.new) > CACHE_WORDS:
             self.old, self.new = self.new, {}
         whole = [any(c in t for c in _NOT_SPACE) for t in texts]
         split = [[] if w else t.split() for t, w in zip(texts, whole)]
-        known = self.new
-        missing = list(set().union(*split) - known.keys())
+        ids = self._ids_of(set().union(*split))
+        return [self._encoded([t])[0] if w else b"".join(map(ids.__getitem__, s))
+                for t, s, w in zip(texts, split, whole)]
+
+    def _ids_of(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of every word. A full stop or comma after a letter is a token
+        run of its own, and case is dropped, so such words share the ids of
+        their core, and only cores are remembered."""
+        cores = {}
+        for w in words:
+            core = w[:-1] if w[-1] in ".," and w[-2:-1].isalpha() else w
+            cores[w] = core.lower() if core.isascii() and core.isalpha() else core
+        ids = {c: self.new.get(c) for c in {".", ",", *cores.values()}}
         unknown = []
-        for w in missing:
-            ids = self.old.get(w)
-            if ids is None:
-                unknown.append(w)
+        for c in [c for c, found in ids.items() if found is None]:
+            found = self.old.get(c)
+            if found is None:
+                unknown.append(c)
             else:
-                known[w] = ids
-        known.update(zip(unknown, self._encoded(unknown)))
-        return [self._encoded([t])[0] if w else b"".join([known[x] for x in s])
-                for t, s, w in zip(texts, split, whole)]
+                ids[c] = self.new[c] = found
+        fresh = dict(zip(unknown, self._encoded(unknown)))
+        self.new.update(fresh)
+        ids.update(fresh)
+        for w, core in cores.items():
+            if w is not core:
+                ids[w] = ids[core] if len(core) == len(w) else ids[core] + ids[w[-1]]
+        return ids
 
 
 @lru_cache(maxsize=1)
