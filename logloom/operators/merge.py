@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 
 FILE_COLS = ["run_key", "file_origin"]
 DEFAULT_BLOCK_ROWS = 1 << 20
+# Blocks whose prefix is taken together, and the usual bytes of a file split.
+BLOCKS_PER_GROUP = 1000
+SPLIT_BYTES = 128 << 20
 _EPOCH = _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc)
 # Year 1 (the floor key of a file without any timestamp) and the largest
 # timestamp (sort key of an active file), as epoch microseconds.
@@ -114,6 +117,9 @@ def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Colum
 
         stats_entries = multi_block_lines(entries.sparkSession, entries)
 
+    # blocks are numbered one by one, or by their first byte
+    group_span = BLOCKS_PER_GROUP * (SPLIT_BYTES if scanned else 1)
+
     def keyed(df: DataFrame) -> DataFrame:
         blk = block if block is not None else F.floor(F.col(order_col) / F.lit(block_rows))
         return df.withColumn("_blk", blk).withColumn("_us", F.unix_micros("timestamp"))
@@ -131,17 +137,28 @@ def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Colum
         F.min_by(us, F.when(us.isNotNull(), inner)).alias("_bfirst"),
         F.max(us.isNull()).alias("_bnull"),
     )
-    w_file = Window.partitionBy(*FILE_COLS).orderBy("_blk")
-    w_before = w_file.rowsBetween(Window.unboundedPreceding, -1)
+    # prefix over the blocks of a file in two levels: inside groups of blocks,
+    # then over the groups, so that not even a file's block table is one task
+    blocks = blocks.withColumn("_grp", F.floor(F.col("_blk") / F.lit(group_span)))
+    group_cols = FILE_COLS + ["_grp"]
+    groups = blocks.groupBy(*group_cols).agg(
+        F.max("_bmax").alias("_gmax"),
+        F.min_by("_bfirst", F.when(F.col("_bfirst").isNotNull(), F.col("_blk"))).alias("_gfirst"),
+        F.max("_bnull").alias("_gnull"),
+    )
+    over_groups = Window.partitionBy(*FILE_COLS).orderBy("_grp")
+    earlier = over_groups.rowsBetween(Window.unboundedPreceding, -1)
+    whole = over_groups.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    groups = groups.select(
+        *group_cols, F.first("_gfirst", ignorenulls=True).over(whole).alias("_ffirst"),
+        F.max("_gmax").over(earlier).alias("_gcmax"), F.max("_gnull").over(earlier).alias("_gcnull"))
+    w_before = Window.partitionBy(*group_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
-        blocks.withColumn(
-            "_ffirst",
-            F.first("_bfirst", ignorenulls=True).over(w_file.rowsBetween(Window.unboundedPreceding,
-                                                                         Window.unboundedFollowing)),
-        )
-        .withColumn("_cmax", F.max("_bmax").over(w_before))
-        .withColumn("_cnull", F.max("_bnull").over(w_before))
-        .select(*part_cols, "_ffirst", "_cmax", "_cnull")
+        blocks.select(*part_cols, "_grp", F.max("_bmax").over(w_before).alias("_cmax"),
+                      F.max("_bnull").over(w_before).alias("_cnull"))
+        .join(groups, group_cols)
+        .select(*part_cols, "_ffirst", F.greatest("_cmax", "_gcmax").alias("_cmax"),
+                (F.coalesce("_cnull", F.lit(False)) | F.coalesce("_gcnull", F.lit(False))).alias("_cnull"))
     )
 
     w_block = Window.partitionBy(*part_cols).orderBy(inner)

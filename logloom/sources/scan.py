@@ -183,10 +183,9 @@ def single_split_bytes(spark: SparkSession) -> int:
 
 def multi_block_lines(spark: SparkSession, entries: DataFrame) -> DataFrame:
     """Lines of files that may span several splits: plain files above the
-    single-split size. Lines of other files are dropped right after the
-    read, before any parsing, so the merge pre-pass parses only these
-    files. (The same scan is kept so that both passes see the same file
-    splits: split size depends on the total bytes scanned.)"""
+    single-split size. The other files are read by the pre-pass as well (both
+    passes must see the same splits, and split size depends on the bytes
+    scanned); their lines are dropped before they are parsed."""
     return entries.where(~F.col("is_compressed") & (F.col("file_size") > F.lit(single_split_bytes(spark))))
 
 

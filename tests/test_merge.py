@@ -130,8 +130,9 @@ def test_file_order(spark):
                    "/r/executor/app-1/10/stderr"]
 
 
-def test_hot_file_many_blocks(spark):
-    """One file with most of the rows, split into 40 blocks, plus small files."""
+def test_hot_file_many_blocks(spark, monkeypatch):
+    """One file with most of the rows, split into 40 blocks (14 groups), plus small files."""
+    monkeypatch.setattr("logloom.operators.merge.BLOCKS_PER_GROUP", 3)
     import random
 
     rnd = random.Random(7)
