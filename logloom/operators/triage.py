@@ -144,8 +144,12 @@ def run_compare(counts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------- A7
-def error_timeline(entries: DataFrame) -> DataFrame:
-    """First/last error, first/last line time, and the spans between them."""
+def error_timeline(entries: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """First/last error, the run's start and end, and the spans between them.
+
+    With ``runs`` (run_key, start_time, end_time in epoch milliseconds, as a
+    resolved run has them) start and end are the run's own; a run without
+    them there, or without ``runs``, falls back to its first and last line."""
     ts = F.col("timestamp")
     is_err = F.col("level") == ERROR
     agg = entries.groupBy("run_key").agg(
@@ -154,6 +158,11 @@ def error_timeline(entries: DataFrame) -> DataFrame:
         F.min(F.when(is_err, ts)).alias("_first"),
         F.max(F.when(is_err, ts)).alias("_last"),
     )
+    if runs is not None:
+        own = runs.groupBy("run_key").agg(F.min("start_time").alias("_s"), F.max("end_time").alias("_e"))
+        agg = agg.join(own, "run_key", "left").withColumns({
+            "_start": F.coalesce(F.timestamp_millis("_s"), "_start"), "_end": F.coalesce(F.timestamp_millis("_e"), "_end")})
+
     def secs(a: str, b: str) -> Column:
         return F.expr(f"(unix_micros({a}) - unix_micros({b})) div 1000000")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.parse import iso_timestamp, parse_timestamp
 from logloom.operators import filters as flt
+from logloom.operators import triage as tri
 from logloom.plans.query import query_entries, query_logs_report
 from logloom.session import ensure_checkpoint_dir
 from logloom.sinks.output import write_entries
@@ -108,6 +109,14 @@ def q_write_read_jsonl(spark, sf_dir):
     return spark.read.text(path).select(F.col("value").alias("json"))
 
 
+def q_run_timeline(spark, sf_dir):
+    """Timelines against the runs' own times, taken from orders."""
+    raw = adapter.runs_raw_table(spark, sf_dir)
+    runs = raw.select(F.concat(F.lit("run-"), (F.col("run_id") % adapter.N_RUNS).cast("string")).alias("run_key"),
+                      "start_time", "end_time")
+    return tri.error_timeline(adapter.log_entries(spark, sf_dir), runs)
+
+
 def q_since_relative(spark, sf_dir):
     return flt.since_filter(adapter.log_entries(spark, sf_dir), SINCE_AGO, SINCE_NOW).select("line_no")
 
@@ -149,6 +158,7 @@ TREE_QUERIES = {
     "follow_tree": q_follow_tree,
     "tail_one_stream": q_tail_one_stream,
     "write_read_jsonl": q_write_read_jsonl,
+    "run_timeline": q_run_timeline,
     "since_relative": q_since_relative,
     "noise_patterns": q_noise_patterns,
     "timestamp_fallbacks": q_timestamp_fallbacks,

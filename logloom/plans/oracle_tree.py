@@ -4,7 +4,8 @@ fallback stamps are stated outright, not taken from ``rules.py``."""
 from __future__ import annotations
 
 from logloom.plans import catalog_tree as C
-from logloom.plans.oracle import ENTRIES_CTE, KEYED_CTE, TREE_CTE, _w, log_oracles
+from logloom.plans.oracle import ENTRIES_CTE, KEYED_CTE, TREE_CTE, _w, iso, log_oracles
+from logloom.plans.oracle_runs import _runs_cte
 from logloom.sources import adapter as A
 
 
@@ -31,6 +32,16 @@ FROM entries GROUP BY run_key, source_type, source_detail, stream""",
         "tail_one_stream": _w(ENTRIES_CTE, KEYED_CTE) + f"""SELECT run_key, line_no, line FROM keyed WHERE level = 40
 ORDER BY run_key DESC, merge_ts DESC, file_idx DESC, line_no DESC LIMIT {C.TAIL_ONE_N}""",
         "write_read_jsonl": f"SELECT json FROM ({log_oracles()['format_jsonl']})",
+        "run_timeline": _w(ENTRIES_CTE, _runs_cte(), f"""own AS (
+  SELECT 'run-' || (run_id % {A.N_RUNS})::VARCHAR AS run_key, make_timestamp(min(start_time) * 1000) AS s,
+         make_timestamp(max(end_time) * 1000) AS e FROM runs GROUP BY 1),
+t AS (
+  SELECT run_key, coalesce(any_value(own.s), min(ts)) AS s, coalesce(any_value(own.e), max(ts)) AS e,
+         min(ts) FILTER (WHERE level = 40) AS f, max(ts) FILTER (WHERE level = 40) AS l
+  FROM entries LEFT JOIN own USING (run_key) GROUP BY run_key)""") + f"""SELECT run_key, {iso('s')} AS run_start, {iso('e')} AS run_end,
+  {iso('f')} AS first_error, {iso('l')} AS last_error,
+  trunc((epoch_us(f) - epoch_us(s)) / 1000000)::BIGINT AS secs_to_first_error,
+  trunc((epoch_us(e) - epoch_us(s)) / 1000000)::BIGINT AS run_secs FROM t""",
         "since_relative": _w(ENTRIES_CTE) + f"""SELECT line_no FROM entries
 WHERE ts >= TIMESTAMP '{since}' - INTERVAL 36 HOUR""",
         "noise_patterns": f"""SELECT event_id, line, noise FROM events
