@@ -15,8 +15,8 @@ more, is generalised in that entity's contexts, and removed from
 exclusive.
 
 Defined results: a null or empty text has no spans; matches of one kind never
-overlap, kinds may; repeated rows count as one document and get equal rows; an
-empty table gives an empty result.
+overlap, kinds may; repeated rows count as documents of their own and get equal
+rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -81,15 +81,17 @@ def _matches(kind: str) -> Column:
 
 
 def base_matches(docs: DataFrame) -> DataFrame:
-    """(rid, kind, start, end, value, before, after) of the base kinds."""
+    """(rid, copies, kind, start, end, value, before, after) of the base kinds;
+    copies: how often the row is there."""
     rows = with_row_key(docs).select("rid", F.concat(*[_matches(k) for k in PATTERNS]).alias("found"))
-    rows = rows.where(F.size("found") > 0).dropDuplicates(["rid"])
-    rows = rows.select("rid", F.posexplode("found").alias("i", "m")).select("rid", "i", "m.*")
+    rows = rows.where(F.size("found") > 0).groupBy("rid").agg(F.count("*").alias("copies"), F.first("found").alias("found"))
+    rows = rows.select("rid", "copies", F.posexplode("found").alias("i", "m")).select("rid", "copies", "i", "m.*")
     upto = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     size = F.char_length("value")
     end = F.sum(F.col("gap") + size).over(upto)
     rows = rows.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - size)
-    return rows.where(_valid(F.col("kind"), F.col("value"))).select("rid", "kind", "start", "end", "value", "before", "after")
+    rows = rows.where(_valid(F.col("kind"), F.col("value")))
+    return rows.select("rid", "copies", "kind", "start", "end", "value", "before", "after")
 
 
 def _terms(side: str, at: Column, first_whole: Column, last_whole: Column) -> Column:
@@ -108,37 +110,37 @@ def _terms(side: str, at: Column, first_whole: Column, last_whole: Column) -> Co
 
 
 def context_terms(base: DataFrame) -> DataFrame:
-    """(rid, entity, term, start, end): terms in the contexts of base matches.
+    """(rid, copies, entity, term, start, end): terms in the contexts of base matches.
     A context that is cut inside a word loses that word."""
     before, after = F.char_length("before"), F.char_length("after")
     left = _terms("before", F.col("start") - before, before < CONTEXT, F.lit(True))
     right = _terms("after", F.col("end"), F.lit(True), after < CONTEXT)
-    rows = base.select("rid", F.concat_ws(":", "kind", "value").alias("entity"), F.explode(F.concat(left, right)).alias("t"))
-    return rows.select("rid", "entity", "t.term", "t.start", "t.end").distinct()
+    rows = base.select("rid", "copies", F.concat_ws(":", "kind", "value").alias("entity"), F.explode(F.concat(left, right)).alias("t"))
+    return rows.select("rid", "copies", "entity", "t.term", "t.start", "t.end").distinct()
 
 
 def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, docs): in how many documents of the corpus each of ``terms`` is."""
     words = F.array_distinct(F.split(F.lower(F.col("text")), r"\P{L}+", -1))
-    found = with_row_key(docs).select("rid", F.explode(words).alias("term")).where(F.char_length("term") >= MIN_TERM)
+    found = with_row_key(docs).select(F.explode(words).alias("term")).where(F.char_length("term") >= MIN_TERM)
     few = terms.count() <= BROADCAST_TERMS
-    # rows that repeat doc_id and text are one document
-    return (found.join(F.broadcast(terms) if few else terms, "term")
-            .groupBy("term").agg(F.count_distinct("rid").alias("docs")))
+    return found.join(F.broadcast(terms) if few else terms, "term").groupBy("term").agg(F.count("*").alias("docs"))
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     """(rid, start, end, disclosure, share): term occurrences whose disclosure
     of an entity is above the thresholds."""
     contexts = materialise(context_terms(base), "context_terms")
-    together = contexts.groupBy("term", "entity").agg(F.count_distinct("rid").alias("both")).where(F.col("both") >= MIN_DOCS)
+    together = (contexts.select("rid", "copies", "term", "entity").distinct().groupBy("term", "entity")
+                .agg(F.sum("copies").alias("both")).where(F.col("both") >= MIN_DOCS))
     together = materialise(together, "term_entities")
     in_docs = materialise(term_documents(docs, together.select("term").distinct()), "term_documents")
-    entities = base.groupBy(F.concat_ws(":", "kind", "value").alias("entity")).agg(F.count_distinct("rid").alias("entity_docs"))
-    corpus = docs.agg(F.count("*").alias("n_docs"))  # one row
-    scored = (together.join(in_docs, "term").join(entities, "entity").crossJoin(F.broadcast(corpus))
+    entities = base.select("rid", "copies", F.concat_ws(":", "kind", "value").alias("entity")).distinct()
+    entities = entities.groupBy("entity").agg(F.sum("copies").alias("entity_docs"))
+    n_docs = docs.count()
+    scored = (together.join(in_docs, "term").join(entities, "entity")
               .withColumn("share", F.col("both") / F.col("docs"))
-              .withColumn("disclosure", F.log2(F.col("share") * F.col("n_docs") / F.col("entity_docs")))
+              .withColumn("disclosure", F.log2(F.col("share") * F.lit(n_docs) / F.col("entity_docs")))
               .where((F.col("share") >= GENERALISE) & (F.col("disclosure") >= BITS)))
     chosen = materialise(scored.select("term", "entity", "share", "disclosure"), "disclosing_terms")
     return (contexts.join(chosen, ["term", "entity"]).groupBy("rid", "start", "end")
