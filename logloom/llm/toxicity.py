@@ -147,6 +147,13 @@ def aggregate(probs: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.ones(len(probs)), np.log(top / (1 - top)), np.log(0.05 + mass), np.log(1e-3 + share)], 1)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers, by an in-place sort: no table beside them."""
+    x = x.reshape(-1)
+    x.sort()
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def _copies(ids: list[np.ndarray]) -> np.ndarray:
     """A number for each document that near copies mostly share: the least
     hash of its runs of three words."""
@@ -178,9 +185,9 @@ def _toxic_features(words: list[bytes], ids: list[np.ndarray], toxic: np.ndarray
     del index
     group = 2 * _copies(ids) + toxic
     seen = [np.unique(x) for x in ids]
-    pairs = np.unique(np.repeat(group, [len(x) for x in seen]) * len(words) + np.concatenate(seen))
+    pairs = _distinct(np.repeat(group, [len(x) for x in seen]) * len(words) + np.concatenate(seen))
     of_group, of_pair = np.divmod(pairs, len(words))
-    met = np.unique((of_group[:, None] * len(names) + of_word[of_pair]).reshape(-1))
+    met = _distinct(of_group[:, None] * len(names) + of_word[of_pair])
     of_group, feature = np.divmod(met, len(names))
     n = np.bincount(feature, minlength=len(names))
     bad = np.bincount(feature[of_group % 2 == 1], minlength=len(names))
