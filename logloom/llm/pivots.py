@@ -1,14 +1,20 @@
 """Embedding near-dedup with a pivot-permutation index.
 
 Reference points (pivots) are chosen farthest-first from a bounded sample of
-``SAMPLE`` vectors. Every vector is described by its ``PREFIX`` nearest pivots
-in order and is posted to the inverted list of each, per label and dimension.
-Inside a list, vectors that share at least ``SHARED`` pivots are candidates
-(counted only in the list of their first common pivot) and are verified by
-cosine in double precision. Exact copies are one entry with a count. A list of
-more than ``BLOCK`` entries is cut into blocks and dealt as pairs of blocks, so
-no task holds a hot list and no pair is dropped. A task returns one row per
-linked entry (its links, and the least entry it reaches there), never pairs.
+``SAMPLE`` vectors. Every vector orders the pivots by distance and is posted,
+per label and dimension, to the inverted list of the nearest (its home) and to
+those that a link can have as home: if unit vectors a and b link, they are at
+most r = sqrt(2 - 2 threshold) apart, so b cannot lie further than r beyond the
+plane that bounds the cell of a's home. The prefix of pivots is therefore as
+long as the vector needs, and no link is lost, whatever the data; vectors that
+crowd together share more lists and cost more comparisons.
+
+A list compares its home vectors with each other and with its guests, all in
+double precision; a pair of different homes meets in the lower-numbered list
+only. Exact copies are one entry with a count. Home and guest vectors of a list
+are cut into blocks of about ``BLOCK`` and dealt as pairs of blocks, so no task
+holds a hot list and no pair is dropped. A task returns one row per linked
+entry (its links, and the least entry it reaches there), never pairs.
 
 Defined results: a null label, and a vector that is null, empty, zero or has
 null or non-finite components, links with nothing; vectors of different
@@ -30,8 +36,10 @@ from pyspark.sql import types as T
 from logloom.llm.common import materialise
 from logloom.llm.components import connected_components
 
-SAMPLE, PIVOTS, PREFIX, SHARED = 2048, 128, 6, 2
+SAMPLE, PIVOTS = 2048, 64
 BLOCK = 256
+# what rounding may add to a distance
+ROUNDING = 1e-6
 
 
 def unit_rows(m: np.ndarray) -> np.ndarray:
@@ -53,9 +61,15 @@ def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
     return x[chosen]
 
 
-def permutation_prefixes(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
-    """The nearest pivots of every unit row, in order."""
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int32)
+def permutation_prefixes(x: np.ndarray, pivots: np.ndarray, reach: float) -> list[np.ndarray]:
+    """The lists of every unit row: its nearest pivot, then the pivots of lower
+    number whose cells come within ``reach`` of it."""
+    dots, rows = x @ pivots.T, np.arange(len(x))
+    home = dots.argmax(axis=1)
+    apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
+    near = dots[rows, home][:, None] - dots <= (reach + ROUNDING) * apart[home] + ROUNDING
+    near &= np.arange(len(pivots)) < home[:, None]
+    return [np.concatenate(([h], np.flatnonzero(n))).astype(np.int32) for h, n in zip(home, near)]
 
 
 def usable(label: str, embedding: str) -> Column:
@@ -71,53 +85,58 @@ def prepared(vectors: DataFrame) -> DataFrame:
             .withColumn("class", F.when(F.col("ok"), F.xxhash64("label", "embedding"))))
 
 
-def postings(entries: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Inverted lists: one row per entry and pivot of its prefix (a single list
-    for a dimension that the sample did not meet)."""
+def postings(entries: DataFrame, pivots: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """The entries with their lists, home first (a single list for a dimension
+    that the sample did not meet)."""
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch["dim"].to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 x = part["embedding"].flatten().to_numpy().reshape(-1, dim)
-                prefix = (permutation_prefixes(unit_rows(x), pivots[dim]) if dim in pivots
-                          else np.zeros((len(x), 1), np.int32))
-                rows = part.take(pa.array(np.repeat(np.arange(len(x)), prefix.shape[1])))
-                lists = pa.ListArray.from_arrays(
-                    np.arange(0, prefix.size * prefix.shape[1] + 1, prefix.shape[1], dtype=np.int32),
-                    np.repeat(prefix, prefix.shape[1], axis=0).reshape(-1))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(prefix.reshape(-1)), lists],
-                                                 [*rows.schema.names, "pivot", "prefix"])
+                lists = (permutation_prefixes(unit_rows(x), pivots[dim], reach) if dim in pivots
+                         else [np.zeros(1, np.int32)] * len(x))
+                offsets = np.concatenate(([0], np.cumsum([len(one) for one in lists]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.ListArray.from_arrays(offsets, np.concatenate(lists))],
+                    [*part.schema.names, "lists"])
 
-    more = [T.StructField("pivot", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.IntegerType()))]
-    return entries.mapInArrow(post, T.StructType([*entries.schema.fields, *more]))
+    more = T.StructField("lists", T.ArrayType(T.IntegerType()))
+    return entries.mapInArrow(post, T.StructType([*entries.schema.fields, more]))
 
 
 def cells(posted: DataFrame) -> DataFrame:
-    """Cut large lists into blocks and deal every pair of blocks as a cell."""
-    sizes = materialise(posted.groupBy("label", "dim", "pivot").agg(F.count("*").alias("n")), "list_sizes")
-    dealt = posted.join(sizes, ["label", "dim", "pivot"])
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class", "pivot"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cell = F.xxhash64("label", "dim", "pivot", F.least("block", "other"), F.greatest("block", "other"))
-    return dealt.select(cell.alias("cell"), "pivot", "block", F.least("block", "other").alias("i"),
-                        F.greatest("block", "other").alias("j"), "class", "copies", "prefix", "embedding")
-
-
-def cell_links(x: np.ndarray, has: np.ndarray, pivot: int, side: np.ndarray, copies: np.ndarray, nodes: np.ndarray,
+    """Cut the home and the guest vectors of every list into blocks and deal
+    each pair of blocks with a home block as a cell."""
+    listed = posted.select("*", F.posexplode("lists").alias("nth", "pivot")).drop("lists")
+    listed = listed.withColumn("guest", F.col("nth") > 0).drop("nth")
+    sizes = listed.groupBy("label", "dim", "pivot").agg(
+        F.count_if(~F.col("guest")).alias("homes"), F.count_if("guest").alias("guests"))
+    dealt = listed.join(materialise(sizes.where("homes > 0"), "list_sizes"), ["label", "dim", "pivot"])
+    homes, guests = (F.ceil(F.col(n) / BLOCK).cast("int") for n in ("homes", "guests"))
+    hashed = F.xxhash64("class", "pivot")
+    dealt = dealt.withColumn("block", F.when(F.col("guest"), homes + F.pmod(hashed, F.greatest(guests, F.lit(1))))
+                             .otherwise(F.pmod(hashed, homes)).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(
+        F.lit(0), F.when(F.col("guest"), homes - 1).otherwise(homes + guests - 1))))
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    cell = F.xxhash64("label", "dim", "pivot", i, j)
+    return dealt.select(cell.alias("cell"), "block", i.alias("i"), j.alias("j"), "class", "copies", "embedding")
+
+
+def cell_links(x: np.ndarray, side: np.ndarray, across: bool, copies: np.ndarray, nodes: np.ndarray,
                threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, links, root) of the entries that link in a cell. has: entry x
-    pivot; side: block of the entries (two blocks: only pairs across)."""
+    """(rows, links, root) of the entries that link in a cell. side: which of
+    its blocks the entries are of; across: a cell of two blocks, where only
+    pairs across them count."""
     size = np.sqrt(np.einsum("ij,ij->i", x, x))
     close = (x @ x.T) / (size[:, None] * size[None]) >= threshold
     np.fill_diagonal(close, False)
-    if side.any() and not side.all():
+    if across:
         close &= side[:, None] != side[None]
     a, b = np.nonzero(close)
-    common = has[a] & has[b]
-    wanted = (common.sum(axis=1) >= SHARED) & (common.argmax(axis=1) == pivot) if has.shape[1] > 1 else np.ones(len(a), bool)
-    a, b = a[wanted], b[wanted]
     if not len(a):
         return np.empty(0, int), np.empty(0, int), np.empty(0, nodes.dtype)
     links = np.bincount(a, copies[b], len(x)).astype(np.int64)
@@ -132,18 +151,14 @@ def cell_links(x: np.ndarray, has: np.ndarray, pivot: int, side: np.ndarray, cop
     return rows, links[rows], root[rows]
 
 
-def verified(dealt: DataFrame, pivots: dict[int, np.ndarray], threshold: float) -> DataFrame:
+def verified(dealt: DataFrame, threshold: float) -> DataFrame:
     """(class, links, root): what every cell found."""
     def check(rows: pa.Table, out: list) -> None:
-        prefix, dim = rows["prefix"].combine_chunks(), len(rows["embedding"][0])
-        width = max(1, len(pivots.get(dim, ())))
-        has = np.zeros((rows.num_rows, width), bool)
-        lens = np.diff(prefix.offsets.to_numpy())
-        has[np.repeat(np.arange(rows.num_rows), lens), prefix.flatten().to_numpy()] = True
+        dim = len(rows["embedding"][0])
         x = rows["embedding"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
         side = rows["block"].to_numpy() != rows["i"].to_numpy()
-        nodes = rows["class"].to_numpy()
-        at, links, root = cell_links(x, has, rows["pivot"][0].as_py(), side, rows["copies"].to_numpy(), nodes, threshold)
+        across, nodes = rows["i"][0] != rows["j"][0], rows["class"].to_numpy()
+        at, links, root = cell_links(x, side, across, rows["copies"].to_numpy(), nodes, threshold)
         out.append((nodes[at], links, root))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +199,8 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     sample = entries.select("class", "dim", "embedding").orderBy("class").limit(SAMPLE).collect()  # bounded
     pivots = {d: choose_pivots(np.array([r["embedding"] for r in sample if r["dim"] == d], float))
               for d in {r["dim"] for r in sample}}
-    posted = materialise(postings(entries.drop("least"), pivots), "postings")
-    found = materialise(verified(cells(posted), pivots, threshold), "links")
+    posted = materialise(postings(entries.drop("least"), pivots, threshold), "postings")
+    found = materialise(verified(cells(posted), threshold), "links")
 
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     labels = connected_components(found.where("class <> root").select(F.col("class").alias("a"), F.col("root").alias("b")))

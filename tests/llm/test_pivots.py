@@ -79,6 +79,26 @@ def test_recall_on_the_small_table(spark, small):
     assert all(g[1] <= w[1] for g, w in zip(got, want))
 
 
+def dense(seed, shape, n=500, dim=64):
+    """Vectors with a common mean, or a few tight groups that hold most rows."""
+    rng = np.random.default_rng(seed)
+    if shape == "mean":
+        x = rng.normal(size=dim) * 6 + rng.normal(size=(n, dim))
+    else:
+        x = rng.normal(size=(3, dim))[rng.integers(3, size=n)] + rng.normal(size=(n, dim)) * 0.13
+        x[: n // 5] = rng.normal(size=(n // 5, dim))
+    return [(i, v.tolist(), int(i % 3)) for i, v in enumerate(x.astype(np.float32))]
+
+
+@pytest.mark.parametrize("shape, block", [("mean", 256), ("mean", 5), ("groups", 256), ("groups", 31)])
+def test_no_link_is_lost_in_dense_tables(spark, monkeypatch, shape, block):
+    monkeypatch.setattr(pivots, "BLOCK", block)
+    rows = dense(3, shape)
+    want = brute(rows)
+    assert sum(w[1] for w in want) > 1000
+    assert [g[:3] for g in order(run(spark, rows))] == order(want)
+
+
 def test_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None),
