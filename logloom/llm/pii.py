@@ -1,18 +1,19 @@
 """PII: personal data, and the terms that give it away.
 
 Base matches (e-mail, IP, card and phone numbers) are found by pattern and
-checked (parts, Luhn, digits). Around each, letters-only terms within
-``CONTEXT`` characters are its context. From the whole corpus:
+checked (parts, Luhn, digits). Terms are runs of letters outside e-mails. From
+the whole corpus, wherever in a document a term and an entity stand:
 
-    P(entity | term) = documents with the term in a context of the entity
-                       / documents with the term
+    P(entity | term) = documents with both / documents with the term
     disclosure(term, entity) = log2(P(entity | term) / P(entity)), in bits
 
 A term that meets an entity in ``MIN_DOCS`` documents or more, with a
 disclosure of ``BITS`` or more and a P(entity | term) of ``GENERALISE`` or
-more, is generalised in that entity's contexts, and removed from
-``REMOVE`` on. Everything is DataFrame code; spans are code points, end
-exclusive.
+more, is generalised wherever it stands, in all documents, and removed from
+``REMOVE`` on. Pairs that cannot pass are left out before they are counted: an
+entity in fewer than ``MIN_DOCS`` documents or in too many for ``BITS``, a term
+in too many for ``GENERALISE``. Everything is DataFrame code; spans are code
+points, end exclusive.
 
 Defined results: a null or empty text has no spans; matches of one kind never
 overlap, kinds may; repeated rows count as documents of their own and get equal
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 from logloom.llm.common import materialise, with_row_key
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-CONTEXT = 48
 MIN_DOCS, BITS, GENERALISE, REMOVE = 2, 3.0, 0.5, 0.9
 MIN_TERM = 3
-# candidate terms that may be broadcast (at most CONTEXT characters each)
-BROADCAST_TERMS = 500_000
+# terms that may be broadcast, and their bytes
+BROADCAST_TERMS, BROADCAST_BYTES = 500_000, 16_000_000
+# rids (one number each) that may be broadcast
+BROADCAST_RIDS = 2_000_000
 
 # The kinds' patterns, written so that a failing run of characters is tried
 # once (possessive repeats; a match starts at a run's start or where the last
@@ -46,6 +48,8 @@ PATTERNS = {
 # what a text must have for its kind's pattern to be tried
 _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
 TERM = r"\p{L}+"
+# marks around a found term; where a text has them itself, they count as spaces
+_OPEN, _CLOSE = "\ue000", "\ue001"
 
 
 def _valid(kind: Column, value: Column) -> Column:
@@ -63,26 +67,20 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _matches(kind: str) -> Column:
-    """Array of (kind, gap, value, before, after): the matches of a kind in
-    ``text``, the length of the text between them and their surroundings."""
+    """Array of (kind, gap, value): the matches of a kind in ``text`` and the
+    length of the text between them."""
     pattern = PATTERNS[kind]
     hint = F.contains(F.col("text"), F.lit("@")) if kind == "email" else F.col("text").rlike(_HINTS[kind])
     between = F.split("text", pattern, -1)
     found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    # element i is surrounded by between[i] and between[i + 1]
-    trio = F.zip_with(
-        F.zip_with(found, F.slice(between, 1, F.size(found)), lambda v, p: F.struct(v.alias("value"), p.alias("p"))),
-        F.slice(between, 2, F.size(found)),
-        lambda z, q: F.struct(
-            F.lit(kind).alias("kind"), F.char_length(z["p"]).alias("gap"), z["value"].alias("value"),
-            F.right(z["p"], F.lit(CONTEXT)).alias("before"), F.left(q, F.lit(CONTEXT)).alias("after")))
-    kind_type = "array<struct<kind:string,gap:int,value:string,before:string,after:string>>"
-    return F.when(hint, trio).otherwise(F.array().cast(kind_type))
+    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda v, p: F.struct(
+        F.lit(kind).alias("kind"), F.char_length(p).alias("gap"), v.alias("value")))
+    return F.when(hint, pairs).otherwise(F.array().cast("array<struct<kind:string,gap:int,value:string>>"))
 
 
 def base_matches(docs: DataFrame) -> DataFrame:
-    """(rid, copies, kind, start, end, value, before, after) of the base kinds;
-    copies: how often the row is there."""
+    """(rid, copies, kind, start, end, value) of the base kinds; copies: how
+    often the row is there."""
     rows = with_row_key(docs).select("rid", F.concat(*[_matches(k) for k in PATTERNS]).alias("found"))
     rows = rows.where(F.size("found") > 0).groupBy("rid").agg(F.count("*").alias("copies"), F.first("found").alias("found"))
     rows = rows.select("rid", "copies", F.posexplode("found").alias("i", "m")).select("rid", "copies", "i", "m.*")
@@ -91,67 +89,106 @@ def base_matches(docs: DataFrame) -> DataFrame:
     end = F.sum(F.col("gap") + size).over(upto)
     rows = rows.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - size)
     rows = rows.where(_valid(F.col("kind"), F.col("value")))
-    return rows.select("rid", "copies", "kind", "start", "end", "value", "before", "after")
-
-
-def _terms(side: str, at: Column, first_whole: Column, last_whole: Column) -> Column:
-    """Array of (term, start, end): the whole terms of a context string whose
-    first character stands at ``at``."""
-    found = F.regexp_extract_all(side, F.lit(TERM), F.lit(0))
-    gaps = F.split(F.col(side), TERM, -1)
-    sizes = lambda a: F.aggregate(a, F.lit(0), lambda x, s: x + F.char_length(s))
-    placed = F.transform(found, lambda t, i: F.struct(
-        F.lower(t).alias("term"),
-        (at + sizes(F.slice(gaps, 1, i + 1)) + sizes(F.slice(found, 1, i))).alias("start"),
-        (at + sizes(F.slice(gaps, 1, i + 1)) + sizes(F.slice(found, 1, i + 1))).alias("end")))
-    size = F.char_length(side)
-    return F.filter(placed, lambda t: (F.char_length(t["term"]) >= MIN_TERM)
-                    & (first_whole | (t["start"] > at)) & (last_whole | (t["end"] < at + size)))
-
-
-def context_terms(base: DataFrame) -> DataFrame:
-    """(rid, copies, entity, term, start, end): terms in the contexts of base matches.
-    A context that is cut inside a word loses that word."""
-    before, after = F.char_length("before"), F.char_length("after")
-    left = _terms("before", F.col("start") - before, before < CONTEXT, F.lit(True))
-    right = _terms("after", F.col("end"), F.lit(True), after < CONTEXT)
-    rows = base.select("rid", "copies", F.concat_ws(":", "kind", "value").alias("entity"), F.explode(F.concat(left, right)).alias("t"))
-    return rows.select("rid", "copies", "entity", "t.term", "t.start", "t.end").distinct()
+    return rows.select("rid", "copies", "kind", "start", "end", "value")
+
+
+def _prose() -> Column:
+    """``text`` with its e-mails blanked, every character in its place."""
+    between = F.split("text", PATTERNS["email"], -1)
+    found = F.regexp_extract_all("text", F.lit(PATTERNS["email"]), F.lit(0))
+    blank = F.array_join(F.zip_with(between, found, lambda b, v: F.concat(
+        b, F.repeat(F.lit(" "), F.char_length(F.coalesce(v, F.lit("")))))), "")
+    return F.when(F.contains(F.col("text"), F.lit("@")), blank).otherwise(F.col("text"))
+
+
+def _distinct_terms() -> Column:
+    found = F.array_distinct(F.transform(F.split(_prose(), r"\P{L}+", -1), F.lower))
+    return F.filter(found, lambda t: F.char_length(t) >= MIN_TERM)
+
+
+def _sized(terms: DataFrame) -> DataFrame:
+    """Broadcast a written table of terms only if its rows and bytes are few."""
+    n, size = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    return F.broadcast(terms) if n <= BROADCAST_TERMS and size <= BROADCAST_BYTES else terms
+
+
+def _texts_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The texts of the rids of a written table, with its columns: the few that
+    are in it are kept before the join, so that no others are shuffled."""
+    rows = with_row_key(docs).select("rid", "text")
+    if found.count() <= BROADCAST_RIDS:
+        rows = rows.join(F.broadcast(found.select("rid")), "rid", "left_semi")
+    return rows.join(found.hint("merge"), "rid")
 
 
 def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, docs): in how many documents of the corpus each of ``terms`` is."""
-    words = F.array_distinct(F.split(F.lower(F.col("text")), r"\P{L}+", -1))
-    found = with_row_key(docs).select(F.explode(words).alias("term")).where(F.char_length("term") >= MIN_TERM)
-    few = terms.count() <= BROADCAST_TERMS
-    return found.join(F.broadcast(terms) if few else terms, "term").groupBy("term").agg(F.count("*").alias("docs"))
+    found = with_row_key(docs).select(F.explode(_distinct_terms()).alias("term"))
+    return found.join(_sized(terms), "term").groupBy("term").agg(F.count("*").alias("docs"))
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """(rid, start, end, disclosure, share): term occurrences whose disclosure
-    of an entity is above the thresholds."""
-    contexts = materialise(context_terms(base), "context_terms")
-    together = (contexts.select("rid", "copies", "term", "entity").distinct().groupBy("term", "entity")
-                .agg(F.sum("copies").alias("both")).where(F.col("both") >= MIN_DOCS))
-    together = materialise(together, "term_entities")
-    in_docs = materialise(term_documents(docs, together.select("term").distinct()), "term_documents")
+def shared_entities(base: DataFrame, n_docs: int) -> DataFrame:
+    """(rid, entities, most): the entities of a document that a term can
+    disclose, with their documents, and the most documents one has."""
     entities = base.select("rid", "copies", F.concat_ws(":", "kind", "value").alias("entity")).distinct()
-    entities = entities.groupBy("entity").agg(F.sum("copies").alias("entity_docs"))
+    counts = entities.groupBy("entity").agg(F.sum("copies").alias("entity_docs"))
+    counts = counts.where((F.col("entity_docs") >= MIN_DOCS) & (F.col("entity_docs") * 2.0 ** BITS <= F.lit(n_docs)))
+    return (entities.join(counts, "entity").groupBy("rid")
+            .agg(F.collect_list(F.struct("entity", "entity_docs")).alias("entities"), F.max("entity_docs").alias("most")))
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """(term, disclosure, share): the terms whose disclosure of an entity is
+    above the thresholds, with the highest of each."""
     n_docs = docs.count()
-    scored = (together.join(in_docs, "term").join(entities, "entity")
+    shared = materialise(shared_entities(base, n_docs), "shared_entities")
+    met = _texts_of(docs, shared).select("entities", "most", F.explode(_distinct_terms()).alias("term"))
+    terms = materialise(met.groupBy("term").agg(F.count("*").alias("n"), F.max("most").alias("most"))
+                        .where(F.col("n") >= MIN_DOCS).select("term", "most"), "candidate_terms")
+    in_docs = term_documents(docs, terms.select("term")).join(terms, "term")
+    in_docs = materialise(in_docs.where(F.col("docs") * GENERALISE <= F.col("most")).select("term", "docs"), "term_documents")
+    pairs = met.select("entities", "term").join(_sized(in_docs), "term")
+    pairs = pairs.select("term", "docs", F.explode("entities").alias("e")).where(
+        F.col("docs") * GENERALISE <= F.col("e.entity_docs"))
+    together = pairs.groupBy("term", "e.entity").agg(
+        F.count("*").alias("both"), F.first("docs").alias("docs"), F.first("e.entity_docs").alias("entity_docs"))
+    scored = (together.where(F.col("both") >= MIN_DOCS)
               .withColumn("share", F.col("both") / F.col("docs"))
               .withColumn("disclosure", F.log2(F.col("share") * F.lit(n_docs) / F.col("entity_docs")))
               .where((F.col("share") >= GENERALISE) & (F.col("disclosure") >= BITS)))
-    chosen = materialise(scored.select("term", "entity", "share", "disclosure"), "disclosing_terms")
-    return (contexts.join(chosen, ["term", "entity"]).groupBy("rid", "start", "end")
-            .agg(F.max("disclosure").alias("disclosure"), F.max("share").alias("share")))
+    return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure"), F.max("share").alias("share"))
+
+
+def term_matches(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(rid, start, end, disclosure, share): every occurrence of the terms."""
+    rows, known = with_row_key(docs), _sized(chosen)
+    having = rows.select("rid", F.explode(_distinct_terms()).alias("term")).join(known, "term")
+    having = materialise(having.groupBy("rid").agg(F.collect_set("term").alias("terms")), "documents_with_terms")
+    text = F.translate(_prose(), _OPEN + _CLOSE, "  ")
+    texts = _texts_of(docs, having).select("rid", "terms", text.alias("text"))
+    found, gaps = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
+    token = lambda t: F.when(
+        F.array_contains("terms", F.lower(t)), F.concat(F.lit(_OPEN), t, F.lit(_CLOSE))).otherwise(t)
+    marked = texts.select("rid", F.array_join(F.zip_with(
+        gaps, found, lambda g, t: F.concat(g, F.when(t.isNull(), "").otherwise(token(t)))), "").alias("text"))
+    mark = f"{_OPEN}[^{_CLOSE}]*+{_CLOSE}"
+    between, hits = F.split("text", mark, -1), F.regexp_extract_all("text", F.lit(mark), F.lit(0))
+    places = F.zip_with(hits, F.slice(between, 1, F.size(hits)), lambda h, p: F.struct(
+        F.char_length(p).alias("gap"), F.translate(h, _OPEN + _CLOSE, "").alias("value")))
+    placed = marked.select("rid", places.alias("found")).groupBy("rid").agg(F.first("found").alias("found"))
+    placed = placed.select("rid", F.posexplode("found").alias("i", "m")).select("rid", "i", "m.*")
+    size = F.char_length("value")
+    upto = Window.partitionBy("rid").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("end", F.sum(F.col("gap") + size).over(upto).cast("long"))
+    placed = placed.select("rid", (F.col("end") - size).alias("start"), "end", F.lower("value").alias("term"))
+    return placed.join(known, "term").select("rid", "start", "end", "disclosure", "share")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, spans) of every document; spans are (kind, start, end,
     removed), sorted by kind as in ``KINDS``, then start."""
     base = materialise(base_matches(docs), "base_matches")
-    terms = disclosing_terms(docs, base)
+    terms = term_matches(docs, materialise(disclosing_terms(docs, base), "disclosing_terms"))
     hidden = base.select("rid", "start", "end", "kind", F.lit(False).alias("removed")).unionByName(
         terms.select("rid", "start", "end", F.lit("term").alias("kind"), (F.col("share") >= REMOVE).alias("removed")))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")

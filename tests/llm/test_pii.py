@@ -81,6 +81,27 @@ def test_terms_that_give_an_entity_away(docs):
     assert "Zebulon" not in clean[0] and "[EMAIL]" in clean[0] and clean[40] == texts[40]
 
 
+def test_terms_far_from_the_entity_and_in_other_documents(docs):
+    far = "and so on with much in between " * 10
+    texts = [f"Dear Zebulon, {far} {n} z@mail.example.com {far} ZEBULON's \ue000Zebulon\ue001" for n in ("one", "two", "three")]
+    texts += [f"😀 {far} Zebulon called {far}", f"dear {far} people", None, f"{far} zebulons called and so"]
+    texts += [f"dear {far} q{i}@mail.example.com one two three called" for i in range(40)]
+    found = pii.find_personal_data(docs(*texts))
+    rows = {r.doc_id: r for r in found.collect()}
+    for i, t in enumerate(texts):
+        want = [("term", m.start(), m.end()) for m in re.finditer(r"(?i)\bzebulon\b", t or "")]
+        assert [(s.kind, s.start, s.end) for s in rows[i].spans if s.kind == "term"] == want
+        assert base_of(rows[i]) == brute(t)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(*texts), found).collect()}
+    assert not any("zebulon" in clean[i].lower() for i in range(4)) and clean[4] == texts[4] and clean[6] == texts[6]
+
+
+def test_words_of_an_email_are_not_terms(docs):
+    texts = [f"{w} zebulon.q@mail.example.com" for w in ("one", "two", "three")] + [f"one two three plain {i}" for i in range(40)]
+    rows = pii.find_personal_data(docs(*texts)).collect()
+    assert not [s for r in rows for s in r.spans if s.kind == "term"]
+
+
 def test_repeated_rows_and_empty_table(docs):
     rows = pii.find_personal_data(docs((1, "a@b.co"), (1, "a@b.co"), (None, "a@b.co"), (1, "x"))).collect()
     assert sorted(len(base_of(r)) for r in rows) == [0, 1, 1, 1]
