@@ -2,9 +2,9 @@
 
 Every licence statement of ``TEMPLATES`` is indexed word by word: (word,
 template, place). The words' document frequencies over the whole corpus give
-their IDF; each file's ``RARE_WORDS`` licence words of highest IDF are looked
-up, and postings that agree on the template's place in the file are
-intersected. A placement with ``MIN_WORDS`` agreeing words (or all the
+their IDF; every licence word of a file is looked up, however many it has, and
+postings that agree on the template's place in the file are intersected. A
+placement with ``MIN_WORDS`` agreeing words (or all the
 template has) stands if the template's mandatory key phrase is found there
 word for word. Base phrases are reported wherever they stand.
 
@@ -19,12 +19,12 @@ rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import materialise, with_row_key, words_array
 
-RARE_WORDS, MIN_WORDS, BASE_SCORE = 12, 2, 0.5
+MIN_WORDS, BASE_SCORE = 2, 0.5
 
 # Base phrases with their labels and their rarest word
 BASE = {
@@ -114,21 +114,17 @@ def placements(files: DataFrame) -> DataFrame:
     whole = index.groupBy("template").agg(F.sum("idf").alias("all_idf"), F.count_distinct("word").alias("all_words"))
     index = index.join(whole, "template")
 
-    best = Window.partitionBy("rid").orderBy(F.desc("idf"), "word")
-    words = found.select("rid", "word").distinct().join(F.broadcast(index.select("word", "idf").distinct()), "word")
-    words = words.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= RARE_WORDS).select("rid", "word")
-    looked_up = found.join(words, ["rid", "word"]).join(F.broadcast(index), "word")
-    agreed = (looked_up.withColumn("at", F.col("pos") - F.col("place"))
-              .groupBy("rid", "template", "at")
-              .agg(F.count_distinct("word").alias("n"), F.sum("idf").alias("idf"), F.first("all_idf").alias("all_idf"),
-                   F.first("all_words").alias("all_words"), F.first("keys").alias("keys")))
-    agreed = agreed.where(F.col("n") >= F.least(F.lit(MIN_WORDS), F.col("all_words")))
     known = F.array(*[F.lit(_place(text, key)) for _, text, key in TEMPLATES])
     labels = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
     stands = F.array_contains(F.get(F.col("keys"), F.col("template")), F.col("at") + F.get(known, F.col("template")))
-    return (agreed.where(stands)
-            .select("rid", F.get(labels, F.col("template")).alias("label"),
-                    F.least(F.col("idf") / F.col("all_idf"), F.lit(1.0)).alias("share"))
+    # a placement without its key phrase never stands, so it need not be counted
+    looked_up = found.join(F.broadcast(index), "word").withColumn("at", F.col("pos") - F.col("place")).where(stands)
+    agreed = (looked_up.groupBy("rid", "template", "at")
+              .agg(F.count_distinct("word").alias("n"), F.sum("idf").alias("idf"), F.first("all_idf").alias("all_idf"),
+                   F.first("all_words").alias("all_words")))
+    agreed = agreed.where(F.col("n") >= F.least(F.lit(MIN_WORDS), F.col("all_words")))
+    return (agreed.select("rid", F.get(labels, F.col("template")).alias("label"),
+                          F.least(F.col("idf") / F.col("all_idf"), F.lit(1.0)).alias("share"))
             .groupBy("rid", "label").agg(F.max("share").alias("share")))
 
 

@@ -54,6 +54,16 @@ def test_templates_and_edges(spark, docs):
     assert rows[3].labels == ["cc-by", "cc-by-nc-4.0"] and rows[4].labels == [] and rows[0].score > rows[5].score == 0.5
 
 
+def test_every_whole_statement_gets_its_label(docs):
+    statements = ". ".join(text for _, text, _ in TEMPLATES)
+    notice = ". ".join(text for label, text, _ in TEMPLATES if label in ("apache-2.0", "bsd", "isc", "mit"))
+    texts = [statements, notice, "license software gnu public " * 5_000 + statements] + ["mozilla creative plain words"] * 20
+    rows = sorted(scan_licenses(docs(*texts)).collect(), key=lambda r: r.doc_id)
+    every = {label for label, _, _ in TEMPLATES}
+    assert every <= set(rows[0].labels) and every <= set(rows[2].labels)
+    assert rows[1].labels == ["apache-2.0", "bsd", "isc", "mit"] and abs(rows[1].score - 1) < 1e-9
+
+
 def test_repeated_null_and_empty(docs):
     rows = scan_licenses(docs((1, "all rights reserved"), (1, "all rights reserved"), (None, "the MIT License"))).collect()
     assert sorted((r.doc_id or 0, r.n_base) for r in rows) == [(0, 0), (1, 1), (1, 1)]
