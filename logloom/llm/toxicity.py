@@ -1,8 +1,11 @@
 """Toxicity: a linear-chain CRF over tokens, aggregated to documents.
 
 Training sees at most ``TRAIN_TOXIC`` + ``TRAIN_CLEAN`` labelled documents
-(the first of each class by hash of doc_id, of ``TRAIN_CHARS`` characters at
-most). Token labels come from the document labels: a token of a toxic document
+(the first of each class by hash of doc_id; of a text above ``TRAIN_CHARS``
+characters as many, in ``TRAIN_PARTS`` random pieces spread over it). Both
+classes are counted over all usable labels, and the feature precision and the
+logistic layer weigh them by these counts, so the sample's bounds do not move
+the 0.5 cut. Token labels come from the document labels: a token of a toxic document
 is labelled if one of its features (the word, its prefixes and suffixes)
 occurs in toxic documents significantly more often than their share explains,
 near copies counted together. On these labels a two-state chain is fitted by
@@ -33,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import with_row_key
+from logloom.llm.common import materialise, with_row_key
 
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1200, 3500, 20_000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS, TRAIN_PARTS = 1200, 3500, 20_000, 10
 # tokens the chain is fitted on, rounds of fitting, clean documents of the logistic layer
 FIT_TOKENS, FIT_ROUNDS, LAYER_CLEAN = 100_000, 60, 1500
 PIECE = 128
@@ -166,9 +169,11 @@ def _copies(ids: list[np.ndarray]) -> np.ndarray:
     return np.unique(out, return_inverse=True)[1]
 
 
-def _toxic_features(words: list[bytes], ids: list[np.ndarray], toxic: np.ndarray) -> tuple[list, list, np.ndarray]:
+def _toxic_features(words: list[bytes], ids: list[np.ndarray], toxic: np.ndarray, ratio: float) -> tuple[list, list, np.ndarray]:
     """Features met in 3 documents or more, each word's of them, and which are
-    significantly toxic (binomial bound, corrected for the number tested)."""
+    significantly toxic (binomial bound on the sample, corrected for the number
+    tested) with a precision that holds at the true class sizes; ratio: what a
+    toxic document of the sample stands for, in clean ones."""
     names: list[tuple[str, str]] = []
     index: dict[str, dict[str, int]] = {kind: {} for kind in ("word", *PARTS)}
 
@@ -195,7 +200,8 @@ def _toxic_features(words: list[bytes], ids: list[np.ndarray], toxic: np.ndarray
     p = np.clip(precision, 1e-9, 1 - 1e-9)
     bound = n * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))
     tested = max(1, int((n >= 3).sum()))
-    strong = (precision >= PRECISION) & (bound >= np.log(20 * tested)) & (n >= 3)
+    true_precision = ratio * bad / np.maximum(ratio * bad + n - bad, 1e-9)
+    strong = (true_precision >= PRECISION) & (bound >= np.log(20 * tested)) & (n >= 3)
     kept = np.flatnonzero(n >= 3)
     number = np.full(len(names), -1)
     number[kept] = np.arange(len(kept))
@@ -203,10 +209,22 @@ def _toxic_features(words: list[bytes], ids: list[np.ndarray], toxic: np.ndarray
     return [names[i] for i in kept], features, strong[kept]
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Model:
-    """Fit on whole labelled texts."""
+def class_weights(toxic: np.ndarray, totals: tuple[int, int] | None) -> np.ndarray:
+    """What a clean and a toxic row of a sample stand for, 1 on average;
+    totals: clean and toxic documents there are (None: the sample is all)."""
+    n = np.bincount(toxic, minlength=2)
+    if totals is None or not n.all() or not all(totals):
+        return np.ones(2)
+    return np.asarray(totals, float) / n * (n.sum() / sum(totals))
+
+
+def fit(texts: list[str], toxic: np.ndarray, totals: tuple[int, int] | None = None) -> Model:
+    """Fit on labelled texts; totals: the true sizes of both classes."""
     toxic = np.asarray(toxic, int)
     prior = float(toxic.mean()) if len(toxic) else 0.0
+    if totals is not None and sum(totals):
+        prior = totals[1] / sum(totals)
+    weight = class_weights(toxic, totals)
     vocabulary: dict[bytes, int] = {}
     ids, labels = [], []
     for text, label in zip(texts, toxic):
@@ -219,7 +237,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     if not len(labels) or labels.min() == labels.max():
         return nothing
     words = list(vocabulary)
-    names, of_word, strong = _toxic_features(words, ids, labels)
+    names, of_word, strong = _toxic_features(words, ids, labels, weight[1] / weight[0])
     marked = np.array([strong[x].any() for x in of_word])
     if not marked.any():
         return nothing
@@ -272,10 +290,12 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     probs = [p for i in range(0, len(some), 256)
              for p in model.token_marginals([tokens(texts[j]) for j in some[i:i + 256]])]
     x, beta, toxic = aggregate(probs), np.zeros(4), toxic[some]
+    true = totals if totals is not None else (int(np.sum(labels == 0)), int(labels.sum()))
+    row_weight = class_weights(toxic, true)[toxic]
     for _ in range(30):
         p = _sigmoid(x @ beta)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4)
-        beta = beta + np.linalg.solve(hessian, x.T @ (toxic - p) - 0.1 * beta)
+        hessian = (x * (row_weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4)
+        beta = beta + np.linalg.solve(hessian, x.T @ (row_weight * (toxic - p)) - 0.1 * beta)
     model.layer = beta
     model.known = {}
     return model
@@ -286,21 +306,33 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Whole texts and labels of a bounded sample outside fold 0."""
+def training_text() -> Column:
+    """``text``, or of a long one a random piece of each of its parts."""
+    part = F.floor(F.char_length("text") / TRAIN_PARTS).cast("int")
+    size = TRAIN_CHARS // TRAIN_PARTS
+    pieces = [F.substring(F.col("text"), (part * i + F.pmod(F.xxhash64("rid", F.lit(i)), part - size + 1) + 1).cast("int"), F.lit(size))
+              for i in range(TRAIN_PARTS)]
+    return F.when(F.char_length("text") <= TRAIN_CHARS, F.col("text")).otherwise(F.concat_ws(" ", *pieces))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, tuple[int, int]]:
+    """Texts and labels of a bounded sample outside fold 0, and the sizes of
+    both classes there."""
     marks = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
              .where(fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    fitting = docs.where(F.char_length("text").between(1, TRAIN_CHARS)).select("doc_id").distinct()
+    fitting = docs.where(F.char_length("text") >= 1).select("doc_id").distinct()
     marks = marks.join(fitting, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
+    marks = materialise(marks, "toxicity_labels")
+    sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).where("toxic in (0, 1)").collect()}
     chosen = (marks.where("toxic = 1").orderBy("h", "doc_id").limit(TRAIN_TOXIC)
               .unionByName(marks.where("toxic = 0").orderBy("h", "doc_id").limit(TRAIN_CLEAN)))
     chosen = docs.sparkSession.createDataFrame(
         [(r["doc_id"], r["toxic"]) for r in chosen.collect()],
         f"id {labels.schema['doc_id'].dataType.simpleString()}, toxic int")
     # at most TRAIN_TOXIC + TRAIN_CLEAN ids, so they may be broadcast
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"]).select("rid", "text", "toxic")
+    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"]).select("rid", training_text().alias("text"), "toxic")
     rows = rows.dropDuplicates(["rid"]).orderBy("rid").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN)).collect()
-    return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], int)
+    return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], int), (sizes.get(0, 0), sizes.get(1, 0))
 
 
 def toxic_spans(text: str, probs: np.ndarray) -> list[tuple[int, int]]:

@@ -60,6 +60,29 @@ def test_copies_of_one_toxic_text_do_not_make_its_words_toxic():
     assert p.max() < 0.5
 
 
+def test_the_cut_does_not_move_with_the_bounds_of_the_sample(spark, docs, monkeypatch):
+    rng = np.random.default_rng(5)
+    # "maybe" stands in 40 % of the toxic and 4 % of the clean documents
+    texts, labels = corpus(3000)
+    texts = [t + " maybe" * int(rng.random() < (0.4 if v else 0.04)) for t, v in zip(texts, labels)]
+    whole = tox.fit(texts, labels)
+    clean = np.flatnonzero(labels == 0)[:150]
+    some = np.sort(np.concatenate([np.flatnonzero(labels), clean]))
+    part = [texts[i] for i in some]
+    few = tox.fit(part, labels[some], (int((labels == 0).sum()), int(labels.sum())))
+    odds = lambda m: float(m.layer @ tox.aggregate([np.full(40, 0.03)])[0])
+    assert abs(np.mean(few.score(few.token_marginals([tox.tokens(t) for t in texts]))) - 0.2) < 0.02
+    assert abs(np.mean(whole.score(whole.token_marginals([tox.tokens(t) for t in texts]))) - 0.2) < 0.02
+    assert odds(few) < 0 and np.allclose(tox.class_weights(np.array([0, 1, 1]), (90, 10)), [2.7, 0.15])
+    monkeypatch.setattr(tox, "TRAIN_TOXIC", 10)
+    marks = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    rows = tox.with_row_key(docs(*[(i, f"head{i} " + "x " * 30_000 if i < 3 else f"t{i}") for i in range(90)]))
+    sample, marked, sizes = tox.training_sample(rows, marks)
+    usable = [i for i in range(90) if zlib.crc32(str(i).encode()) % 5]
+    assert sizes == (sum(i % 3 > 0 for i in usable), sum(i % 3 == 0 for i in usable)) and marked.sum() == 10
+    assert max(map(len, sample)) == 20_009
+
+
 def run(spark, docs, labels):
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     return tox.score_documents(docs, marks)
