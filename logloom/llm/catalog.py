@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontam, licenses, line_dedup, packing, pii, pivots, simhash, suffix_array, suffix_tree, toxicity
+from logloom.llm import bpe, decontam, licenses, line_dedup, packing, pii, pivots, simhash, suffix_array, suffix_tree, toxicity
 
 
 def tokenizer_path() -> str:
@@ -74,10 +74,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path()), tokenizer_path())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def all_queries() -> dict:
     return {f.__name__: f for f in (
         op1_suffix_array, op2_toxicity, op3_line_dedup, op4_licenses, op5_simhash, op6_packing, op7_embeddings, op8_suffix_tree, op9_pii,
-        op10_decontamination)}
+        op10_decontamination, op13_bpe)}
 
 
 def all_oracles() -> dict[str, str]:
