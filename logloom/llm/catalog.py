@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, decontam, licenses, line_dedup, packing, pii, pivots, simhash, suffix_array, suffix_tree, toxicity
+from logloom.llm import bpe, decontam, licenses, line_dedup, packing, periodic, pii, pivots, simhash, suffix_array, suffix_tree, toxicity
 
 
 def tokenizer_path() -> str:
@@ -74,6 +74,32 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in every tenth document by crc32 of the doc_id the words
+    from word a on repeat the p words that begin there. A null doc_id has none."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    rows = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    rows = rows.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    n, a, p = F.col("n"), F.col("a"), F.col("p")
+    tail = F.flatten(F.array_repeat(F.slice("words", (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+    planted = F.concat(F.slice("words", F.lit(1), a.cast("int")), F.slice(tail, F.lit(1), (n - a).cast("int")))
+    return rows.select("doc_id", F.when(a.isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.find_runs(with_planted_runs(table(spark, sf_dir, "documents")), min_length=6, min_exponent=4)
+    out = out.withColumn("best", periodic.strongest())
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(listed, lambda r: F.concat(r, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path()), tokenizer_path())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -82,7 +108,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict:
     return {f.__name__: f for f in (
         op1_suffix_array, op2_toxicity, op3_line_dedup, op4_licenses, op5_simhash, op6_packing, op7_embeddings, op8_suffix_tree, op9_pii,
-        op10_decontamination, op13_bpe)}
+        op10_decontamination, op11_periodic_runs, op13_bpe)}
 
 
 def all_oracles() -> dict[str, str]:
