@@ -48,12 +48,14 @@ from logloom.llm.common import with_row_key
 # marks the last symbol of a word: the vocabulary has own tokens for it
 _LAST = 0x400
 # words whose ids a worker remembers, in two generations; longer ones are not kept
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 CACHE_CHARS = 64
+# pairs of tokens whose compatibility is kept
+TABLE_PAIRS = 200_000
 # visible ASCII and the letters of Latin-1: composed, and classed alike everywhere
 _PLAIN = "^[!-~À-ÖØ-öø-ÿ]*$"
 # bytes of text encoded at once (a longer text is a batch of its own)
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def byte_symbols() -> dict[int, str]:
@@ -87,7 +89,7 @@ class Merges:
             strings.append(spelled[whole])
             ids.append(vocab[whole])
         self.ids, self.strings, self.size = ids, strings, [len(s) for s in strings]
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
         # a token that merging its own spelling does not give never occurs
         proper = [True] * len(singles)
         for t in range(len(singles), len(strings)):
@@ -129,9 +131,12 @@ class Merges:
                 return True
 
     def compatible(self, a: int, b: int) -> bool:
-        found = self.table.get((a, b))
+        pair = a * len(self.strings) + b
+        found = self.table.get(pair)
         if found is None:
-            found = self.table[a, b] = self._apart(a, b, len(self.strings))
+            if len(self.table) >= TABLE_PAIRS:
+                self.table.clear()
+            found = self.table[pair] = self._apart(a, b, len(self.strings))
         return found
 
     def encode(self, word: str) -> list[int]:
