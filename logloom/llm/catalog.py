@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, decontam, licenses, line_dedup, packing, periodic, pii, pivots, simhash, suffix_array, suffix_tree, toxicity
+from logloom.llm import bpe, collocations, decontam, licenses, line_dedup, packing, periodic, pii, pivots, simhash, suffix_array, suffix_tree, toxicity
 
 
 def tokenizer_path() -> str:
@@ -100,6 +100,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = collocations.collocations(table(spark, sf_dir, "documents"), max_words=4, min_count=30, cover_percent=80, top=2000)
+    return out.select(F.col("grp").alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path()), tokenizer_path())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -108,7 +113,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict:
     return {f.__name__: f for f in (
         op1_suffix_array, op2_toxicity, op3_line_dedup, op4_licenses, op5_simhash, op6_packing, op7_embeddings, op8_suffix_tree, op9_pii,
-        op10_decontamination, op11_periodic_runs, op13_bpe)}
+        op10_decontamination, op11_periodic_runs, op12_collocations, op13_bpe)}
 
 
 def all_oracles() -> dict[str, str]:

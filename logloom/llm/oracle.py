@@ -57,4 +57,33 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
-ORACLES = {"op3_line_dedup": OP3, "op8_suffix_tree": OP8, "op10_decontamination": OP10}
+OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cut AS (
+  SELECT lang, size, phrase, f AS a, k, array_to_string(p[1:k], ' ') AS first, array_to_string(p[k + 1:], ' ') AS rest
+  FROM (SELECT *, string_split(phrase, ' ') AS p, unnest(range(1, size)) AS k FROM f WHERE size > 1)),
+score AS (
+  SELECT cut.*, fl.f AS l, fr.f AS r, (2000000::HUGEINT * a // (fl.f + fr.f))::BIGINT AS score
+  FROM cut JOIN f fl ON fl.lang = cut.lang AND fl.phrase = cut.first JOIN f fr ON fr.lang = cut.lang AND fr.phrase = cut.rest),
+best AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(p[i:i + n - 1], ' ') AS phrase, max(f) AS most
+  FROM (SELECT *, unnest(range(1, size - n + 2)) AS i
+        FROM (SELECT *, string_split(phrase, ' ') AS p FROM f), (VALUES (2), (3)) v(n) WHERE size > n) GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase)
+  WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op12_collocations": OP12, "op3_line_dedup": OP3, "op8_suffix_tree": OP8, "op10_decontamination": OP10}
