@@ -339,40 +339,52 @@ def tree_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (named_gz & ~damaged).alias("packed"))
 
 
+def write_log_files(lines: DataFrame, base: str) -> None:
+    """Write (rel, packed, line_no, line) as files below ``base``: each by the
+    task that holds its lines, in order, under its own name, line by line. A
+    task that is run again writes the same files again."""
+    def write(batches):
+        import gzip
+
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+
+        from logloom.sources.byte_files import file_system
+
+        name, out, done = None, None, 0
+        for batch in batches:
+            start = 0
+            rels, packed, text = (batch[c].to_pylist() for c in ("rel", "packed", "line"))
+            while start < len(rels):
+                stop = next((i for i in range(start + 1, len(rels)) if rels[i] != rels[start]), len(rels))
+                if rels[start] != name:
+                    if out is not None:
+                        out.close()
+                    name, done = rels[start], done + 1
+                    system, path = file_system(f"{base}/{name}", encoded=False)
+                    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    out = system.open_output_stream(path, compression=None)
+                    if packed[start]:
+                        out = gzip.GzipFile(fileobj=pa.PythonFile(out, "w"), mode="wb", compresslevel=6, mtime=0)
+                out.write(("\n".join(text[start:stop]) + "\n").encode())
+                start = stop
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["files"])
+
+    lines.select("rel", "packed", "line_no", "line").repartition("rel").sortWithinPartitions("rel", "line_no").mapInArrow(
+        write, "files long").agg(F.sum("files")).collect()
+
+
 def materialize_log_tree(spark: SparkSession, sf_dir: str) -> list[str]:
     """Write ``events`` as a log tree (daily files per run, source and stream,
     plain and gzipped, lines in event order) under a new folder of the
-    session's checkpoint folder and return the run roots.
-
-    Spark writes one file per leaf folder; a log file must bear its own name,
-    so each is then moved up from its folder (a rename per file, as many as
-    there are rotated files). Every call reads ``events`` and writes anew.
-    """
+    session's checkpoint folder and return the run roots. Every call reads
+    ``events`` and writes anew."""
     import uuid
-    from concurrent.futures import ThreadPoolExecutor
 
     from logloom.session import ensure_checkpoint_dir
 
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{TREE_DIR}/{uuid.uuid4().hex[:12]}"
-    fs = hadoop_path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    lines = tree_lines(spark, sf_dir).repartition("rel").sortWithinPartitions("rel", "line_no")
-    for packed, codec in ((False, "none"), (True, "gzip")):
-        # all lines of a file are in one task, and without a record limit in one part file
-        (lines.where(F.col("packed") == packed).select("rel", "line").write.partitionBy("rel")
-         .option("compression", codec).option("maxRecordsPerFile", "0").text(f"{base}/tmp-{codec}"))
-
-    def place(leaf) -> None:  # metadata calls only
-        rel = jvm.java.net.URLDecoder.decode(leaf.getName()[4:], "UTF-8")
-        parts = [x.getPath() for x in fs.listStatus(leaf) if x.getPath().getName().startswith("part-")]
-        target = hadoop_path(f"{base}/{rel}")
-        fs.mkdirs(target.getParent())
-        if len(parts) != 1 or not fs.rename(parts[0], target):
-            raise OSError(f"log file {rel} was not written as one part")
-
-    leaves = [x.getPath() for codec in ("none", "gzip") if fs.exists(hadoop_path(f"{base}/tmp-{codec}"))
-              for x in fs.listStatus(hadoop_path(f"{base}/tmp-{codec}")) if x.getPath().getName().startswith("rel=")]
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        list(pool.map(place, leaves))
+    write_log_files(tree_lines(spark, sf_dir), base)
     return [f"{base}/run-{i}" for i in range(N_RUNS)]

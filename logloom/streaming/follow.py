@@ -1,15 +1,16 @@
 """Follow the logs of running jobs (T1) with Structured Streaming.
 
-The file stream source picks up each new file under the run roots once,
-so rotated files (stderr--<date>--<hour>, *.gz) arrive as they are
-delivered; bytes appended to an active file after it was read are not
-re-read. Per-line work is the same stateless parse and filter chain as the
-batch path; the chronological merge, which needs whole files, is left to
-the batch query over the same tree.
+Two sources: Spark's file source picks up each new file under the run roots
+once, whole (for trees that only get rotated files); with ``growing`` the lines
+appended to active files arrive too, each once however files are rotated (see
+:mod:`growing`). Per-line work is the same stateless parse and filter chain as the
+batch path; :mod:`merged` puts the lines of a run into merged order.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from logloom.functions.parse import is_non_blank, parse_entries, split_lines
 from logloom.operators import filters as flt
 from logloom.sources.files import normalize_path
 from logloom.sources.scan import select_files
+from logloom.streaming.growing import GrowingFiles
 
 
 def _glob(roots: list[str]) -> str:
@@ -41,13 +43,45 @@ def follow_logs(spark: SparkSession, roots: str | list[str], source: str = "all"
                 level: str | list[str] | None = None, grep: str | None = None, focus: bool = False,
                 since: str | None = None,
                 include_log4j: bool = False, include_stacktrace: bool = False,
-                max_files_per_trigger: int | None = None) -> DataFrame:
+                max_files_per_trigger: int | None = None, growing: bool = False,
+                state: str | None = None) -> DataFrame:
     """Streaming DataFrame of parsed, filtered lines of new log files.
 
     Files are read line by line, so a plain file of any size is followed. A
-    damaged gzip file gives the lines before the damage.
+    damaged gzip file gives the lines before the damage; none with ``growing``,
+    which also adds ``line_no``, the place (byte, part) of a line in its file.
+    ``state`` is a folder of the growing source's own, kept over restarts.
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
+    entries = follow_growing(spark, roots, source, stream, include_log4j, include_stacktrace, state) if growing else _new_files(
+        spark, roots, source, stream, include_log4j, include_stacktrace, max_files_per_trigger)
+    if focus:
+        entries = flt.focus_filter(entries)
+    entries = flt.level_filter(entries, level)
+    if since is not None:  # relative values are re-evaluated in every micro-batch
+        entries = entries.where(F.col("timestamp") >= flt.since_column(since))
+    return flt.grep_filter(entries, grep)
+
+
+def follow_growing(spark: SparkSession, roots: list[str], source: str = "all", stream: str = "all",
+                   include_log4j: bool = False, include_stacktrace: bool = False,
+                   state: str | None = None, range_bytes: int | None = None) -> DataFrame:
+    """Parsed lines of all selected files as they grow, unfiltered."""
+    spark.dataSource.register(GrowingFiles)
+    reader = spark.readStream.format("logloom_growing").option("roots", json.dumps(roots))
+    if range_bytes:
+        reader = reader.option("rangeBytes", str(range_bytes))
+    if state:
+        reader = reader.option("state", state)
+    files = select_files(reader.load(), roots, source, stream, include_log4j, include_stacktrace)
+    files = files.withColumn("file_origin", normalize_path("_uri", encoded=True)).drop("_uri")
+    keep = [c for c in files.columns if c not in ("value", "at")]
+    lines = files.select(*keep, "at", F.posexplode(split_lines("value")).alias("part", "line"))
+    lines = lines.select(*keep, F.struct("at", F.col("part").cast("long").alias("row")).alias("line_no"), "line")
+    return parse_entries(lines.where(is_non_blank("line")))
+
+
+def _new_files(spark, roots, source, stream, include_log4j, include_stacktrace, max_files_per_trigger) -> DataFrame:
     reader = (spark.readStream.format("text").option("ignoreCorruptFiles", "true")
               .option("ignoreMissingFiles", "true"))
     if max_files_per_trigger:
@@ -60,13 +94,7 @@ def follow_logs(spark: SparkSession, roots: str | list[str], source: str = "all"
     files = files.withColumn("file_origin", normalize_path("_uri", encoded=True)).drop("_uri")
     keep = [c for c in files.columns if c != "value"]
     lines = files.select(*keep, F.explode(split_lines("value", full=False)).alias("line"))
-    entries = parse_entries(lines.where(is_non_blank("line")))
-    if focus:
-        entries = flt.focus_filter(entries)
-    entries = flt.level_filter(entries, level)
-    if since is not None:  # relative values are re-evaluated in every micro-batch
-        entries = entries.where(F.col("timestamp") >= flt.since_column(since))
-    return flt.grep_filter(entries, grep)
+    return parse_entries(lines.where(is_non_blank("line")))
 
 
 def follow_to(df: DataFrame, path: str, checkpoint: str, available_now: bool = False,
