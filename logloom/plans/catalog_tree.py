@@ -97,6 +97,32 @@ def q_follow_tree(spark, sf_dir):
         _run(), "source_type", "source_detail", "stream", "line")
 
 
+def q_follow_growing(spark, sf_dir):
+    """Active files that grow and are rotated, followed by a stream that is
+    started anew from its checkpoint after every step."""
+    from logloom.streaming.follow import follow_logs, follow_to
+
+    base, roots, steps = adapter.growing_tree(spark, sf_dir)
+    for step in steps:
+        step()
+        stream = follow_logs(spark, roots, level="ERROR", growing=True, state=f"{base}-held")
+        follow_to(stream, f"{base}-out", f"{base}-state", available_now=True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}-out").select(
+        _run(), "source_type", "source_detail", "stream", "line")
+
+
+def q_follow_merged(spark, sf_dir):
+    """The merged order of a tree, numbered by the stream."""
+    from logloom.streaming.follow import follow_merged, follow_to
+
+    base, roots, steps = adapter.growing_tree(spark, sf_dir)
+    steps[-1]()
+    stream = follow_merged(spark, roots, idle_seconds=0)
+    follow_to(stream, f"{base}-out", f"{base}-state", available_now=True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}-out").select(
+        _run(), F.col("seq").alias("merge_rank"), "source_type", "source_detail", "stream", "line", "late")
+
+
 def q_tail_one_stream(spark, sf_dir):
     """Last lines over all runs taken as one stream."""
     out = query_entries(adapter.log_entries(spark, sf_dir), level="ERROR", tail=TAIL_ONE_N, per_run=False, ordered=False)
@@ -156,6 +182,8 @@ TREE_QUERIES = {
     "discover_tree": q_discover_tree,
     "skipped_files": q_skipped_files,
     "follow_tree": q_follow_tree,
+    "follow_growing": q_follow_growing,
+    "follow_merged": q_follow_merged,
     "tail_one_stream": q_tail_one_stream,
     "write_read_jsonl": q_write_read_jsonl,
     "run_timeline": q_run_timeline,

@@ -29,6 +29,10 @@ FROM entries GROUP BY run_key, source_type, source_detail, stream""",
   stream || '--' || strftime(event_ts, '%Y-%m-%d') || '--00.gz' AS name FROM entries WHERE {damaged}""",
         "follow_tree": _w(ENTRIES_CTE, TREE_CTE)
         + "SELECT run_key AS run, source_type, source_detail, stream, line FROM entries_tree WHERE level = 40",
+        "follow_growing": _w(ENTRIES_CTE)
+        + "SELECT run_key AS run, source_type, source_detail, stream, line FROM entries WHERE level = 40",
+        "follow_merged": _w(ENTRIES_CTE, KEYED_CTE)
+        + "SELECT run_key AS run, merge_rank, source_type, source_detail, stream, line, false AS late FROM ranked",
         "tail_one_stream": _w(ENTRIES_CTE, KEYED_CTE) + f"""SELECT run_key, line_no, line FROM keyed WHERE level = 40
 ORDER BY run_key DESC, merge_ts DESC, file_idx DESC, line_no DESC LIMIT {C.TAIL_ONE_N}""",
         "write_read_jsonl": f"SELECT json FROM ({log_oracles()['format_jsonl']})",

@@ -319,6 +319,7 @@ N_RUNS = 4
 # Executor files of every GZ_EVERY-th day are gzipped; on DAMAGED_DAY one
 # file of that name holds plain text, so it is no archive and is dropped whole.
 GZ_EVERY = 4
+ROTATED_DRIVER, ROTATED_EXECUTOR = "--2024-12-31--23-59", "--2024-12-31--23"
 DAMAGED_DAY, DAMAGED_RUN, DAMAGED_SOURCE, DAMAGED_STREAM = 8, "run-0", "0", "stderr"
 
 
@@ -388,3 +389,36 @@ def materialize_log_tree(spark: SparkSession, sf_dir: str) -> list[str]:
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{TREE_DIR}/{uuid.uuid4().hex[:12]}"
     write_log_files(tree_lines(spark, sf_dir), base)
     return [f"{base}/run-{i}" for i in range(N_RUNS)]
+
+
+GROWTH_STEPS = 3
+
+
+def growing_tree(spark: SparkSession, sf_dir: str):
+    """(root folder, run roots, steps): a tree whose active files grow: calling
+    steps[k] writes the first (k + 1) thirds of ``events``; the last one, all of
+    them, and the files bear the names they are rotated to."""
+    import uuid
+
+    from pyarrow import fs as pafs
+
+    from logloom.session import ensure_checkpoint_dir
+    from logloom.sources.byte_files import file_system
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{TREE_DIR}/{uuid.uuid4().hex[:12]}"
+    lines = render_events(read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
+    lines = lines.withColumn("rel", F.regexp_replace("file_origin", "^/logs/", "")).withColumn("packed", F.lit(False))
+    low, high = lines.agg(F.min("line_no"), F.max("line_no")).first()
+
+    def step(k: int) -> None:
+        if k == GROWTH_STEPS - 1:
+            system, path = file_system(base, encoded=False)
+            for info in system.get_file_info(pafs.FileSelector(path, allow_not_found=True, recursive=True)):
+                if info.type == pafs.FileType.File:
+                    system.move(info.path, info.path + ROTATED_DRIVER * ("/driver/" in info.path) + ROTATED_EXECUTOR * ("/executor/" in info.path))
+        done = k == GROWTH_STEPS - 1
+        rotated = F.concat("rel", F.when(F.col("source_type") == "driver", ROTATED_DRIVER).otherwise(ROTATED_EXECUTOR))
+        part = lines.where(F.col("line_no") <= low + (high - low) * (k + 1) // GROWTH_STEPS)
+        write_log_files(part.withColumn("rel", rotated) if done else part, base)
+
+    return base, [f"{base}/run-{i}" for i in range(N_RUNS)], [lambda k=k: step(k) for k in range(GROWTH_STEPS)]

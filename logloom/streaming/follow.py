@@ -66,7 +66,8 @@ def follow_logs(spark: SparkSession, roots: str | list[str], source: str = "all"
 def follow_growing(spark: SparkSession, roots: list[str], source: str = "all", stream: str = "all",
                    include_log4j: bool = False, include_stacktrace: bool = False,
                    state: str | None = None, range_bytes: int | None = None) -> DataFrame:
-    """Parsed lines of all selected files as they grow, unfiltered."""
+    """Parsed lines of all selected files as they grow, unfiltered. ``fresh``
+    is true where no byte of the file was read before the batch."""
     spark.dataSource.register(GrowingFiles)
     reader = spark.readStream.format("logloom_growing").option("roots", json.dumps(roots))
     if range_bytes:
@@ -81,6 +82,22 @@ def follow_growing(spark: SparkSession, roots: list[str], source: str = "all", s
     return parse_entries(lines.where(is_non_blank("line")))
 
 
+def follow_merged(spark: SparkSession, roots: str | list[str], source: str = "all", stream: str = "all",
+                  level: str | list[str] | None = None, grep: str | None = None, focus: bool = False,
+                  include_log4j: bool = False, include_stacktrace: bool = False, delay: str = "10 minutes",
+                  idle_seconds: float = 600, state: str | None = None) -> DataFrame:
+    """Follow growing files with the lines of each run in merged order, numbered
+    by ``seq`` before the filters (see :mod:`merged`)."""
+    from logloom.streaming.merged import merged_stream
+
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    entries = follow_growing(spark, roots, source, stream, include_log4j, include_stacktrace, state)
+    entries = merged_stream(entries, delay, idle_seconds)
+    if focus:
+        entries = flt.focus_filter(entries)
+    return flt.grep_filter(flt.level_filter(entries, level), grep)
+
+
 def _new_files(spark, roots, source, stream, include_log4j, include_stacktrace, max_files_per_trigger) -> DataFrame:
     reader = (spark.readStream.format("text").option("ignoreCorruptFiles", "true")
               .option("ignoreMissingFiles", "true"))

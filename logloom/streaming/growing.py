@@ -46,8 +46,9 @@ RANGE_BYTES = 128 << 20
 EDGE_BYTES = 1024
 # places of rotated files that have not appeared yet, remembered for each series
 HELD = 8
-SCHEMA = "_uri string, at bigint, value string"
-_ARROW = pa.schema([("_uri", pa.string()), ("at", pa.int64()), ("value", pa.string())])
+# ``fresh``: no byte of the file has been read before
+SCHEMA = "_uri string, fresh boolean, at bigint, value string"
+_ARROW = pa.schema([("_uri", pa.string()), ("fresh", pa.bool_()), ("at", pa.int64()), ("value", pa.string())])
 
 # (name pattern, stream, active names) of driver and executor files
 _DRIVER = [(rules.DRIVER_STDERR, "stderr"), (rules.DRIVER_STDOUT, "stdout"), (rules.LOG4J_ACTIVE, "log4j"),
@@ -219,9 +220,10 @@ class GrowingReader(DataSourceStreamReader):
         return f"{folder}/{next((stream for pattern, stream in kinds if re.search(pattern, name)), name)}"
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        for places, lines in _new_lines(partition):
+        for fresh, places, lines in _new_lines(partition):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([partition.uri] * len(lines)), pa.array(places, pa.int64()), pa.array(lines, pa.string())], schema=_ARROW)
+                [pa.array([partition.uri] * len(lines)), pa.array([fresh] * len(lines)), pa.array(places, pa.int64()),
+                 pa.array(lines, pa.string())], schema=_ARROW)
 
     def commit(self, end: dict) -> None:
         pass
@@ -254,7 +256,8 @@ def _found(p: Range) -> str | None:
     return None
 
 
-def _new_lines(p: Range) -> Iterator[tuple[list[int], list[str]]]:
+def _new_lines(p: Range) -> Iterator[tuple[bool, list[int], list[str]]]:
+    """(fresh, places, lines) of a range."""
     uri = _found(p)
     if uri is None or (p.uri.endswith(".gz") and archive_text_bytes(uri) is None):  # gone, or damaged: dropped whole
         return
@@ -265,7 +268,7 @@ def _new_lines(p: Range) -> Iterator[tuple[list[int], list[str]]]:
         for places, ends, lines in lines_of(archive_pieces(uri), last=own):
             kept = [i for i, end in enumerate(ends) if end >= low and (high is None or end < high)]
             if kept:
-                yield [places[i] for i in kept], [lines[i] for i in kept]
+                yield not done, [places[i] for i in kept], [lines[i] for i in kept]
             if high is not None and ends[-1] >= high:
                 return
         return
@@ -284,7 +287,7 @@ def _new_lines(p: Range) -> Iterator[tuple[list[int], list[str]]]:
                 break
         f.seek(begin)
         for places, _, lines in lines_of(_bounded(f, p.high - begin), begin, last=p.ends):
-            yield places, lines
+            yield not done, places, lines
 
 
 def _bounded(f, size: int) -> Iterator[bytes]:

@@ -95,7 +95,7 @@ def test_a_batch_is_run_again_after_its_file_was_rotated(tmp_path):
     put(active, lines(0, 40, "new"))
 
     def read(start, end):
-        return Counter(x for p in growing.GrowingReader([str(tmp_path)]).partitions(start, end) for _, ls in growing._new_lines(p) for x in ls)
+        return Counter(x for p in growing.GrowingReader([str(tmp_path)]).partitions(start, end) for *_, ls in growing._new_lines(p) for x in ls)
 
     assert read({}, first) == names(("", 0, 10))
     assert read(first, second) == names(("", 10, 20))
@@ -121,7 +121,7 @@ def test_any_growth_gives_every_line_once(tmp_path):
                 put(active, text[:cut])
                 if rnd.random() < 0.3:
                     end = reader.latestOffset()
-                    got += Counter(x for p in reader.partitions(start, end) for _, ls in growing._new_lines(p) for x in ls)
+                    got += Counter(x for p in reader.partitions(start, end) for *_, ls in growing._new_lines(p) for x in ls)
                     start = end
                 put(active, text[cut:])
                 if rnd.random() < 0.3:
@@ -133,7 +133,7 @@ def test_any_growth_gives_every_line_once(tmp_path):
                     else:
                         os.rename(active, target)
             end = reader.latestOffset()
-            got += Counter(x for p in reader.partitions(start, end) for _, ls in growing._new_lines(p) for x in ls)
+            got += Counter(x for p in reader.partitions(start, end) for *_, ls in growing._new_lines(p) for x in ls)
             start = end
         assert got == want
 
