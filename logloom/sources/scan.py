@@ -7,22 +7,29 @@ prunes files before they are opened. File attributes are derived from the
 same path, so no file list passes through the driver and nothing is
 broadcast or joined.
 
-Plain files are read line by line (splittable); gzip files whole
-(``wholetext``), so that a damaged archive is dropped entirely, like a failed
-download, while its neighbours are kept. ``strict_corrupt=False`` reads gzip
-files line by line too. Files that are gone or unreadable when the query runs
-are left out; :func:`skipped_files` reports them.
+Plain files are read line by line (splittable). A gzip archive is inflated in
+its task twice, in bounded memory: first to its end, where length and checksum
+tell whether it is whole, then for its lines. So a damaged archive is dropped
+entirely, like a failed download, while its neighbours are kept, and an archive
+may hold any amount of text. ``strict_corrupt=False`` reads gzip files line by
+line like plain ones. Files that are gone or unreadable when the query runs are
+left out; :func:`skipped_files` reports them.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from logloom.functions.parse import is_non_blank, parse_entries, split_lines
 from logloom.operators.filters import source_filter, stream_filter
+from logloom.sources.byte_files import archive_pieces, archive_text_bytes, lines_of, readable
 from logloom.sources.files import normalize_path, with_file_attributes
 
 ENTRY_FIELDS = ["run_key", "source_type", "source_detail", "app_id", "stream", "file_timestamp", "file_origin",
@@ -104,8 +111,10 @@ def _read(spark: SparkSession, roots: list[str], gz: bool, whole: bool = True) -
         df = spark.createDataFrame([], "value string").withColumn("_metadata", F.struct(
             F.lit("").alias("file_path"), F.lit("").alias("file_name"), F.lit(0).cast("bigint").alias("file_block_start"),
             F.lit(0).cast("bigint").alias("file_size")))
+    elif gz and whole:  # a store that only Spark can open: at most 2 GB of text an archive
+        df = reader.option("pathGlobFilter", "*.gz").text(literal_paths(roots), wholetext=True)
     elif gz:
-        df = reader.option("pathGlobFilter", "*.gz").text(literal_paths(roots), wholetext=whole)
+        df = reader.option("pathGlobFilter", "*.gz").text(literal_paths(roots))
     else:
         df = reader.text(literal_paths(roots)).where(~F.col("_metadata.file_name").endswith(".gz"))
     return df.select(
@@ -116,19 +125,55 @@ def _read(spark: SparkSession, roots: list[str], gz: bool, whole: bool = True) -
     )
 
 
-def _lines(plain: DataFrame, packed: DataFrame, strict_corrupt: bool) -> DataFrame:
-    """Explode file content into lines and number them.
+def _archives(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(_uri, file_size) of the archives under ``roots``, dealt to tasks by size;
+    no file body is read."""
+    if not roots:
+        return spark.createDataFrame([], "_uri string, file_size bigint")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+    return reader.option("pathGlobFilter", "*.gz").load(literal_paths(roots)).select(
+        F.col("_metadata.file_path").alias("_uri"), F.col("_metadata.file_size").alias("file_size"))
+
+
+def whole_archives(archives: DataFrame) -> DataFrame:
+    """The rows of ``archives`` (``_uri``) whose file is a whole gzip archive."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([archive_text_bytes(uri) is not None for uri in batch["_uri"].to_pylist()], pa.bool_()))
+
+    return archives.mapInArrow(check, archives.schema)
+
+
+def archive_lines(archives: DataFrame) -> DataFrame:
+    """The lines (``value``, split at \\n) of all whole archives, in order, each
+    with its archive's columns; none of a damaged one."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, uri in enumerate(batch["_uri"].to_pylist()):
+                if archive_text_bytes(uri) is None:
+                    continue
+                for _, _, lines in lines_of(archive_pieces(uri)):
+                    same = pa.array(np.full(len(lines), i))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(c.take(same) for c in batch.columns), pa.array(lines, pa.string())], [*batch.schema.names, "value"])
 
-    Plain files: the Hadoop line reader splits \\n, \\r, \\r\\n; the other
-    Python line breaks are split here. gzip files: one row per file split on
-    every line break (strict), or line by line like plain files. Lines are
-    numbered after the split with monotonically_increasing_id: inside a file
-    split (one partition) the number grows with the line, so (split start,
-    number) orders a file.
+    return archives.mapInArrow(read, StructType([*archives.schema.fields, StructField("value", StringType())]))
+
+
+def _lines(plain: DataFrame, packed: DataFrame) -> DataFrame:
+    """Split file content into lines and number them.
+
+    What the readers have not split (Hadoop's: \\n, \\r, \\r\\n; the archive
+    reader: \\n; none in a whole text) is split here. Lines are numbered after
+    the split with monotonically_increasing_id: inside a file split (one
+    partition) the number grows with the line, so (split start, number) orders
+    a file.
     """
     keep = [*_ATTRS, "_uri", "block_start", "file_size"]
     plain = plain.select(*keep, F.explode(split_lines("value", full=False)).alias("line"))
-    packed = packed.select(*keep, F.explode(split_lines("value", full=strict_corrupt)).alias("line"))
+    breaks = F.col("value").contains("\n") | F.col("value").contains("\r")
+    packed = packed.select(*keep, F.explode(
+        F.when(breaks, split_lines("value")).otherwise(split_lines("value", full=False))).alias("line"))
     lines = plain.withColumn("_row", F.monotonically_increasing_id()).unionByName(
         packed.withColumn("_row", F.monotonically_increasing_id()))
     return lines.withColumn("line_no", F.struct(F.col("block_start"), F.col("_row").alias("row")))
@@ -143,16 +188,19 @@ def raw_lines(spark: SparkSession, roots: str | list[str], source: str = "all",
     """Lines of the selected files with their order key, blank lines kept.
 
     ``strict_corrupt`` alone decides how gzip files are read, at any size:
-    whole (a damaged archive is dropped; one whose text passes Spark's 2 GB
-    value limit is an error), or line by line (no limit; a damaged archive
-    keeps the lines before the damage).
+    checked to the end first (a damaged archive is dropped), or line by line (a
+    damaged archive keeps the lines before the damage).
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
     there = existing_roots(spark, roots)
     options = (roots, source, stream, include_log4j, include_stacktrace)
     plain = select_files(_read(spark, there, gz=False), *options)
-    packed = select_files(_read(spark, there, gz=True, whole=strict_corrupt), *options)
-    lines = _lines(plain, packed, strict_corrupt)
+    if strict_corrupt and all(map(readable, there)):
+        archives = select_files(_archives(spark, there), *options).withColumn("block_start", F.lit(0).cast("bigint"))
+        packed = archive_lines(archives.select(*_ATTRS, "_uri", "block_start", "file_size"))
+    else:
+        packed = select_files(_read(spark, there, gz=True, whole=strict_corrupt), *options)
+    lines = _lines(plain, packed)
     return lines.withColumn("file_origin", normalize_path("_uri", encoded=True)).select(*ENTRY_FIELDS)
 
 
@@ -197,7 +245,10 @@ def skipped_files(spark: SparkSession, files: DataFrame, roots: str | list[str],
     the folder has no size any more and is left out like an empty one.)"""
     roots = [roots] if isinstance(roots, str) else list(roots)
     there = existing_roots(spark, roots)
-    read = _read(spark, there, gz=False).select("_uri").unionByName(
-        _read(spark, there, gz=True, whole=strict_corrupt).select("_uri"))
+    if strict_corrupt and all(map(readable, there)):
+        packed = whole_archives(_archives(spark, there).select("_uri"))
+    else:
+        packed = _read(spark, there, gz=True, whole=strict_corrupt).select("_uri")
+    read = _read(spark, there, gz=False).select("_uri").unionByName(packed)
     read = read.distinct().select(normalize_path("_uri", encoded=True).alias("path"))
     return files.where(F.col("length") > 0).join(read, "path", "left_anti")
