@@ -22,105 +22,42 @@ the number of sequences as it is; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import os
-import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.llm.bpe import bounded_slices, ids_column, text_encoder
 from logloom.llm.common import materialise, with_row_key
 
 SALTS = 64
-# words whose ids a worker remembers (about 200 bytes each), in two generations
-CACHE_WORDS = 500_000
-DOCS_AT_ONCE = 256
-# separators of str.split that the tokenizer does not take as white space
-_NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-
-
-class WordEncoder:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes.
-
-    For tokenizers that drop white space and never join across it, the ids of
-    a text are those of its words in order, so each word is encoded once and
-    remembered."""
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
-        whole = [any(c in t for c in _NOT_SPACE) for t in texts]
-        split = [[] if w else t.split() for t, w in zip(texts, whole)]
-        ids = self._ids_of(set().union(*split))
-        return [self._encoded([t])[0] if w else b"".join(map(ids.__getitem__, s))
-                for t, s, w in zip(texts, split, whole)]
-
-    def _ids_of(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of every word. A full stop or comma after a letter is a token
-        run of its own, and case is dropped, so such words share the ids of
-        their core, and only cores are remembered."""
-        cores = {}
-        for w in words:
-            core = w[:-1] if w[-1] in ".," and w[-2:-1].isalpha() else w
-            cores[w] = core.lower() if core.isascii() and core.isalpha() else core
-        ids = {c: self.new.get(c) for c in {".", ",", *cores.values()}}
-        unknown = []
-        for c in [c for c, found in ids.items() if found is None]:
-            found = self.old.get(c)
-            if found is None:
-                unknown.append(c)
-            else:
-                ids[c] = self.new[c] = found
-        fresh = dict(zip(unknown, self._encoded(unknown)))
-        self.new.update(fresh)
-        ids.update(fresh)
-        for w, core in cores.items():
-            if w is not core:
-                ids[w] = ids[core] if len(core) == len(w) else ids[core] + ids[w[-1]]
-        return ids
-
-
-@lru_cache(maxsize=1)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """(doc_id, rid, piece, start, length, ids) of every document; ``ids`` are
     little-endian unsigned 32-bit. ``tokenizer`` is a file that every executor
     has, of a kind that drops white space and never joins across it."""
-    end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer)
+        encoder = text_encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(at, DOCS_AT_ONCE)
-                ids = [x + end for x in encoder.encode(part["text"].to_pylist())]
-                row = np.repeat(np.arange(len(ids)), [-(-len(x) // step) for x in ids])
-                piece = np.arange(len(row)) - np.searchsorted(row, row)
-                pieces = [ids[r][p * step:(p + 1) * step] for r, p in zip(row.tolist(), piece.tolist())]
+            for part in bounded_slices(batch, "text"):
+                ids, edges = encoder.encode(part["text"])
+                sizes = np.diff(edges)
+                # the end id behind each document's ids
+                ids = np.insert(ids, edges[1:], np.uint32(end_id))
+                sizes, edges = sizes + 1, edges + np.arange(len(edges))
+                count = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                # pieces follow each other without gaps
+                ends = np.append(edges[:-1][row] + start, edges[-1])
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"].take(take), part["rid"].take(take), pa.array(piece, pa.int32()),
-                     pa.array(piece * capacity, pa.int64()),
-                     pa.array([len(x) // 4 for x in pieces], pa.int64()), pa.array(pieces, pa.binary())],
-                    ["doc_id", "rid", "piece", "start", "length", "ids"])
+                    [part["doc_id"].take(take), part["rid"].take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                     pa.array(np.diff(ends), pa.int64()), ids_column(ids, ends)], ["doc_id", "rid", "piece", "start", "length", "ids"])
 
     rows = with_row_key(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -2,12 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from conftest import SMALL
-from logloom.llm import packing
+from logloom.llm import bpe, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -74,20 +75,19 @@ def test_ids_equal_the_tokenizer(small):
     odd = ["", " ", "don't  'S x's <|endoftext|> a<|endoftext|>b \x1c \x00 ﻿ x", "a　b\x85c d ́x 12 3",
            "ΑΣ İ K ﬁ ... !!\n?? —— “a”", "x" * 50_000, "é é\tÅ\r\x0b\x0c"]
     texts = odd + small("documents").text.tolist()
-    got = packing.WordEncoder(PATH).encode(texts)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [
+    ids, ends = bpe.TextEncoder(PATH).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [
         plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_a_full_cache_changes_nothing(small):
+def test_full_caches_change_nothing(small, monkeypatch):
     texts = small("documents").text.tolist()[:40]
-    encoder, kept = packing.WordEncoder(PATH), packing.CACHE_WORDS
-    want = encoder.encode(texts)
-    try:
-        packing.CACHE_WORDS = 10
-        assert [encoder.encode([t])[0] for t in texts] == want
-    finally:
-        packing.CACHE_WORDS = kept
+    encoder = bpe.TextEncoder(PATH)
+    want, ends = encoder.encode(pa.array(texts))
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
+    monkeypatch.setattr(bpe, "TABLE_PAIRS", 10)
+    for i, t in enumerate(texts):
+        assert encoder.encode(pa.array([t]))[0].tolist() == want[ends[i]:ends[i + 1]].tolist()
 
 
 def verify(rows, texts, capacity):
