@@ -7,18 +7,17 @@ of per-file streams, which is the same as sorting by
     (run_key, running max of the key inside the file, file order, line order)
 
 because a line whose key goes backwards is emitted right after its
-predecessor. The running max is computed in two levels so that no file,
-however large, is processed by a single task:
+predecessor. The running max is a segmented prefix, so that no file, however
+large, is processed by a single task, and the input is read once:
 
 1. lines are hash-partitioned once by (file, block), where a block is a
-   bounded range of lines (``block_rows`` lines, or a file split);
-2. a tiny per-block table (max stamp, first stamp, has-null) gets a prefix
-   max over the blocks of each file;
-3. a window inside each (file, block) finishes the running max.
-
-The per-block statistics come from a narrow pre-pass (keys and timestamp
-only, aggregated map-side), so only one row per block and map task is
-shuffled for them; the lines themselves are shuffled once, by (file, block).
+   bounded range of lines (``block_rows`` lines, or a file split); a window
+   inside each block gives every line the block's carry so far: the greatest
+   stamp, the first stamp, and whether a line has none;
+2. the lines are written once, in (file, block) order. A block's own carry is
+   that of its last line, so the carries are a filtered read of the table;
+3. the carries of the blocks before are combined (they form a monoid), in
+   groups of blocks and then over the groups, and joined back to the lines.
 """
 
 from __future__ import annotations
@@ -28,6 +27,8 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.session import write_and_read
+
 FILE_COLS = ["run_key", "file_origin"]
 DEFAULT_BLOCK_ROWS = 1 << 20
 # Blocks whose prefix is taken together, and the usual bytes of a file split.
@@ -46,6 +47,9 @@ def max_ts() -> Column:
 # Spark plans row_number() <= n as a per-partition top-n before the shuffle
 # up to this n (spark.sql.optimizer.windowGroupLimitThreshold default).
 WINDOW_GROUP_LIMIT = 1000
+# Quantiles of a run's merge keys that bracket the n-th; the sketch's error is a
+# tenth of a step.
+GRID = 1000
 
 
 # ----------------------------------------------------------------------- W2
@@ -89,104 +93,73 @@ def first_stamps(entries: DataFrame, order_col: str = "line_no") -> DataFrame:
 
 def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Column | None = None,
                     block_rows: int = DEFAULT_BLOCK_ROWS, num_partitions: int | None = None,
-                    stats_entries: DataFrame | None = None, within_block: Column | None = None) -> DataFrame:
-    """Add ``ts_key`` (W4 fallback applied) and ``merge_ts`` (W5 running max),
-    both as epoch microseconds (year 1 = file without any timestamp).
+                    within_block: Column | None = None) -> DataFrame:
+    """Add ``ts_key`` (W4 fallback applied), ``merge_ts`` (W5 running max), both
+    as epoch microseconds (year 1 = file without any timestamp), and
+    ``merge_block``, the block of the line in its file.
 
     ``order_col`` orders lines inside a file (a number or a struct);
     ``block`` groups consecutive lines into bounded blocks (default:
     ``line_no`` div ``block_rows``). Must run before any line-level filter:
-    keys are defined on all lines of a file.
-
-    ``stats_entries`` are the lines the cross-block pre-pass reads (default:
-    all of ``entries``). A caller that knows which files can span more than
-    one block passes only those files' lines; every other file is finished
-    inside its single block. ``within_block`` orders lines inside one block
-    (default ``order_col``; a fixed-width number keeps the aggregates
-    hash-based). Lines of a file scan (with ``block_start``, ``file_size``,
-    ``is_compressed``) get all three automatically.
+    keys are defined on all lines of a file. ``within_block`` orders lines
+    inside one block (default ``order_col``; a fixed-width number sorts
+    faster). Lines of a file scan (with ``block_start``, ``file_size``,
+    ``is_compressed``) get both automatically.
+
+    The lines are written to the checkpoint folder here, when the function is
+    called; the result reads that table.
     """
     scanned = {"block_start", "file_size", "is_compressed"} <= set(entries.columns)
-    if block is None and scanned:  # lines of a file scan: a block is a file split
-        block = F.col("block_start")
-    if within_block is None and scanned:  # inside a split the line number alone orders lines
-        within_block = F.col(order_col)["row"]
-    inner = within_block if within_block is not None else F.col(order_col)
-    if stats_entries is None and scanned:
-        from logloom.sources.scan import multi_block_lines
-
-        stats_entries = multi_block_lines(entries.sparkSession, entries)
-
+    if block is None:  # of a file scan: a block is a file split
+        block = F.col("block_start") if scanned else F.floor(F.col(order_col) / F.lit(block_rows))
+    if within_block is None:  # inside a split the line number alone orders lines
+        within_block = F.col(order_col)["row"] if scanned else F.col(order_col)
     # blocks are numbered one by one, or by their first byte
     group_span = BLOCKS_PER_GROUP * (SPLIT_BYTES if scanned else 1)
 
-    def keyed(df: DataFrame) -> DataFrame:
-        blk = block if block is not None else F.floor(F.col(order_col) / F.lit(block_rows))
-        return df.withColumn("_blk", blk).withColumn("_us", F.unix_micros("timestamp"))
-
-    part_cols = FILE_COLS + ["_blk"]
-    base = keyed(entries)
-    stats_src = base if stats_entries is None else keyed(stats_entries)
-    e = base.repartition(num_partitions, *part_cols) if num_partitions else base.repartition(*part_cols)
-
-    # per-block stats: a narrow aggregate with map-side partial aggregation
-    # (one row per block and map task is shuffled)
+    part_cols = [*FILE_COLS, "merge_block"]
+    rows = entries.withColumns({"merge_block": block, "_us": F.unix_micros("timestamp")})
+    rows = rows.repartition(num_partitions, *part_cols) if num_partitions else rows.repartition(*part_cols)
     us = F.col("_us")
-    blocks = stats_src.groupBy(*part_cols).agg(
-        F.max(us).alias("_bmax"),
-        F.min_by(us, F.when(us.isNotNull(), inner)).alias("_bfirst"),
-        F.max(us.isNull()).alias("_bnull"),
-    )
-    # prefix over the blocks of a file in two levels: inside groups of blocks,
-    # then over the groups, so that not even a file's block table is one task
-    blocks = blocks.withColumn("_grp", F.floor(F.col("_blk") / F.lit(group_span)))
-    group_cols = FILE_COLS + ["_grp"]
-    groups = blocks.groupBy(*group_cols).agg(
-        F.max("_bmax").alias("_gmax"),
-        F.min_by("_bfirst", F.when(F.col("_bfirst").isNotNull(), F.col("_blk"))).alias("_gfirst"),
-        F.max("_bnull").alias("_gnull"),
+    in_block = Window.partitionBy(*part_cols).orderBy(within_block)
+    so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select(
+        "*",
+        F.max(us).over(so_far).alias("_max"),
+        F.max(us.isNull()).over(so_far).alias("_null"),
+        F.first(us, ignorenulls=True).over(so_far).alias("_first"),
+        F.lead(F.lit(1)).over(in_block).isNull().alias("_last"),
     )
-    over_groups = Window.partitionBy(*FILE_COLS).orderBy("_grp")
-    earlier = over_groups.rowsBetween(Window.unboundedPreceding, -1)
-    whole = over_groups.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = write_and_read(entries.sparkSession, rows, "merge-lines")
+
+    # a group's carries, by block, in one row; then the carry over the groups before
+    carries = rows.where("_last").select(*part_cols, F.floor(F.col("merge_block") / F.lit(group_span)).alias("_grp"),
+                                         "_max", "_null", "_first")
+    groups = carries.groupBy(*FILE_COLS, "_grp").agg(F.sort_array(F.collect_list(
+        F.struct("merge_block", "_max", "_null", "_first"))).alias("_blocks"))
+    file_order = Window.partitionBy(*FILE_COLS).orderBy("_grp")
+    before = file_order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = file_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = F.filter(F.col("_blocks._first"), lambda x: x.isNotNull())
     groups = groups.select(
-        *group_cols, F.first("_gfirst", ignorenulls=True).over(whole).alias("_ffirst"),
-        F.max("_gmax").over(earlier).alias("_gcmax"), F.max("_gnull").over(earlier).alias("_gcnull"))
-    w_before = Window.partitionBy(*group_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        blocks.select(*part_cols, "_grp", F.max("_bmax").over(w_before).alias("_cmax"),
-                      F.max("_bnull").over(w_before).alias("_cnull"))
-        .join(groups, group_cols)
-        .select(*part_cols, "_ffirst", F.greatest("_cmax", "_gcmax").alias("_cmax"),
-                (F.coalesce("_cnull", F.lit(False)) | F.coalesce("_gcnull", F.lit(False))).alias("_cnull"))
-    )
+        *FILE_COLS, "_grp", "_blocks", F.max(F.array_max("_blocks._max")).over(before).alias("_gmax"),
+        F.max(F.exists("_blocks._null", lambda x: x)).over(before).alias("_gnull"),
+        F.first(F.get(firsts, F.lit(0)), ignorenulls=True).over(whole).alias("_file_first"))
+    blocks = groups.select(*FILE_COLS, "_grp", "_gmax", "_gnull", "_file_first", F.explode("_blocks").alias("_b"))
+    before = Window.partitionBy(*FILE_COLS, "_grp").orderBy("_b.merge_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        *FILE_COLS, F.col("_b.merge_block").alias("merge_block"), "_file_first",
+        F.greatest("_gmax", F.max("_b._max").over(before)).alias("_cmax"),
+        (F.coalesce("_gnull", F.lit(False)) | F.coalesce(F.max("_b._null").over(before), F.lit(False))).alias("_cnull"))
 
-    w_block = Window.partitionBy(*part_cols).orderBy(inner)
-    w_line = w_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_all = w_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     floor = F.lit(FLOOR_MICROS)
-    # a file absent from the stats is a single block: its own first stamp
-    fallback = F.coalesce(F.col("_ffirst"), F.col("_lfirst"), floor)
-    # one projection, so the three share one Window operator (same spec)
-    windowed = e.select(
-        "*",
-        F.max(us).over(w_line).alias("_rmax"),
-        F.max(us.isNull()).over(w_line).alias("_rnull"),
-        F.first(us, ignorenulls=True).over(w_all).alias("_lfirst"),
-    )
-    out = (
-        windowed.join(blocks, part_cols, "left")
-        .withColumn("ts_key", F.coalesce(us, fallback))
-        .withColumn(
-            "merge_ts",
-            F.greatest(
-                F.coalesce(F.col("_cmax"), floor),
-                F.coalesce(F.col("_rmax"), floor),
-                F.when(F.coalesce(F.col("_cnull"), F.lit(False)) | F.col("_rnull"), fallback).otherwise(floor),
-            ),
-        )
-    )
-    return out.drop("_blk", "_us", "_bmax", "_ffirst", "_cmax", "_cnull", "_rmax", "_rnull", "_lfirst")
+    fallback = F.coalesce("_file_first", floor)
+    out = rows.join(blocks, part_cols).withColumns({
+        "ts_key": F.coalesce(us, fallback),
+        # greatest() skips nulls
+        "merge_ts": F.greatest("_cmax", "_max", F.when(F.col("_cnull") | F.col("_null"), fallback), floor),
+    })
+    return out.drop("_us", "_max", "_null", "_first", "_last", "_file_first", "_cmax", "_cnull")
 
 
 def merge_sort_cols(order_col: str = "line_no") -> list[Column]:
@@ -236,29 +209,80 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[Column],
 
 
 # ----------------------------------------------------------------------- O2
+def _wanted(keyed: DataFrame, n: int, per_run: bool) -> DataFrame:
+    """(run_key, _total, _wanted): how many of a run's last rows belong to the
+    result, for every run that has any in it. Taken as one stream, runs follow
+    each other by run_key, so all but one of them are in it whole or not at all."""
+    sizes = keyed.groupBy("run_key").agg(F.count("*").alias("_total"))
+    skipped = F.lit(0)
+    if not per_run:  # rows of the runs nearer to the end that is counted from
+        order = Window.orderBy(F.col("run_key").desc() if n > 0 else F.col("run_key"))
+        skipped = F.coalesce(F.sum("_total").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.lit(abs(n)) - skipped
+    wanted = F.least("_total", left) if n > 0 else F.col("_total") - F.greatest(left, F.lit(0))
+    return sizes.withColumn("_wanted", wanted.cast("bigint")).where(F.col("_wanted") > 0)
+
+
+def _last_rows(keyed: DataFrame, wanted: DataFrame, order_col: str) -> DataFrame:
+    """The last ``_wanted`` rows of every run in merged order, without ranking
+    the rows: the merge key at which they begin is bracketed by a quantile
+    sketch and found by exact counts inside the bracket; rows that share it are
+    told apart by counts of their blocks, and only rows of the one block where
+    the cut falls are numbered.
+
+    Every step is a grouped count over the written lines. What is gathered for
+    one run is a row per key inside the bracket (a few thousandths of its
+    different keys), then a row per block; the bracket is wider than the
+    sketch's error, so the n-th key is always in it.
+    """
+    key = F.col("merge_ts")
+    grid = keyed.groupBy("run_key").agg(
+        F.percentile_approx(key, [i / GRID for i in range(GRID + 1)], 10 * GRID).alias("_grid"))
+    middle = F.floor((1 - F.col("_wanted") / F.col("_total")) * GRID).cast("int")
+    bracket = wanted.join(grid, "run_key").select(
+        "run_key", "_wanted", F.when(middle > 1, F.get("_grid", middle - 1)).alias("_low"),
+        F.when(middle < GRID - 2, F.get("_grid", middle + 2)).alias("_high"))
+    # rows above the bracket count as one, those inside by their key
+    inside = keyed.join(bracket, "run_key").where(F.col("_low").isNull() | (key >= F.col("_low")))
+    above = F.col("_high").isNotNull() & (key > F.col("_high"))
+    counts = inside.groupBy("run_key", "_wanted", F.when(~above, key).alias("_key")).agg(F.count("*").alias("_n"))
+    down = Window.partitionBy("run_key").orderBy(F.col("_key").desc_nulls_first())
+    counts = counts.withColumn("_upto", F.sum("_n").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rest = F.col("_wanted") - F.col("_upto") + F.col("_n")
+    # the key at which all wanted rows are reached, and how many of its rows are
+    nth = counts.where((rest > 0) & (F.col("_upto") >= F.col("_wanted"))).select("run_key", F.col("_key").alias("_nth"), rest.alias("_rest"))
+
+    # of the rows of that key: whole blocks, and lines of one block
+    places = keyed.join(nth, "run_key").where(key == F.col("_nth")).groupBy(*FILE_COLS, "merge_block", "_rest").agg(
+        F.first(file_sort_key()).alias("_file"), F.count("*").alias("_n"))
+    down = Window.partitionBy("run_key").orderBy(F.col("_file").desc(), F.col("merge_block").desc())
+    places = places.withColumn("_take", F.col("_rest") - F.coalesce(
+        F.sum("_n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_take") > 0)
+    places = places.select(*FILE_COLS, "merge_block", "_take", (F.col("_take") < F.col("_n")).alias("_cut"))
+
+    found = keyed.join(nth, "run_key").where(key >= F.col("_nth")).join(places, [*FILE_COLS, "merge_block"], "left")
+    tied = key == F.col("_nth")
+    whole = found.where(~tied | ~F.col("_cut"))
+    last = Window.partitionBy(*FILE_COLS, "merge_block").orderBy(F.col(order_col).desc())
+    cut = found.where(tied & F.col("_cut")).withColumn("_rn", F.row_number().over(last)).where(F.col("_rn") <= F.col("_take"))
+    return whole.select(*keyed.columns).unionByName(cut.select(*keyed.columns))
+
+
 def tail(entries: DataFrame, n: int | None, per_run: bool = True, order_col: str = "line_no") -> DataFrame:
     """Last ``n`` lines in merged order (per run by default).
 
     ``None`` or 0 keeps everything; ``-k`` drops the first ``k`` lines.
     Small ``n`` uses a per-partition top-n before the shuffle; large ``n``
-    and negative ``n`` use the distributed rank, so no run is ever gathered
-    into one task.
+    and negative ``n`` a distributed selection, so no run is ever gathered
+    into one task and nothing but the n-th place is ranked.
     """
     if not n:
         return entries
     keyed = entries if "merge_ts" in entries.columns else with_merge_keys(entries, order_col=order_col)
     cols = merge_sort_cols(order_col)
-    if not per_run:
-        if 0 < n <= WINDOW_GROUP_LIMIT:  # top-n per partition, n rows reach the final task
-            return keyed.orderBy(*[c.desc() for c in cols]).limit(n)
-        if n > 0:
-            return rank_within(keyed, [], cols, "_pos", descending=True).where(F.col("_pos") <= n).drop("_pos")
-        return rank_within(keyed, [], cols, "_pos").where(F.col("_pos") > -n).drop("_pos")
-    if 0 < n <= WINDOW_GROUP_LIMIT:
-        w = Window.partitionBy("run_key").orderBy(*[c.desc() for c in cols[1:]])
-        return keyed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-    if n > 0:
-        ranked = rank_within(keyed, ["run_key"], cols[1:], "_pos", descending=True)
-        return ranked.where(F.col("_pos") <= n).drop("_pos")
-    ranked = rank_within(keyed, ["run_key"], cols[1:], "_pos")
-    return ranked.where(F.col("_pos") > -n).drop("_pos")
+    if not 0 < n <= WINDOW_GROUP_LIMIT:
+        return _last_rows(keyed, _wanted(keyed, n, per_run), order_col)
+    if not per_run:  # top-n per partition, n rows reach the final task
+        return keyed.orderBy(*[c.desc() for c in cols]).limit(n)
+    w = Window.partitionBy("run_key").orderBy(*[c.desc() for c in cols[1:]])
+    return keyed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

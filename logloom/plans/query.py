@@ -33,15 +33,11 @@ def query_entries(
     now: _dt.datetime | None = None,
     order_col: str = "line_no",
     block=None,
-    stats_entries: DataFrame | None = None,
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Apply the viewer's options to parsed entries."""
     df = flt.stream_filter(flt.source_filter(entries, source), stream)
-    if stats_entries is not None:
-        stats_entries = flt.stream_filter(flt.source_filter(stats_entries, source), stream)
-    keyed = with_merge_keys(df, order_col=order_col, block=block, stats_entries=stats_entries,
-                            num_partitions=num_partitions)
+    keyed = with_merge_keys(df, order_col=order_col, block=block, num_partitions=num_partitions)
     if focus:
         keyed = flt.focus_filter(keyed)
     keyed = flt.level_filter(keyed, level)
@@ -66,7 +62,7 @@ def query_logs(spark, bases, source: str = "all", stream: str = "all", include_l
     entries = scan_logs(spark, bases, source=source, stream=stream, include_log4j=include_log4j,
                         include_stacktrace=include_stacktrace, strict_corrupt=strict_corrupt,
                         honor_offset=honor_offset)
-    # block = file split and the multi-split pre-pass are picked up by the merge
+    # block = file split is picked up by the merge
     return query_entries(entries, order_col="line_no", **options)
 
 

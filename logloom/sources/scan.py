@@ -217,26 +217,6 @@ def scan_logs(spark: SparkSession, roots: str | list[str], source: str = "all",
     return parse_entries(lines.where(is_non_blank("line")), honor_offset)
 
 
-def single_split_bytes(spark: SparkSession) -> int:
-    """Files up to this size are never split by the file source (the split
-    size is at least min(maxPartitionBytes, openCostInBytes))."""
-    def conf(key: str, default: str) -> int:
-        v = spark.conf.get(key, default).strip().lower()
-        units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-        v = v[:-1] if v.endswith("b") else v
-        return int(v[:-1]) * units[v[-1]] if v and v[-1] in units else int(v)
-
-    return min(conf("spark.sql.files.maxPartitionBytes", "128m"), conf("spark.sql.files.openCostInBytes", "4m"))
-
-
-def multi_block_lines(spark: SparkSession, entries: DataFrame) -> DataFrame:
-    """Lines of files that may span several splits: plain files above the
-    single-split size. The other files are read by the pre-pass as well (both
-    passes must see the same splits, and split size depends on the bytes
-    scanned); their lines are dropped before they are parsed."""
-    return entries.where(~F.col("is_compressed") & (F.col("file_size") > F.lit(single_split_bytes(spark))))
-
-
 def skipped_files(spark: SparkSession, files: DataFrame, roots: str | list[str],
                   strict_corrupt: bool = True) -> DataFrame:
     """Non-empty log files of ``files`` that gave no rows (S14): unreadable,

@@ -150,3 +150,28 @@ def test_rank_hot_group_spans_partitions(spark):
     got = {(r.g, r.k): r.rk for r in ranked.collect()}
     assert all(got[("hot", i)] == i + 1 for i in range(3000))
     assert all(got[("cold", i)] == i + 1 for i in range(10))
+
+
+def test_large_tails_equal_the_sorted_order(spark):
+    """Selection of the n-th row: ties over files and blocks, any n, from both
+    ends, per run and over all runs; also a run that is one single key."""
+    import random
+
+    rnd = random.Random(9)
+    runs = {r: [[rnd.choice([None, *range(span)]) for _ in range(rnd.randrange(1, 60))] for _ in range(rnd.randrange(1, 5))]
+            for r, span in (("a", 4), ("b", 200), ("c", 1))}
+    runs["d"] = [[None] * 30, [None] * 30]
+    df = None
+    for run, files in runs.items():
+        one = make(spark, files, run)
+        df = one if df is None else df.unionByName(one)
+    from logloom.operators import merge
+
+    keyed = with_merge_keys(df, block_rows=5).cache()
+    order = {r: [f"{r}{x}" for x in expected(files)] for r, files in runs.items()}
+    everything = [x for r in sorted(order) for x in order[r]]
+    for n in (1, 7, 40, 61, 100, 10_000, -1, -13, -59, -200, -10_000):
+        got = {f"{r.run_key}{r.line}" for r in merge._last_rows(keyed, merge._wanted(keyed, n, True), "line_no").collect()}
+        assert got == {x for r in order.values() for x in (r[-n:] if n > 0 else r[-n:])}, n
+        got = [f"{r.run_key}{r.line}" for r in merge._last_rows(keyed, merge._wanted(keyed, n, False), "line_no").collect()]
+        assert sorted(got) == sorted(everything[-n:]), n
