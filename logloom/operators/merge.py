@@ -13,7 +13,7 @@ large, is processed by a single task, and the input is read once:
 1. lines are hash-partitioned once by (file, block), where a block is a
    bounded range of lines (``block_rows`` lines, or a file split); a window
    inside each block gives every line the block's carry so far: the greatest
-   stamp, the first stamp, and whether a line has none;
+   stamp, the first stamp, whether a line has none, and the last line with one;
 2. the lines are written once, in (file, block) order. A block's own carry is
    that of its last line, so the carries are a filtered read of the table;
 3. the carries of the blocks before are combined (they form a monoid), in
@@ -95,8 +95,9 @@ def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Colum
                     block_rows: int = DEFAULT_BLOCK_ROWS, num_partitions: int | None = None,
                     within_block: Column | None = None) -> DataFrame:
     """Add ``ts_key`` (W4 fallback applied), ``merge_ts`` (W5 running max), both
-    as epoch microseconds (year 1 = file without any timestamp), and
-    ``merge_block``, the block of the line in its file.
+    as epoch microseconds (year 1 = file without any timestamp),
+    ``merge_block``, the block of the line in its file, and ``event_line``, the
+    order key of the last line with a timestamp up to here (null: none yet).
 
     ``order_col`` orders lines inside a file (a number or a struct);
     ``block`` groups consecutive lines into bounded blocks (default:
@@ -128,38 +129,44 @@ def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Colum
         F.max(us).over(so_far).alias("_max"),
         F.max(us.isNull()).over(so_far).alias("_null"),
         F.first(us, ignorenulls=True).over(so_far).alias("_first"),
+        F.last(F.when(us.isNotNull(), F.col(order_col)), ignorenulls=True).over(so_far).alias("_head"),
         F.lead(F.lit(1)).over(in_block).isNull().alias("_last"),
     )
     rows = write_and_read(entries.sparkSession, rows, "merge-lines")
 
     # a group's carries, by block, in one row; then the carry over the groups before
     carries = rows.where("_last").select(*part_cols, F.floor(F.col("merge_block") / F.lit(group_span)).alias("_grp"),
-                                         "_max", "_null", "_first")
+                                         "_max", "_null", "_first", "_head")
     groups = carries.groupBy(*FILE_COLS, "_grp").agg(F.sort_array(F.collect_list(
-        F.struct("merge_block", "_max", "_null", "_first"))).alias("_blocks"))
+        F.struct("merge_block", "_max", "_null", "_first", "_head"))).alias("_blocks"))
     file_order = Window.partitionBy(*FILE_COLS).orderBy("_grp")
     before = file_order.rowsBetween(Window.unboundedPreceding, -1)
     whole = file_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = F.filter(F.col("_blocks._first"), lambda x: x.isNotNull())
+    heads = F.filter(F.col("_blocks._head"), lambda x: x.isNotNull())
     groups = groups.select(
         *FILE_COLS, "_grp", "_blocks", F.max(F.array_max("_blocks._max")).over(before).alias("_gmax"),
         F.max(F.exists("_blocks._null", lambda x: x)).over(before).alias("_gnull"),
+        F.last(F.try_element_at(heads, F.lit(-1)), ignorenulls=True).over(before).alias("_ghead"),
         F.first(F.get(firsts, F.lit(0)), ignorenulls=True).over(whole).alias("_file_first"))
-    blocks = groups.select(*FILE_COLS, "_grp", "_gmax", "_gnull", "_file_first", F.explode("_blocks").alias("_b"))
+    blocks = groups.select(*FILE_COLS, "_grp", "_gmax", "_gnull", "_ghead", "_file_first",
+                           F.explode("_blocks").alias("_b"))
     before = Window.partitionBy(*FILE_COLS, "_grp").orderBy("_b.merge_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(
         *FILE_COLS, F.col("_b.merge_block").alias("merge_block"), "_file_first",
         F.greatest("_gmax", F.max("_b._max").over(before)).alias("_cmax"),
+        F.coalesce(F.last("_b._head", ignorenulls=True).over(before), "_ghead").alias("_chead"),
         (F.coalesce("_gnull", F.lit(False)) | F.coalesce(F.max("_b._null").over(before), F.lit(False))).alias("_cnull"))
 
     floor = F.lit(FLOOR_MICROS)
     fallback = F.coalesce("_file_first", floor)
     out = rows.join(blocks, part_cols).withColumns({
         "ts_key": F.coalesce(us, fallback),
+        "event_line": F.coalesce("_head", "_chead"),
         # greatest() skips nulls
         "merge_ts": F.greatest("_cmax", "_max", F.when(F.col("_cnull") | F.col("_null"), fallback), floor),
     })
-    return out.drop("_us", "_max", "_null", "_first", "_last", "_file_first", "_cmax", "_cnull")
+    return out.drop("_us", "_max", "_null", "_first", "_head", "_last", "_file_first", "_cmax", "_cnull", "_chead")
 
 
 def merge_sort_cols(order_col: str = "line_no") -> list[Column]:

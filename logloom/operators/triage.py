@@ -88,6 +88,52 @@ def first_error(entries: DataFrame, order_col: str = "line_no") -> DataFrame:
     )
 
 
+# ------------------------------------------------- A4: events and their causes
+def cause_of(line: str = "line"):
+    """What a line says is wrong: the text behind ``Caused by:``, a line that is
+    an exception and its message (as tracebacks end), null for other lines."""
+    text = F.col(line)
+    caused = F.regexp_extract(text, rules.CAUSED_BY, 1)
+    raised = F.regexp_extract(text, rules.RAISED, 1)
+    return F.when(caused != "", caused).when(raised != "", raised)
+
+
+def assemble_events(entries: DataFrame, order_col: str = "line_no", with_lines: bool = True) -> DataFrame:
+    """One row per event: a line with a timestamp and the lines without one that
+    follow it in its file (stack trace, traceback), whatever blocks they lie in;
+    what precedes a file's first timestamp is an event without head.
+
+    ``cause`` is the innermost one: the last link of the ``Caused by`` chain, or
+    the last exception line, else the exception named in the head line;
+    ``cause_class`` its exception class. ``lines`` are all lines in order (an
+    event then has to fit into a row; without them all columns are aggregated
+    before the shuffle)."""
+    keyed = entries if "event_line" in entries.columns else with_merge_keys(entries, order_col=order_col)
+    head = F.col("timestamp").isNotNull()
+    rows = keyed.select(
+        "run_key", "file_origin", "source_type", "source_detail", "stream", "event_line", "merge_ts", "timestamp", "level", "line",
+        F.col(order_col).alias("_at"), F.when(~head, cause_of()).alias("_cause"), head.alias("_is_head"))
+    linked = F.col("_cause").isNotNull()
+    found = [
+        F.min("merge_ts").alias("merge_ts"), F.max("timestamp").alias("timestamp"), F.max(F.when(F.col("_is_head"), F.col("level"))).alias("level"),
+        F.max(F.when(F.col("_is_head"), F.col("line"))).alias("head"), F.count("*").alias("n_lines"), F.count_if(linked).alias("n_causes"),
+        F.max_by("_cause", F.when(linked, F.col("_at"))).alias("_cause")]
+    if with_lines:
+        found.append(F.transform(F.sort_array(F.collect_list(F.struct("_at", "line"))), lambda x: x["line"]).alias("lines"))
+    out = rows.groupBy("run_key", "file_origin", "source_type", "source_detail", "stream", "event_line").agg(*found)
+    named = F.regexp_extract(F.coalesce("head", F.lit("")), rules.NAMED_EXCEPTION, 0)
+    out = out.withColumn("cause", F.coalesce("_cause", F.when(named != "", named))).drop("_cause")
+    return out.withColumn("cause_class", F.when(F.col("cause").isNotNull(), F.regexp_extract("cause", r"^[^:\s]+", 0)))
+
+
+def cause_spread(events: DataFrame) -> DataFrame:
+    """Per run and innermost cause class: events, sources with it, and when it
+    was first seen (merged order)."""
+    src = F.concat_ws(":", "source_type", "source_detail")
+    return events.where(F.col("cause_class").isNotNull()).groupBy("run_key", "cause_class").agg(
+        F.count("*").alias("n_events"), F.countDistinct(src).alias("n_sources"), F.min("merge_ts").alias("first_us"))
+
+
 # ------------------------------------------------------------------- G1 (entries)
 def files_of(entries: DataFrame) -> DataFrame:
     """Distinct files seen in entries (one row per file)."""

@@ -154,6 +154,28 @@ def q_first_error(spark, sf_dir):
     return tri.first_error(_keyed(spark, sf_dir))
 
 
+def _events(spark, sf_dir):
+    """Events of the log lines, whose stack frames here are links of a chain,
+    ends of a traceback, or frames."""
+    e, n = _entries(spark, sf_dir), F.col("line_no").cast("string")
+    link = F.when(F.col("line_no") % 7 < 3, F.concat(F.lit("Caused by: org.acme.Fault"), (F.col("line_no") % 7).cast("string"),
+                                                     F.lit("Exception: event "), n))
+    link = link.when(F.col("line_no") % 7 == 3, F.concat(F.lit("acme.RangeError: event "), n)).otherwise(F.lit(adapter.STACK_LINE))
+    e = e.withColumn("line", F.when(F.col("line") == adapter.STACK_LINE, link).otherwise(F.col("line")))
+    return tri.assemble_events(with_merge_keys(e, block_rows=QUERY_BLOCK_ROWS))
+
+
+def q_events(spark, sf_dir):
+    return _events(spark, sf_dir).select(
+        "run_key", "file_origin", "event_line", "level", "head", "n_lines", "n_causes", "cause", "cause_class",
+        F.array_join("lines", "\n").alias("text"))
+
+
+def q_cause_spread(spark, sf_dir):
+    out = tri.cause_spread(_events(spark, sf_dir))
+    return out.withColumn("first_seen", iso_timestamp(F.timestamp_micros("first_us"))).drop("first_us")
+
+
 def q_executor_spread(spark, sf_dir):
     return tri.executor_spread(_entries(spark, sf_dir))
 
@@ -231,6 +253,8 @@ LOG_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "errors_by_source": q_errors_by_source,
     "root_cause_counts": q_root_cause_counts,
     "first_error": q_first_error,
+    "events": q_events,
+    "cause_spread": q_cause_spread,
     "executor_spread": q_executor_spread,
     "run_compare": q_run_compare,
     "error_timeline": q_error_timeline,

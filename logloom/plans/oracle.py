@@ -109,6 +109,33 @@ ranked AS (
 )"""
 
 
+# Events: a stamped line and the lines without stamp behind it, with the last
+# cause among these, else the exception the stamped line names.
+EVENTS_CTE = f"""chained AS (
+  SELECT * REPLACE (CASE WHEN line <> '{A.STACK_LINE}' THEN line
+    WHEN line_no % 7 < 3 THEN 'Caused by: org.acme.Fault' || line_no % 7 || 'Exception: event ' || line_no
+    WHEN line_no % 7 = 3 THEN 'acme.RangeError: event ' || line_no ELSE line END AS line) FROM keyed
+),
+linked AS (
+  SELECT *, max(CASE WHEN ts IS NOT NULL THEN line_no END) OVER (
+      PARTITION BY run_key, file_origin ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS event_line,
+    CASE WHEN ts IS NOT NULL THEN NULL WHEN line LIKE 'Caused by: %' THEN substr(line, 12)
+         WHEN line LIKE 'acme.RangeError: %' THEN line END AS link
+  FROM chained
+),
+events0 AS (
+  SELECT run_key, file_origin, source_type, source_detail, event_line, min(merge_ts) AS merge_ts,
+    max(CASE WHEN ts IS NOT NULL THEN level END) AS level, max(CASE WHEN ts IS NOT NULL THEN line END) AS head,
+    count(*) AS n_lines, count(link) AS n_causes, arg_max(link, line_no) FILTER (WHERE link IS NOT NULL) AS link,
+    string_agg(line, chr(10) ORDER BY line_no) AS text
+  FROM linked GROUP BY ALL
+),
+log_events AS (
+  SELECT *, coalesce(link, nullif(regexp_extract(coalesce(head, ''), '(?:[A-Za-z0-9]+[.])*[A-Z][A-Za-z0-9]*(?:Error|Exception): .*', 0), '')) AS cause
+  FROM events0
+)"""
+
+
 def iso(col: str) -> str:
     return (f"(strftime({col}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime({col}, '%f') = '000000' THEN '' "
             f"ELSE '.' || strftime({col}, '%f') END || '+00:00')")
@@ -212,6 +239,11 @@ FROM entries GROUP BY run_key, file_origin""",
         f"{_level_name()} AS level_name FROM entries WHERE level IN (40, 30) "
         "GROUP BY run_key, source_type, source_detail, level",
         "root_cause_counts": _w(E, _classes()) + "SELECT * FROM class_counts",
+        "events": _w(E, K, EVENTS_CTE) + """SELECT run_key, file_origin, event_line, level, head, n_lines, n_causes, cause,
+  split_part(cause, ':', 1) AS cause_class, text FROM log_events""",
+        "cause_spread": _w(E, K, EVENTS_CTE) + f"""SELECT run_key, split_part(cause, ':', 1) AS cause_class, count(*) AS n_events,
+  count(DISTINCT source_type || ':' || source_detail) AS n_sources, {iso('min(merge_ts)')} AS first_seen
+FROM log_events WHERE cause IS NOT NULL GROUP BY ALL""",
         "first_error": _w(E, K) + f"""SELECT run_key,
   CASE WHEN ts IS NULL THEN NULL ELSE {iso('ts')} END AS first_error_time,
   source_type, source_detail, stream, line, file_origin, line_no, n_errors

@@ -135,3 +135,11 @@ UNCLEAR_ACTION = (
     "Check a specific executor's full logs, look at driver log4j, "
     "compare with a previous successful run, widen the log level"
 )
+
+# ---------------------------------------------------------------------------
+# Cause chains (own values): a link of a Java chain, a line that ends a Python
+# traceback or begins a Java one, an exception named inside a line
+# ---------------------------------------------------------------------------
+CAUSED_BY = r"^\s*Caused by: (.+)$"
+RAISED = r"^((?:[A-Za-z_][\w$]*\.)*[A-Z][\w$]*(?:Error|Exception|Exit|Interrupt)(?:: .*)?)$"
+NAMED_EXCEPTION = r"(?:[A-Za-z_][\w$]*\.)*[A-Z][\w$]*(?:Error|Exception)\b.*"
