@@ -17,7 +17,8 @@ large, is processed by a single task, and the input is read once:
 2. the lines are written once, in (file, block) order. A block's own carry is
    that of its last line, so the carries are a filtered read of the table;
 3. the carries of the blocks before are combined (they form a monoid), in
-   groups of blocks and then over the groups, and joined back to the lines.
+   groups of blocks and then over the groups, written (a row per block) and
+   joined back to the lines.
 """
 
 from __future__ import annotations
@@ -158,6 +159,7 @@ def with_merge_keys(entries: DataFrame, order_col: str = "line_no", block: Colum
         F.coalesce(F.last("_b._head", ignorenulls=True).over(before), "_ghead").alias("_chead"),
         (F.coalesce("_gnull", F.lit(False)) | F.coalesce(F.max("_b._null").over(before), F.lit(False))).alias("_cnull"))
 
+    blocks = write_and_read(entries.sparkSession, blocks.drop("_grp"), "merge-blocks")
     floor = F.lit(FLOOR_MICROS)
     fallback = F.coalesce("_file_first", floor)
     out = rows.join(blocks, part_cols).withColumns({
@@ -217,10 +219,12 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[Column],
 
 # ----------------------------------------------------------------------- O2
 def _wanted(keyed: DataFrame, n: int, per_run: bool) -> DataFrame:
-    """(run_key, _total, _wanted): how many of a run's last rows belong to the
-    result, for every run that has any in it. Taken as one stream, runs follow
-    each other by run_key, so all but one of them are in it whole or not at all."""
-    sizes = keyed.groupBy("run_key").agg(F.count("*").alias("_total"))
+    """(run_key, _total, _wanted, _grid): how many of a run's last rows belong to
+    the result, for every run that has any in it, and the quantiles of its merge
+    keys. Taken as one stream, runs follow each other by run_key, so all but one
+    of them are in it whole or not at all."""
+    sizes = keyed.groupBy("run_key").agg(F.count("*").alias("_total"), F.percentile_approx(
+        "merge_ts", [i / GRID for i in range(GRID + 1)], 10 * GRID).alias("_grid"))
     skipped = F.lit(0)
     if not per_run:  # rows of the runs nearer to the end that is counted from
         order = Window.orderBy(F.col("run_key").desc() if n > 0 else F.col("run_key"))
@@ -243,10 +247,8 @@ def _last_rows(keyed: DataFrame, wanted: DataFrame, order_col: str) -> DataFrame
     sketch's error, so the n-th key is always in it.
     """
     key = F.col("merge_ts")
-    grid = keyed.groupBy("run_key").agg(
-        F.percentile_approx(key, [i / GRID for i in range(GRID + 1)], 10 * GRID).alias("_grid"))
     middle = F.floor((1 - F.col("_wanted") / F.col("_total")) * GRID).cast("int")
-    bracket = wanted.join(grid, "run_key").select(
+    bracket = wanted.select(
         "run_key", "_wanted", F.when(middle > 1, F.get("_grid", middle - 1)).alias("_low"),
         F.when(middle < GRID - 2, F.get("_grid", middle + 2)).alias("_high"))
     # rows above the bracket count as one, those inside by their key
