@@ -1,21 +1,24 @@
 """Benchmark decontamination by winnowing.
 
 Both sides are cut into words (ASCII letters and digits, lower-cased, and all
-non-ASCII). Of every ``window`` consecutive words the minimum of their k-gram
-hashes is kept (all its places, if it ties), so two texts that share a window
-share a fingerprint at the same place of it: no shared window is missed.
-Document and benchmark fingerprints are joined; each hit fixes a diagonal
-(document place minus item place), along which equal words are extended into
-runs. Runs as long as the item's window are hits. Items of fewer words than a
-window are one window of their own length; their first word is looked up in
-every document word's hash, and the same extension verifies them.
-
-The fingerprints of the benchmark are broadcast when their count is below
-``BROADCAST_ROWS``; beyond it they are joined by a shuffle.
+non-ASCII), and each word is hashed once. Of every ``window`` consecutive words
+the minimum of their k-gram hashes is kept (the leftmost, if it ties), so two
+texts that share a window share a fingerprint at the same place of it: no shared
+window is missed. Document and benchmark fingerprints are joined; each hit fixes
+a diagonal (document place minus item place), along which equal words are
+extended into runs. A document's diagonals are extended together, so its text is
+read once. Runs as long as the item's window are hits. Items of fewer words than
+a window are one window of their own length: all their words together are looked
+up among the documents' windows of that length.
+
+The benchmark's tables are broadcast when their rows and bytes are below
+``BROADCAST_ROWS`` and ``BROADCAST_BYTES``; beyond that they are joined by a
+shuffle.
 
 Defined results: a null or empty text has no words, is never hit and, as an
 item, never occurs; repeated items each count under their item_id; repeated
-documents each get the same row; empty tables give no hits or no rows.
+documents each get the same row; very long texts are whole, one row each; empty
+tables give no hits or no rows.
 """
 
 from __future__ import annotations
@@ -26,64 +29,66 @@ from pyspark.sql import functions as F
 from logloom.llm.common import materialise, with_row_key, words_array
 
 KGRAM = 6
-# rows of (hash, item_id, position): at most 24 MB in memory each side
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
+# low bits of a packed k-gram that hold its place: no text has as many words
+PLACE_BITS = 30
 
 
-def kgram_hashes(words: str, k: int) -> Column:
-    """Hash of the k words that start at each position (none past the end).
-    The words are hashed once; k-gram hashes combine those numbers."""
-    count = F.size(words) - (k - 1)
-    return F.when(count >= 1, F.transform(
-        F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(F.col(words), i, k))
-    )).otherwise(F.array().cast("array<bigint>"))
-
-
-def winnowed(hashes: str, span: int) -> Column:
-    """array<struct<hash,pos>> of the k-grams that are the minimum of any
-    ``span`` consecutive ones (of all of them, if there are fewer)."""
-    n = F.size(hashes)
-    minima = F.transform(F.sequence(F.lit(1), F.greatest(n - (span - 1), F.lit(1))),
-                         lambda i: F.array_min(F.slice(F.col(hashes), i, span)))
-    # position i (from 0) is kept if it equals the minimum of a window over it
-    first = lambda i: F.greatest(i - (span - 2), F.lit(1))
-    marked = F.zip_with(
-        F.col(hashes), F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-        lambda h, i: F.when(
-            h == F.array_max(F.slice(F.col("minima"), first(i), F.least(i, F.lit(span - 1)) + 1)),
-            F.struct(h.alias("hash"), i.alias("pos"))))
-    return minima, marked
+def _kgram(hashes: str, start: Column, k: int) -> Column:
+    return F.xxhash64(F.slice(F.col(hashes), start, k))
 
 
 def fingerprints(words: DataFrame, key: str, window: int, k: int) -> DataFrame:
-    """(key, hash, pos) of the winnowed k-grams of ``words``."""
-    hashed = words.where(F.size("words") >= k).select(key, kgram_hashes("words", k).alias("hashes"))
-    minima, marked = winnowed("hashes", window - k + 1)
-    return (hashed.withColumn("minima", minima)
-            .select(key, F.explode(F.array_compact(marked)).alias("fp"))
-            .select(key, F.col("fp.hash").alias("hash"), F.col("fp.pos").alias("pos")))
-
-
-def _sized(df: DataFrame) -> DataFrame:
-    """Broadcast a materialised table only behind a count of its rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """(key, hash, pos) of the winnowed k-grams of ``words``: of every
+    ``window`` words the k-gram of least hash. Texts of fewer words give none."""
+    span, place = window - k + 1, (1 << PLACE_BITS) - 1
+    hashed = words.select(key, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    count = F.size("hashes") - (k - 1)
+    # high bits of a k-gram's hash, then its place: the least is the leftmost minimum
+    packed = F.transform(F.sequence(F.lit(1), count), lambda i: F.shiftleft(F.shiftright(
+        _kgram("hashes", i, k), PLACE_BITS), PLACE_BITS).bitwiseOR((i - 1).cast("long")))
+    hashed = hashed.select(key, "hashes", F.when(count >= span, packed).alias("packed"))
+    least = F.transform(F.sequence(F.lit(1), F.size("packed") - (span - 1)),
+                        lambda i: F.array_min(F.slice(F.col("packed"), i, span)))
+    kept = hashed.select(key, "hashes", F.when(F.col("packed").isNotNull(), F.array_distinct(least)).alias("kept"))
+    found = F.transform("kept", lambda m: F.struct(
+        _kgram("hashes", m.bitwiseAND(F.lit(place)).cast("int") + 1, k).alias("hash"),
+        m.bitwiseAND(F.lit(place)).cast("int").alias("pos")))
+    return kept.select(key, F.explode(found).alias("fp")).select(key, "fp.hash", "fp.pos")
+
+
+def _sized(df: DataFrame, words: str | None = None) -> DataFrame:
+    """Broadcast a materialised table only behind a count of its rows and of the
+    bytes in its column of ``words``."""
+    size = F.sum(F.octet_length(F.array_join(words, " ")) + 8 * F.size(words)) if words else F.lit(0)
+    rows, size = df.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def diagonals(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
     """Distinct (rid, item, diag): alignments that share a fingerprint."""
-    long_items = materialise(
-        fingerprints(items.where(F.size("words") >= window), "item", window, k), "item_fingerprints")
-    hits = (fingerprints(docs.where(F.size("words") >= window), "rid", window, k)
-            .withColumnRenamed("pos", "doc_pos").join(_sized(long_items), "hash")
-            .select("rid", "item", (F.col("doc_pos") - F.col("pos")).alias("diag")))
-    # items of fewer words than a window: all documents' words by their first word
-    short = materialise(items.where((F.size("words") > 0) & (F.size("words") < window))
-                        .select("item", "words", F.element_at("words", 1).alias("word")), "short_items")
-    if not short.isEmpty():
-        places = docs.select("rid", F.posexplode("words").alias("diag", "word"))
-        hits = hits.unionByName(places.join(_sized(short.select("item", "word")), "word")
-                                .select("rid", "item", "diag"))
-    return hits.distinct()
+    long_items = materialise(fingerprints(items, "item", window, k), "item_fingerprints")
+    hits = fingerprints(docs, "rid", window, k).withColumnRenamed("pos", "doc_pos").join(_sized(long_items), "hash")
+    return hits.select("rid", "item", (F.col("doc_pos") - F.col("pos")).alias("diag")).distinct()
+
+
+def short_runs(docs: DataFrame, items: DataFrame, window: int) -> DataFrame | None:
+    """(rid, item, start, end) of the occurrences of items of fewer words than a
+    window; None if there are no such items."""
+    size = F.size("words")
+    short = materialise(items.where((size > 0) & (size < window)).select(
+        "item", size.alias("size"), F.array_join("words", " ").alias("gram"), "words"), "short_items")
+    sizes = sorted(r["size"] for r in short.select("size").distinct().collect())  # fewer than a window's words
+    known, found = _sized(short, "words").drop("words"), None
+    for n in sizes:
+        grams = F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.array_join(F.slice(F.col("words"), i, n), " "))
+        grams = F.col("words") if n == 1 else F.when(F.size("words") >= n, grams)
+        places = docs.select("rid", F.posexplode(grams).alias("start", "gram"))
+        hits = places.join(known.where(F.col("size") == n), "gram").select(
+            "rid", "item", "start", (F.col("start") + n).alias("end"))
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = KGRAM) -> DataFrame:
@@ -97,7 +102,8 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     items = materialise(items.distinct(), "benchmark_items")
     found = materialise(diagonals(texts, items, window, k), "alignments")
 
-    runs = materialise(matching_runs(found, rows, items, window), "hit_runs")
+    runs, short = matching_runs(found, rows, items, window), short_runs(texts, items, window)
+    runs = materialise(runs if short is None else runs.unionByName(short), "hit_runs")
     per_doc = runs.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("runs"),
                                       F.sort_array(F.collect_set("item")).alias("items"))
     out = texts.select("doc_id", "rid", F.size("words").cast("long").alias("n_words")).join(per_doc, "rid", "left")
@@ -114,21 +120,26 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
 def matching_runs(found: DataFrame, rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """(rid, item, start, end): the runs of equal words along each alignment
-    that are at least as long as the item's window."""
-    placed = found.join(_sized(items), "item").withColumnRenamed("words", "item_words")
-    placed = placed.join(rows.select("rid", "text"), "rid").withColumn("words", words_array(F.col("text")))
-    # places of unequal words (and both ends of the overlap) bound the runs
-    low = F.greatest(F.col("diag"), F.lit(0))
-    high = F.least(F.col("diag") + F.size("item_words"), F.size("words"))
-    breaks = F.concat(
-        F.array(low - 1),
-        F.filter(F.sequence(low, high - 1),
-                 lambda i: F.get(F.col("words"), i) != F.get(F.col("item_words"), i - F.col("diag"))),
-        F.array(high))
-    need = F.least(F.size("item_words"), F.lit(window))
-    spans = placed.where(high > low).select("rid", "item", need.alias("need"), breaks.alias("breaks"))
+    that are at least as long as a window."""
+    placed = found.join(_sized(items, "words"), "item").withColumnRenamed("words", "item_words")
+    placed = placed.groupBy("rid").agg(F.collect_list(F.struct("item", "diag", "item_words")).alias("lines"))
+    placed = placed.join(rows.select("rid", "text"), "rid").select(
+        "rid", "lines", words_array(F.col("text")).alias("words"))
+
+    def breaks(a: Column) -> Column:
+        """Places of unequal words, and both ends of the overlap, bound the runs."""
+        low = F.greatest(a["diag"], F.lit(0))
+        high = F.least(a["diag"] + F.size(a["item_words"]), F.size("words"))
+        return F.when(high > low, F.concat(
+            F.array(low - 1),
+            F.filter(F.sequence(low, high - 1), lambda i: F.get(F.col("words"), i) != F.get(a["item_words"], i - a["diag"])),
+            F.array(high)))
+
+    marked = placed.select("rid", F.explode(F.transform("lines", lambda a: F.struct(
+        a["item"].alias("item"), breaks(a).alias("breaks")))).alias("a"))
+    spans = marked.select("rid", "a.item", "a.breaks")
     pairs = F.zip_with(F.slice("breaks", 1, F.size("breaks") - 1), F.slice("breaks", 2, F.size("breaks") - 1),
                        lambda a, b: F.struct((a + 1).alias("start"), b.alias("end")))
-    return (spans.select("rid", "item", "need", F.explode(pairs).alias("run"))
-            .where(F.col("run.end") - F.col("run.start") >= F.col("need"))
+    return (spans.where(F.col("breaks").isNotNull()).select("rid", "item", F.explode(pairs).alias("run"))
+            .where(F.col("run.end") - F.col("run.start") >= window)
             .select("rid", "item", F.col("run.start").alias("start"), F.col("run.end").alias("end")))

@@ -61,3 +61,19 @@ def test_empty_tables(spark, docs):
     assert [r.n_hit for r in contaminated_words(docs("a b c"), empty).collect()] == [0]
     some = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert contaminated_words(docs("a").limit(0), some).count() == 0
+
+
+def test_frequent_words_and_long_texts(spark, docs):
+    """A short item's first word met 100,000 times, and a long text with hits at its end."""
+    item = " ".join(f"w{i}" for i in range(30))
+    texts = ["the " * 100_000, "the " * 60_000 + "other " + item, "the other"]
+    assert run(spark, docs, texts, [(1, "the other"), (2, item), (3, "w" * 50_000)]) == [
+        (100_000, 0, []), (60_031, 32, ["1", "2"]), (2, 2, ["1"])]
+
+
+def test_broadcast_or_shuffle(spark, docs, monkeypatch):
+    items = [(1, "only three words"), (2, " ".join(f"w{i}" for i in range(30)))]
+    texts = ["say only three words", "y " + " ".join(f"w{i}" for i in range(4, 30))]
+    monkeypatch.setattr("logloom.llm.decontam.BROADCAST_BYTES", 0)
+    monkeypatch.setattr("logloom.llm.decontam.BROADCAST_ROWS", 0)
+    assert run(spark, docs, texts, items) == brute(texts, items, 10)
