@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from logloom.functions.parse import iso_timestamp, is_non_blank, level_name, split_lines
 from logloom.operators import filters as flt
+from logloom.operators import templates as tpl
 from logloom.operators import triage as tri
 from logloom.operators.merge import first_stamps, merge_sort_cols, rank_within, with_merge_keys
 from logloom.plans.query import query_entries
+from logloom.session import write_and_read
 from logloom.sinks.output import jsonl_line, text_line
 from logloom.sources import adapter
 
@@ -31,6 +33,7 @@ TAIL_N = 20
 TAIL_PER_RUN_N = 15
 SKIP_HEAD_N = 100
 TAIL_LARGE_N = 1500
+TEMPLATE_CHILDREN = 4
 COMPARE_PAIRS = [("run-0", "run-1"), ("run-2", "run-3")]
 # Block size of the two-level merge used by the registered queries; small
 # enough that the sf0.01 files span several blocks.
@@ -176,6 +179,25 @@ def q_cause_spread(spark, sf_dir):
     return out.withColumn("first_seen", iso_timestamp(F.timestamp_micros("first_us"))).drop("first_us")
 
 
+def _template_counts(spark, sf_dir):
+    """Templates of all lines; users have names here, so that not only masked
+    shapes vary."""
+    e = _entries(spark, sf_dir)
+    e = e.withColumn("line", F.regexp_replace("line", "user ([0-9]+)$", "user u$1"))
+    found = write_and_read(spark, tpl.mine_templates(e, children=TEMPLATE_CHILDREN), "templates")
+    return tpl.template_counts(e, found), tri.executor_counts(tri.files_of(e))
+
+
+def q_template_spread(spark, sf_dir):
+    counts, executors = _template_counts(spark, sf_dir)
+    return tpl.template_spread(counts, executors)
+
+
+def q_template_compare(spark, sf_dir):
+    pairs = spark.createDataFrame(COMPARE_PAIRS, "base_run string, current_run string")
+    return tpl.template_compare(_template_counts(spark, sf_dir)[0], pairs)
+
+
 def q_executor_spread(spark, sf_dir):
     return tri.executor_spread(_entries(spark, sf_dir))
 
@@ -255,6 +277,8 @@ LOG_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "first_error": q_first_error,
     "events": q_events,
     "cause_spread": q_cause_spread,
+    "template_spread": q_template_spread,
+    "template_compare": q_template_compare,
     "executor_spread": q_executor_spread,
     "run_compare": q_run_compare,
     "error_timeline": q_error_timeline,

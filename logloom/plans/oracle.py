@@ -136,6 +136,43 @@ log_events AS (
 )"""
 
 
+# Templates: masked messages through the tree (token count, three tokens), then
+# the places below; a crowded node or place is a wildcard.
+def _templates() -> str:
+    masked = r"regexp_replace(line, '^\[?[0-9]{2,4}[-/][0-9]{2}[-/][0-9]{2}[T ][0-9:.,]+(?:[+-][0-9]{4}\])?[ \t]*', '')"
+    for pattern, mark in (
+            (r'"[^"]*"', "<str>"), (r"\b0x[0-9a-fA-F]+\b|\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b", "<hex>"),
+            (r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?\b", "<ip>"),
+            (r"(?:\b[a-z][a-z0-9]*:/?)?(?:/[A-Za-z0-9_.@%+=-]+){2,}/?", "<path>"), (r"\b[0-9]+(?:\.[0-9]+)?\b", "<num>"),
+            (r"[ \t]+", " ")):
+        masked = f"regexp_replace({masked}, '{pattern}', '{mark}', 'g')"
+    ctes = [f"""named AS (
+  SELECT * REPLACE (regexp_replace(line, 'user ([0-9]+)$', 'user u\\1') AS line) FROM entries
+)""", f"""said AS (SELECT *, trim({masked}) AS message FROM named)""",
+            "level0 AS (SELECT DISTINCT message, string_split(message, ' ') AS t, [len(string_split(message, ' '))::VARCHAR] AS node FROM said)"]
+    for i in range(3):
+        ctes.append(f"""level{i + 1} AS (
+  SELECT message, t, list_append(node, CASE WHEN len(t) <= {i} THEN '' WHEN many > {C.TEMPLATE_CHILDREN} THEN '<*>' ELSE t[{i + 1}] END) AS node
+  FROM (SELECT *, count(DISTINCT t[{i + 1}]) OVER (PARTITION BY node) AS many FROM level{i})
+)""")
+    ctes.append(f"""spread_out AS (SELECT message, node, t, unnest(range(1, len(t) + 1)) AS i FROM level3),
+placed AS (
+  SELECT message, node, i, CASE WHEN i <= 3 THEN node[i + 1]
+    WHEN count(DISTINCT t[i]) OVER (PARTITION BY node, i) > {C.TEMPLATE_CHILDREN} THEN '<*>' ELSE t[i] END AS token
+  FROM spread_out
+),
+templates AS (
+  SELECT message, string_agg(token, ' ' ORDER BY i) AS template FROM placed GROUP BY message
+),
+template_counts AS (
+  SELECT run_key, substr(sha256(template), 1, 16) AS template_id, template, count(*) AS n_lines,
+    count(DISTINCT CASE WHEN source_type = 'executor' THEN app_id || '/' || source_detail END) AS n_executors,
+    count(DISTINCT source_type || ':' || source_detail) AS n_sources
+  FROM said JOIN templates USING (message) GROUP BY run_key, template
+)""")
+    return ",\n".join(ctes)
+
+
 def iso(col: str) -> str:
     return (f"(strftime({col}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime({col}, '%f') = '000000' THEN '' "
             f"ELSE '.' || strftime({col}, '%f') END || '+00:00')")
@@ -244,6 +281,16 @@ FROM entries GROUP BY run_key, file_origin""",
         "cause_spread": _w(E, K, EVENTS_CTE) + f"""SELECT run_key, split_part(cause, ':', 1) AS cause_class, count(*) AS n_events,
   count(DISTINCT source_type || ':' || source_detail) AS n_sources, {iso('min(merge_ts)')} AS first_seen
 FROM log_events WHERE cause IS NOT NULL GROUP BY ALL""",
+        "template_spread": _w(E, _templates(), """executors AS (
+  SELECT run_key, count(DISTINCT CASE WHEN source_type = 'executor' THEN app_id || '/' || source_detail END)::INT AS executor_count
+  FROM entries GROUP BY run_key)""") + """SELECT *, CASE WHEN n_executors = 0 THEN 'driver_only' WHEN n_executors = executor_count THEN 'systemic'
+  WHEN n_executors = 1 THEN 'single' ELSE 'partial' END AS spread FROM template_counts JOIN executors USING (run_key)""",
+        "template_compare": _w(E, _templates()) + f"""SELECT base_run, current_run, template_id, template,
+  coalesce(sum(n_lines) FILTER (WHERE run_key = base_run), 0)::BIGINT AS n_base,
+  coalesce(sum(n_lines) FILTER (WHERE run_key = current_run), 0)::BIGINT AS n_current,
+  CASE WHEN n_base = 0 THEN 'new' WHEN n_current = 0 THEN 'gone' ELSE 'common' END AS status
+FROM (VALUES {", ".join(str(p) for p in C.COMPARE_PAIRS)}) v(base_run, current_run)
+JOIN template_counts ON run_key IN (base_run, current_run) GROUP BY ALL""",
         "first_error": _w(E, K) + f"""SELECT run_key,
   CASE WHEN ts IS NULL THEN NULL ELSE {iso('ts')} END AS first_error_time,
   source_type, source_detail, stream, line, file_origin, line_no, n_errors
