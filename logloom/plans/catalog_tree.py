@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from logloom.functions.parse import iso_timestamp, parse_timestamp
 from logloom.operators import filters as flt
 from logloom.operators import triage as tri
-from logloom.plans.query import query_entries, query_logs_report
+from logloom.plans.query import query_entries, query_logs, query_logs_report
 from logloom.session import ensure_checkpoint_dir
 from logloom.sinks.output import write_entries
 from logloom.sources import adapter
 from logloom.sources.files import discover, normalize_path
+from logloom.sources.stats import may_hold, write_file_stats
 
 TAIL_ONE_N = 25
+PRUNE_SINCE, PRUNE_GREP = "2024-01-20T12:00:00", "OutOfMemory.*user 1|HangingTask"
 SINCE_AGO, SINCE_NOW = "36h", _dt.datetime(2024, 1, 20, 6, 30, tzinfo=_dt.timezone.utc)
 
 # FIXED VALUES: one line for each noise pattern, and lines that are none
@@ -86,6 +88,26 @@ def q_skipped_files(spark, sf_dir):
                           F.regexp_extract("path", "[^/]+$", 0).alias("name"))
 
 
+def q_pruned_tree(spark, sf_dir):
+    """A query with since and grep over a tree whose statistics are known: files
+    that can't hold a line of it are not opened."""
+    roots = _tree(spark, sf_dir)
+    stats = write_file_stats(spark, roots, roots[0].rsplit("/", 1)[0] + "-stats")
+    out = query_logs(spark, roots, since=PRUNE_SINCE, grep=PRUNE_GREP, stats=stats, ordered=False)
+    return out.select(_run(), "source_type", "source_detail", "stream", "line")
+
+
+def q_file_stats(spark, sf_dir):
+    """The statistics themselves; of the bitmap, whether two words may occur."""
+    roots = _tree(spark, sf_dir)
+    stats = write_file_stats(spark, roots, roots[0].rsplit("/", 1)[0] + "-stats")
+    time = lambda c: F.when(F.col(c).isNotNull(), iso_timestamp(F.timestamp_micros(c)))
+    return stats.select(
+        F.regexp_extract("file_origin", "/(run-[0-9]+/.*)$", 1).alias("file"), "n_lines", time("min_us").alias("first_ts"),
+        time("max_us").alias("last_ts"), may_hold(grep="Traceback").alias("may_hold_traceback"),
+        may_hold(grep="no such words here").alias("may_hold_others"))
+
+
 def q_follow_tree(spark, sf_dir):
     """All files of a tree through the streaming follow mode, once."""
     from logloom.streaming.follow import follow_logs, follow_to
@@ -181,6 +203,8 @@ def q_listing_dbfs(spark, sf_dir):
 TREE_QUERIES = {
     "discover_tree": q_discover_tree,
     "skipped_files": q_skipped_files,
+    "pruned_tree": q_pruned_tree,
+    "file_stats": q_file_stats,
     "follow_tree": q_follow_tree,
     "follow_growing": q_follow_growing,
     "follow_merged": q_follow_merged,

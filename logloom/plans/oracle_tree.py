@@ -27,6 +27,12 @@ def tree_oracles(listing_sql: str) -> dict[str, str]:
 FROM entries GROUP BY run_key, source_type, source_detail, stream""",
         "skipped_files": _w(ENTRIES_CTE) + f"""SELECT DISTINCT run_key AS run, source_type, source_detail, stream,
   stream || '--' || strftime(event_ts, '%Y-%m-%d') || '--00.gz' AS name FROM entries WHERE {damaged}""",
+        "pruned_tree": _w(ENTRIES_CTE, TREE_CTE) + f"""SELECT run_key AS run, source_type, source_detail, stream, line FROM entries_tree
+WHERE ts >= TIMESTAMP '{C.PRUNE_SINCE.replace("T", " ")}' AND regexp_matches(line, '{C.PRUNE_GREP}')""",
+        "file_stats": _w(ENTRIES_CTE, TREE_CTE) + f"""SELECT substr(file_origin, 7) || CASE WHEN source_type = 'executor'
+    AND day(rot_start) % {A.GZ_EVERY} = 0 THEN '.gz' ELSE '' END AS file, count(*) AS n_lines,
+  {iso('min(ts)')} AS first_ts, {iso('max(ts)')} AS last_ts, bool_or(line LIKE '%Traceback%') AS may_hold_traceback, false AS may_hold_others
+FROM entries_tree GROUP BY file_origin, source_type, rot_start""",
         "follow_tree": _w(ENTRIES_CTE, TREE_CTE)
         + "SELECT run_key AS run, source_type, source_detail, stream, line FROM entries_tree WHERE level = 40",
         "follow_growing": _w(ENTRIES_CTE)

@@ -51,17 +51,21 @@ def query_entries(
 
 def query_logs(spark, bases, source: str = "all", stream: str = "all", include_log4j: bool = False,
                include_stacktrace: bool = False, strict_corrupt: bool = True, honor_offset: bool = False,
-               **options) -> DataFrame:
+               stats: DataFrame | None = None, **options) -> DataFrame:
     """Read the log trees under ``bases`` and apply the viewer's options.
 
     Source and stream filters prune files before they are read; a missing
-    run directory contributes no rows.
+    run directory contributes no rows. With ``stats`` (:mod:`sources.stats`)
+    files that can hold no line for ``since`` or ``grep`` are not opened.
     """
     from logloom.sources.scan import scan_logs
+    from logloom.sources.stats import left_out
+
+    skip = None if stats is None else left_out(stats, options.get("since"), options.get("grep"), options.get("now"))
 
     entries = scan_logs(spark, bases, source=source, stream=stream, include_log4j=include_log4j,
                         include_stacktrace=include_stacktrace, strict_corrupt=strict_corrupt,
-                        honor_offset=honor_offset)
+                        honor_offset=honor_offset, left_out=skip)
     # block = file split is picked up by the merge
     return query_entries(entries, order_col="line_no", **options)
 

@@ -182,9 +182,19 @@ def _lines(plain: DataFrame, packed: DataFrame) -> DataFrame:
 _ATTRS = ["run_key", "source_type", "app_id", "source_detail", "stream", "file_timestamp", "is_compressed"]
 
 
+def _without(df: DataFrame, left_out: DataFrame | None) -> DataFrame:
+    """Rows of files (``_uri``, ``file_size``) not named in ``left_out``: a
+    predicate on file metadata, so those files are not opened."""
+    if left_out is None:
+        return df
+    names = [f"{r.file_origin}\n{r.file_size}" for r in left_out.collect()]
+    named = F.concat(normalize_path("_uri", encoded=True), F.lit("\n"), F.col("file_size").cast("string"))
+    return df.where(~named.isin(names)) if names else df
+
+
 def raw_lines(spark: SparkSession, roots: str | list[str], source: str = "all", stream: str = "all",
               include_log4j: bool = False, include_stacktrace: bool = False,
-              strict_corrupt: bool = True) -> DataFrame:
+              strict_corrupt: bool = True, left_out: DataFrame | None = None) -> DataFrame:
     """Lines of the selected files with their order key, blank lines kept.
 
     ``strict_corrupt`` alone decides how gzip files are read, at any size:
@@ -194,26 +204,27 @@ def raw_lines(spark: SparkSession, roots: str | list[str], source: str = "all",
     roots = [roots] if isinstance(roots, str) else list(roots)
     there = existing_roots(spark, roots)
     options = (roots, source, stream, include_log4j, include_stacktrace)
-    plain = select_files(_read(spark, there, gz=False), *options)
+    plain = select_files(_without(_read(spark, there, gz=False), left_out), *options)
     if strict_corrupt and all(map(readable, there)):
-        archives = select_files(_archives(spark, there), *options).withColumn("block_start", F.lit(0).cast("bigint"))
+        archives = select_files(_without(_archives(spark, there), left_out), *options).withColumn("block_start", F.lit(0).cast("bigint"))
         packed = archive_lines(archives.select(*_ATTRS, "_uri", "block_start", "file_size"))
     else:
-        packed = select_files(_read(spark, there, gz=True, whole=strict_corrupt), *options)
+        packed = select_files(_without(_read(spark, there, gz=True, whole=strict_corrupt), left_out), *options)
     lines = _lines(plain, packed)
     return lines.withColumn("file_origin", normalize_path("_uri", encoded=True)).select(*ENTRY_FIELDS)
 
 
 def scan_logs(spark: SparkSession, roots: str | list[str], source: str = "all", stream: str = "all",
               include_log4j: bool = False, include_stacktrace: bool = False, strict_corrupt: bool = True,
-              honor_offset: bool = False) -> DataFrame:
-    """Parsed entries of every selected log file under the run roots.
+              honor_offset: bool = False, left_out: DataFrame | None = None) -> DataFrame:
+    """Parsed entries of every selected log file under the run roots, but for
+    those named in ``left_out`` (file_origin, file_size; see :mod:`stats`).
 
     ``line_no`` is a struct (split start, line number in the split's
     partition) ordering lines inside a file; ``block_start`` bounds the
     blocks of the two-level merge.
     """
-    lines = raw_lines(spark, roots, source, stream, include_log4j, include_stacktrace, strict_corrupt)
+    lines = raw_lines(spark, roots, source, stream, include_log4j, include_stacktrace, strict_corrupt, left_out)
     return parse_entries(lines.where(is_non_blank("line")), honor_offset)
 
 
