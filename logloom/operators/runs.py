@@ -69,7 +69,9 @@ def resolve_runs(requests: DataFrame, jobs: DataFrame, runs_raw: DataFrame, all_
     run_id = F.coalesce(F.col("run_id"), F.when(F.col("_is_url"), F.col("_p.run_id")))
     req = req.withColumn("_want", run_id).withColumn("_has_run", F.col("_want").isNotNull() & (F.col("_want") != 0))
     req = run_lookup(req.withColumn("_lookup", F.when(F.col("_has_run"), F.col("_want"))), runs_raw, "_lookup")
-    latest = latest_runs(runs_raw).select(F.col("job_id").alias("_lj"), F.struct(*RUN_FIELDS).alias("_latest"))
+    # only jobs that are asked for without a run: their other runs never reach the shuffle
+    asked = req.where(~F.col("_has_run") & F.col("_jid").isNotNull()).select(F.col("_jid").alias("job_id")).distinct()
+    latest = latest_runs(runs_raw.join(asked, "job_id", "left_semi")).select(F.col("job_id").alias("_lj"), F.struct(*RUN_FIELDS).alias("_latest"))
     req = req.join(latest, (~F.col("_has_run")) & (req["_jid"] == latest["_lj"]), "left")
     run = F.when(F.col("_has_run"), F.col("_run")).otherwise(F.col("_latest"))
     req = req.withColumn("_r", run).withColumn("_cid", J.cluster_id(F.col("_r.cluster_instance"), F.col("_r.tasks")))

@@ -56,6 +56,7 @@ NOISE_LINES = [
     "Initialized gateway on port 1",
     "Connected to spark.",
 ]
+WHOLE_LINE = "Connected to spark."
 PLAIN_LINES = [
     "ERROR MyApp: gave up",
     "Connected to spark. And more",
@@ -170,25 +171,29 @@ def q_since_relative(spark, sf_dir):
 
 
 def q_noise_patterns(spark, sf_dir):
-    events = adapter.read_table(spark, sf_dir, "events")
+    """Rendered lines with a noise line, or one that is none, spliced in front
+    (one pattern must be the whole line)."""
     lines = F.array(*map(F.lit, NOISE_LINES + PLAIN_LINES))
-    rows = events.select("event_id", F.get(lines, (F.col("event_id") % len(NOISE_LINES + PLAIN_LINES)).cast("int")).alias("line"))
+    front = F.get(lines, (F.col("line_no") % len(NOISE_LINES + PLAIN_LINES)).cast("int"))
+    rows = adapter.log_lines(spark, sf_dir).select(
+        F.col("line_no").alias("event_id"), F.when(front == WHOLE_LINE, front).otherwise(F.concat_ws(" ", front, "line")).alias("line"))
     return rows.select("event_id", "line", flt.is_noise("line").alias("noise"))
 
 
-def fallback_line(event_id):
-    """Lines whose first matching stamp does not convert, or needs the pivot."""
+def fallback_line(event_id, ts):
+    """Lines whose first matching stamp does not convert, or needs the pivot,
+    with the event's own time in the stamp that counts."""
     n = event_id % 100
     two = F.lpad(n.cast("string"), 2, "0")
     kind = event_id % 4
-    return (F.when(kind == 0, F.concat(two, F.lit("/03/04 05:06:07 INFO a")))
-            .when(kind == 1, F.concat(F.lit("24/02/30 05:06:07 ["), F.lit("2024-05-06T07:08:09.123-0700] "), two))
-            .when(kind == 2, F.concat(F.lit("24/01/01 10:00:60 then 2024-01-02 03:04:05,"), F.lpad(n.cast("string"), 3, "0")))
-            .otherwise(F.concat(F.lit("[2024-13-01T00:00:00.000+0000] 24/01/01 24:00:00 "), two)))
+    return (F.when(kind == 0, F.concat(two, F.date_format(ts, "/MM/dd HH:mm:ss"), F.lit(" INFO a")))
+            .when(kind == 1, F.concat(F.lit("24/02/30 05:06:07 ["), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("-0700] "), two))
+            .when(kind == 2, F.concat(F.date_format(ts, "yy/MM/dd HH:mm"), F.lit(":60 then "), F.date_format(ts, "yyyy-MM-dd HH:mm:ss,SSS")))
+            .otherwise(F.concat(F.lit("[2024-13-01T00:00:00.000+0000] "), F.date_format(ts, "yy/MM/dd"), F.lit(" 24:00:00 "), two)))
 
 
 def q_timestamp_fallbacks(spark, sf_dir):
-    rows = adapter.read_table(spark, sf_dir, "events").select("event_id", fallback_line(F.col("event_id")).alias("line"))
+    rows = adapter.read_table(spark, sf_dir, "events").select("event_id", fallback_line(F.col("event_id"), F.col("ts")).alias("line"))
     rows = rows.withColumn("ts", parse_timestamp("line"))
     return rows.select("event_id", F.when(F.col("ts").isNotNull(), iso_timestamp("ts")).alias("ts_iso"))
 

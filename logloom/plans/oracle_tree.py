@@ -54,14 +54,16 @@ t AS (
   trunc((epoch_us(e) - epoch_us(s)) / 1000000)::BIGINT AS run_secs FROM t""",
         "since_relative": _w(ENTRIES_CTE) + f"""SELECT line_no FROM entries
 WHERE ts >= TIMESTAMP '{since}' - INTERVAL 36 HOUR""",
-        "noise_patterns": f"""SELECT event_id, line, noise FROM events
-JOIN (VALUES {values}) v(i, line, noise) ON event_id % {len(lines)} = i""",
+        "noise_patterns": _w(ENTRIES_CTE) + f"""SELECT line_no AS event_id,
+  CASE WHEN front = {_q(C.WHOLE_LINE)} THEN front ELSE front || ' ' || line END AS line,
+  noise OR (front <> {_q(C.WHOLE_LINE)} AND line LIKE '%Executor: Finished task%') AS noise
+FROM raw_lines JOIN (VALUES {values}) v(i, front, noise) ON line_no % {len(lines)} = i""",
         "timestamp_fallbacks": """SELECT event_id, CASE event_id % 4
   WHEN 0 THEN (CASE WHEN event_id % 100 < 69 THEN '20' ELSE '19' END) || lpad((event_id % 100)::VARCHAR, 2, '0')
-              || '-03-04T05:06:07+00:00'
-  WHEN 1 THEN '2024-05-06T07:08:09.123000+00:00'
-  WHEN 2 THEN '2024-01-02T03:04:05' || CASE WHEN event_id % 100 = 0 THEN '' ELSE '.' || lpad((event_id % 100)::VARCHAR, 3, '0')
-              || '000' END || '+00:00'
+              || strftime(ts, '-%m-%dT%H:%M:%S') || '+00:00'
+  WHEN 3 THEN NULL
+  ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN millisecond(ts) % 1000 = 0 THEN ''
+              ELSE '.' || lpad((millisecond(ts) % 1000)::VARCHAR, 3, '0') || '000' END || '+00:00'
   END AS ts_iso FROM events""",
         "listing_dbfs": f"SELECT DISTINCT path FROM ({listing_sql})",
     }
