@@ -9,11 +9,19 @@ code labels a listing and the lines of a scan (no join back to the files).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom import rules
 from logloom.operators.merge import with_file_order
+from logloom.sources.byte_files import file_system, readable
+
+# partitions of a listing step, for each core of the cluster
+LISTING_TASKS = 2
 
 _DRIVER_REL = r"^(.*)/driver/([^/]+)$"
 _EXEC_REL = r"^(.*)/executor/([^/]+)/([^/]+)/([^/]+)$"
@@ -143,17 +151,58 @@ def classify_files(paths: DataFrame, path_col: str = "path", include_log4j: bool
     return out.select(F.col(path_col).alias("path"), *FILE_FIELDS, *keep)
 
 
+def _listed(folders: DataFrame, wanted: str) -> DataFrame:
+    """(kind, path, length) of what lies directly in each ``path``, listed by the
+    tasks; a folder that does not exist has nothing in it. ``wanted``: ``File`` or
+    ``Directory``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch["path"].to_pylist():
+                system, base = file_system(folder, encoded=False)
+                found = [x for x in system.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if x.type.name == wanted]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{folder}/{x.base_name}" for x in found], pa.string()), pa.array([x.size or 0 for x in found], pa.int64())],
+                    ["path", "length"])
+
+    return folders.select("path").mapInArrow(run, "path string, length bigint")
+
+
 def list_files(spark: SparkSession, roots: str | list[str]) -> DataFrame:
-    """All files under the run roots, zero-length ones included: path, length
-    (S1, S9). Sizes come from a scan's file metadata; no file body is read.
+    """All files of the runs under ``roots`` at the depths of log files,
+    zero-length ones included: path, length (S1, S9).
 
-    Spark leaves zero-length files out of a scan, but they are files of the
-    run, so names come from the scan's file index, which the driver holds for
-    any scan of these roots. Scans themselves never need this listing.
+    The tasks list: first every run's driver folder and application folders,
+    then the executor folders of these, then their files, dealt anew at each
+    step. The driver holds the roots it was given, no path. A run that does not
+    exist has no files.
     """
+    from logloom.sources.scan import plain_root
+
+    roots = [roots] if isinstance(roots, str) else roots
+    roots = sorted({plain_root(r): r.rstrip("/") for r in roots if r and r.strip("/")}.values())
+    if not all(map(readable, roots)):
+        return _indexed_files(spark, roots)
+    runs = spark.createDataFrame([(r,) for r in roots], "root string")
+    tasks = spark.sparkContext.defaultParallelism
+
+    def dealt(folders: DataFrame) -> DataFrame:
+        return folders.select("path").repartition(LISTING_TASKS * tasks, "path")
+
+    driver = _listed(dealt(runs.select(F.concat("root", F.lit("/driver")).alias("path"))), "File")
+    apps = _listed(dealt(runs.select(F.concat("root", F.lit("/executor")).alias("path"))), "Directory")
+    apps = apps.where(F.regexp_extract("path", "[^/]+$", 0).rlike(rules.APP_DIR))
+    executors = _listed(dealt(apps), "Directory")
+    files = driver.unionByName(_listed(dealt(executors), "File"))
+    return files.select(normalize_path("path").alias("path"), "length")
+
+
+def _indexed_files(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """The same from Spark's file index, for stores only Spark can open. Spark
+    leaves zero-length files out of a scan, so names come from the index, which
+    the driver holds."""
     from logloom.sources.scan import existing_roots, literal_paths
 
-    roots = existing_roots(spark, [roots] if isinstance(roots, str) else list(roots))
+    roots = existing_roots(spark, roots)
     if not roots:
         return spark.createDataFrame([], "path string, length bigint")
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(

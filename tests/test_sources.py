@@ -376,3 +376,25 @@ def test_files_without_a_possible_hit_are_not_opened(spark, tmp_path):
     assert lines(query_logs(spark, str(root), stats=stats, grep="INFO ned")) == []
     old.write_text("26/03/11 12:30:00 INFO ned, longer\n")  # changed: read again
     assert lines(query_logs(spark, str(root), stats=stats, grep="INFO ned")) == ["26/03/11 12:30:00 INFO ned, longer"]
+
+
+def test_listing_in_tasks(spark, tmp_path, monkeypatch):
+    """Exact depths, zero-length files, missing and repeated roots; the same
+    from Spark's file index, which also lists other depths."""
+    from logloom.sources import files
+
+    app = "app-20260311170849-0000"
+    there = ["r1/driver/stderr", "r1/driver/stdout--2026-03-11--18-00", f"r1/executor/{app}/0/stderr", f"r1/executor/{app}/x y/stdout",
+             "r 2+%20/driver/stdout"]
+    other = ["r1/driver/deep/stderr", f"r1/executor/{app}/stderr", "r1/executor/app-1/0/stderr", "r1/eventlog/x", "r1/stderr"]
+    for i, name in enumerate(there + other):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x" * i)
+    roots = [str(tmp_path / "r1"), f"{tmp_path}/r1/", str(tmp_path / "r 2+%20"), str(tmp_path / "none")]
+    want = {str(tmp_path / name): i for i, name in enumerate(there)}
+    assert {r.path: r.length for r in files.list_files(spark, roots).collect()} == want
+    found = {r.path for r in files.discover(spark, roots).collect()}
+    monkeypatch.setattr(files, "readable", lambda r: False)
+    assert {r.path: r.length for r in files.list_files(spark, roots).collect()}.items() >= want.items()
+    assert {r.path for r in files.discover(spark, roots).collect()} == found == set(want)
+    assert files.list_files(spark, [str(tmp_path / "none")]).count() == 0
