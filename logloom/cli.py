@@ -3,7 +3,7 @@
     python -m logloom RUN_ROOT [RUN_ROOT ...] [--source S] [--stream S]
         [--level L] [--grep RE] [--since T] [--tail N] [--focus]
         [--include-log4j] [--include-stacktrace] [--format text|jsonl]
-        [--output DIR] [--triage DIR] [--follow CHECKPOINT [--available-now]]
+        [--output DIR] [--triage DIR] [--follow CHECKPOINT [--growing] [--available-now]]
 
     python -m logloom JOB_INPUT --jobs JOBS --runs RUNS [--run-id R] [--env E] ...
 
@@ -63,6 +63,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--triage", help="write the triage tables (parquet) under this folder")
     p.add_argument("--follow", metavar="CHECKPOINT",
                    help="follow new log files (streaming) into --output, with this checkpoint folder")
+    p.add_argument("--growing", action="store_true", help="with --follow: also lines appended to active files")
     p.add_argument("--available-now", action="store_true", help="with --follow: process what exists, then stop")
     p.add_argument("--master", default=None)
     args = p.parse_args(argv)
@@ -91,7 +92,8 @@ def main(argv: list[str] | None = None) -> int:
             p.error("--follow needs --output")
         stream = follow_logs(spark, roots, source=args.source, stream=args.stream, level=args.level, grep=args.grep,
                              focus=args.focus, since=args.since, include_log4j=args.include_log4j,
-                             include_stacktrace=args.include_stacktrace)
+                             include_stacktrace=args.include_stacktrace,
+                             growing=args.growing, state=f"{args.follow}/growing" if args.growing else None)
         follow_to(stream, args.output, args.follow, available_now=args.available_now).awaitTermination()
         return 0
     df = query_logs(spark, roots, source=args.source, stream=args.stream, level=args.level, grep=args.grep,

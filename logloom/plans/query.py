@@ -71,18 +71,23 @@ def query_logs(spark, bases, source: str = "all", stream: str = "all", include_l
 
 
 def query_logs_report(spark, bases, include_log4j: bool = False, include_stacktrace: bool = False,
-                      strict_corrupt: bool = True, **options) -> tuple[DataFrame, DataFrame]:
+                      strict_corrupt: bool = True, honor_offset: bool = False, **options) -> tuple[DataFrame, DataFrame]:
     """(entries, skipped): :func:`query_logs` and the files it had to leave
-    out (path, run, source, stream, length), each a DataFrame of its own."""
+    out (path, run, source, stream, length), each a DataFrame of its own. The
+    files are read once: their lines are written to the checkpoint folder, and
+    both come from that table."""
+    from logloom.session import write_and_read
     from logloom.sources.files import discover
-    from logloom.sources.scan import skipped_files
+    from logloom.sources.scan import entries_of, raw_lines, without_rows
 
-    entries = query_logs(spark, bases, include_log4j=include_log4j, include_stacktrace=include_stacktrace,
-                         strict_corrupt=strict_corrupt, **options)
     files = discover(spark, bases, include_log4j, include_stacktrace)
-    files = flt.stream_filter(flt.source_filter(files, options.get("source", "all")), options.get("stream", "all"))
-    skipped = skipped_files(spark, files, bases, strict_corrupt)
-    return entries, skipped.select("path", "run_key", "source_type", "source_detail", "stream", "length")
+    source, stream = options.get("source", "all"), options.get("stream", "all")
+    files = flt.stream_filter(flt.source_filter(files, source), stream).select(
+        "path", "run_key", "source_type", "source_detail", "stream", "length")
+    files = write_and_read(spark, files, "files")  # as listed before the files are read
+    lines = write_and_read(spark, raw_lines(spark, bases, source, stream, include_log4j, include_stacktrace, strict_corrupt), "raw-lines")
+    entries = query_entries(entries_of(lines, honor_offset), **options)
+    return entries, without_rows(files, lines)
 
 
 def triage(entries: DataFrame, files: DataFrame | None = None, materialize: bool = False) -> dict[str, DataFrame]:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -146,13 +147,14 @@ def whole_archives(archives: DataFrame) -> DataFrame:
 
 def archive_lines(archives: DataFrame) -> DataFrame:
     """The lines (``value``, split at \\n) of all whole archives, in order, each
-    with its archive's columns; none of a damaged one."""
+    with its archive's columns; none of a damaged one, a blank one of an empty one."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, uri in enumerate(batch["_uri"].to_pylist()):
                 if archive_text_bytes(uri) is None:
                     continue
-                for _, _, lines in lines_of(archive_pieces(uri)):
+                found = ((lines for _, _, lines in lines_of(archive_pieces(uri))))
+                for lines in chain([next(found, [""])], found):  # an archive of no text: one blank line
                     same = pa.array(np.full(len(lines), i))
                     yield pa.RecordBatch.from_arrays(
                         [*(c.take(same) for c in batch.columns), pa.array(lines, pa.string())], [*batch.schema.names, "value"])
@@ -225,13 +227,25 @@ def scan_logs(spark: SparkSession, roots: str | list[str], source: str = "all",
     blocks of the two-level merge.
     """
     lines = raw_lines(spark, roots, source, stream, include_log4j, include_stacktrace, strict_corrupt, left_out)
+    return entries_of(lines, honor_offset)
+
+
+def entries_of(lines: DataFrame, honor_offset: bool = False) -> DataFrame:
+    """Parsed entries of raw lines; blank ones are dropped."""
     return parse_entries(lines.where(is_non_blank("line")), honor_offset)
 
 
+def without_rows(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """Non-empty log files of ``files`` of which ``lines`` (:func:`raw_lines`,
+    blank ones included) holds none (S14): unreadable, damaged or not gzip."""
+    read = lines.select(F.col("file_origin").alias("path")).distinct()
+    return files.where(F.col("length") > 0).join(read, "path", "left_anti")
+
+
 def skipped_files(spark: SparkSession, files: DataFrame, roots: str | list[str],
                   strict_corrupt: bool = True) -> DataFrame:
-    """Non-empty log files of ``files`` that gave no rows (S14): unreadable,
-    damaged or not gzip at all. Covers plain and gzip files of any size, read
+    """Non-empty log files of ``files`` that give no rows (S14): unreadable,
+    damaged or not gzip at all; reads the files for it. Covers plain and gzip files of any size, read
     as the query reads them. (A file that is gone by the time the report reads
     the folder has no size any more and is left out like an empty one.)"""
     roots = [roots] if isinstance(roots, str) else list(roots)

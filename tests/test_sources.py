@@ -398,3 +398,22 @@ def test_listing_in_tasks(spark, tmp_path, monkeypatch):
     assert {r.path: r.length for r in files.list_files(spark, roots).collect()}.items() >= want.items()
     assert {r.path for r in files.discover(spark, roots).collect()} == found == set(want)
     assert files.list_files(spark, [str(tmp_path / "none")]).count() == 0
+
+
+def test_report_of_blank_and_empty_files(spark, tmp_path):
+    """Files that were read but hold no line are not reported; all are read once."""
+    import gzip
+
+    from logloom.plans.query import query_logs_report
+
+    d = tmp_path / "run/executor/app-20260311170849-0000/0"
+    d.mkdir(parents=True)
+    whole = gzip.compress(b"26/03/11 10:00:00 ERROR a\n")
+    for name, data in {"stderr": b"\n  \n", "stderr--2026-03-11--10.gz": gzip.compress(b""), "stderr--2026-03-11--11.gz": whole,
+                       "stdout--2026-03-11--11.gz": whole[:-4], "stdout": b""}.items():
+        (d / name).write_bytes(data)
+    entries, skipped = query_logs_report(spark, str(tmp_path / "run"))
+    for f in d.iterdir():  # both results are of the one read
+        f.write_bytes(b"")
+    assert [r.line for r in entries.collect()] == ["26/03/11 10:00:00 ERROR a"]
+    assert [r.path.rsplit("/", 1)[1] for r in skipped.collect()] == ["stdout--2026-03-11--11.gz"]
