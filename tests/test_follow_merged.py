@@ -90,7 +90,7 @@ def test_stream_equals_the_batch_query(spark, tmp_path):
                 processingTime="200 milliseconds").start()
 
         def wait(q, done):
-            end = time.time() + 60
+            end = time.time() + 240
             while not q.exception() and not done(q) and time.time() < end:
                 time.sleep(0.2)
             assert q.exception() is None and done(q)
