@@ -27,10 +27,23 @@ def test_tail_reduces_before_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-def test_merge_shuffles_lines_by_block(spark):
+def test_merge_reads_once_and_shuffles_lines_by_block(spark, monkeypatch):
+    from logloom.operators import merge
+
+    written, write = {}, merge.write_and_read
+
+    def spy(session, df, name):
+        out = write(session, df, name)
+        written[name] = df._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    monkeypatch.setattr(merge, "write_and_read", spy)
     plan = plan_of(spark, "first_error")
+    lines = written["merge-lines"]
     # lines are hash-partitioned by (run, file, block), never by (run, file) alone
-    assert re.search(r"hashpartitioning\(run_key#\d+, file_origin#\d+, _blk#\d+L?", plan)
+    assert re.findall(r"hashpartitioning\(([^)]*)\)", lines) and all(
+        re.match(r"run_key#\d+, file_origin#\d+, merge_block#\d+L?", x) for x in re.findall(r"hashpartitioning\(([^)]*)\)", lines))
+    assert "events.parquet" in lines and "events.parquet" not in plan + written["merge-blocks"]
 
 
 def test_first_error_partial_aggregate(spark):
