@@ -4,9 +4,11 @@ import heapq
 import os
 import random
 import time
+import tracemalloc
 
 from logloom.operators.merge import FLOOR_MICROS
 from logloom.plans.query import query_logs
+from logloom.streaming import merged
 from logloom.streaming.follow import follow_merged
 from logloom.streaming.merged import RunMerge
 from test_follow import APP, put
@@ -119,3 +121,37 @@ def test_stream_equals_the_batch_query(spark, tmp_path):
     got = spark.read.parquet(out).orderBy("run_key", "seq").collect()
     assert len(got) == total() and not any(r.late for r in got)
     assert [(r.run_key, r.line) for r in got] == [(r.run_key, r.line) for r in want]
+
+
+def small_chunks(monkeypatch, **sizes):
+    for name, n in sizes.items():
+        monkeypatch.setattr(merged, name, n, raising=False)
+
+
+def test_chunks_on_disk_keep_the_order(monkeypatch):
+    small_chunks(monkeypatch, CHUNK_LINES=3, BLOCK_LINES=2, FAN_IN=2)
+    test_any_delivery_gives_the_heap_merge()
+
+
+def test_memory_does_not_grow_with_a_batch(monkeypatch):
+    small_chunks(monkeypatch, CHUNK_LINES=500, BLOCK_LINES=20, FAN_IN=8)
+
+    def peak(n):
+        text = lambda s, i: f"{s} {i} " + "x" * 300
+        rows = ({**row(s, 0, i, None if i % 3 == 0 else 1000 * (i * 7919 % n), True, None), "line": text(s, i)}
+                for i in range(n) for s in range(2))
+        merge, count, last = RunMerge({}, [], None, None, 0), 0, FLOOR_MICROS
+        tracemalloc.start()
+        merge.add(rows)
+        for seq, late, x in merge.release(None):
+            count += 1
+            assert seq == count and not late and x[0] >= last
+            last = x[0]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert count == 2 * n
+        return most
+
+    peak(10)  # imports
+    small, large = peak(2_000), peak(16_000)
+    assert large < 2 * small and large < 4 << 20
